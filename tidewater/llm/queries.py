@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, near_dup, packing, pii
 from .common import documents
 
 #: Vocabulary files are parameters; these are the ones the queries take.
@@ -19,6 +19,14 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
+def op2_multi_index_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(WORD_BPE), capacity=2048, end_id=0)
 
@@ -28,6 +36,8 @@ def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_disclosure_sanitisation": op1_disclosure_sanitisation,
+    "op2_multi_index_near_duplicates": op2_multi_index_near_duplicates,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op10_bpe_forced_boundary": op10_bpe_forced_boundary,
 }
