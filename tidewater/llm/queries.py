@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dup, packing, pii
+from . import bpe, fingerprint, language, near_dup, packing, pii
 from .common import documents
 
 #: Vocabulary files are parameters; these are the ones the queries take.
@@ -31,6 +31,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(WORD_BPE), capacity=2048, end_id=0)
 
 
+def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(documents(spark, sf_dir))
+
+
+def op9_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
 
@@ -39,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_disclosure_sanitisation": op1_disclosure_sanitisation,
     "op2_multi_index_near_duplicates": op2_multi_index_near_duplicates,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_hyperdimensional_language": op8_hyperdimensional_language,
+    "op9_prefix_hash_fingerprints": op9_prefix_hash_fingerprints,
     "op10_bpe_forced_boundary": op10_bpe_forced_boundary,
 }
 
