@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, near_dup, packing, pii
-from .common import documents
+from . import bpe, fingerprint, language, near_dup, packing, pii, quality, toxicity
+from .common import documents, labels
 
 #: Vocabulary files are parameters; these are the ones the queries take.
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -27,6 +27,14 @@ def op2_multi_index_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return near_dup.near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op3_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op4_weakly_supervised_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path(WORD_BPE), capacity=2048, end_id=0)
 
@@ -46,6 +54,8 @@ def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_disclosure_sanitisation": op1_disclosure_sanitisation,
     "op2_multi_index_near_duplicates": op2_multi_index_near_duplicates,
+    "op3_additive_quality": op3_additive_quality,
+    "op4_weakly_supervised_toxicity": op4_weakly_supervised_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
     "op9_prefix_hash_fingerprints": op9_prefix_hash_fingerprints,
