@@ -1,24 +1,63 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Each stage works on all rows its predecessor kept: toxic documents go, low-quality
+documents go, one document of each near-duplicate group (five-word shingles, similarity
+0.8) stays, personal data is sanitised in the texts, and the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import packing
-from tidewater.llm.common import documents
+from tidewater.llm import near_dup, packing, pii, quality, toxicity
+from tidewater.llm.common import documents, labels, materialise
 from tidewater.llm.queries import WORD_BPE, tokenizer_path
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame, keep: Column) -> DataFrame:
+    """The documents that a verdict (one row a document, by doc_id) keeps."""
+    chosen = verdicts.where(keep).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, toxicity.score_toxicity(docs, labels(spark, sf_dir)), F.col("predicted") == 0)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, quality.score_quality(docs, labels(spark, sf_dir)), F.col("predicted") == 1)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, near_dup.near_duplicates(docs, shingle=5, percent=80), F.col("kept"))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.sanitise(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_path(WORD_BPE))
+    return packing.pack_documents(docs, tokenizer_path(WORD_BPE), capacity=2048, end_id=0)
+
 
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", drop_low_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("PII", sanitise),
+    ("best-fit packing", pack),
+]
 
-STAGES = [("best-fit packing", pack)]
+#: No SQL expresses the fitted models; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, near_dup, packing, perplexity, pii, quality, toxicity
+from . import bpe, fingerprint, language, lattice, near_dup, packing, perplexity, pii, quality, toxicity
 from .common import documents, labels
 
 #: Vocabulary files are parameters; these are the ones the queries take.
@@ -43,6 +43,10 @@ def op6_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.apply_rules(documents(spark, sf_dir))
 
 
+def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(documents(spark, sf_dir), tokenizer_path(PIECES))
+
+
 def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_weakly_supervised_toxicity": op4_weakly_supervised_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_kneser_ney_rules": op6_kneser_ney_rules,
+    "op7_subword_lattice": op7_subword_lattice,
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
     "op9_prefix_hash_fingerprints": op9_prefix_hash_fingerprints,
     "op10_bpe_forced_boundary": op10_bpe_forced_boundary,
