@@ -7,32 +7,33 @@ documents go, one document of each near-duplicate group (five-word shingles, sim
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import near_dup, packing, pii, quality, toxicity
-from tidewater.llm.common import documents, labels, materialise
+from tidewater.llm.common import documents, labels, materialise, whole_text
 from tidewater.llm.queries import WORD_BPE, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, keep: Column) -> DataFrame:
-    """The documents that a verdict (one row a document, by doc_id) keeps."""
-    chosen = verdicts.where(keep).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+#: Scores from which a document counts as toxic, and as good.
+TOXIC_FROM, GOOD_FROM = 0.3, 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, toxicity.score_toxicity(docs, labels(spark, sf_dir)), F.col("predicted") == 0)
+    model = toxicity.fit_toxicity(docs, labels(spark, sf_dir))
+    return docs.where(toxicity.toxicity_score(model, whole_text()) < TOXIC_FROM).select(*COLUMNS)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, quality.score_quality(docs, labels(spark, sf_dir)), F.col("predicted") == 1)
+    model = quality.fit_quality(docs, labels(spark, sf_dir))
+    return docs.where(quality.quality_score(model, whole_text()) >= GOOD_FROM).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, near_dup.near_duplicates(docs, shingle=5, percent=80), F.col("kept"))
+    dropped = near_dup.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    return near_dup.without(docs, "doc_id", materialise(dropped)).select(*COLUMNS)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

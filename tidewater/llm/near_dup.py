@@ -151,9 +151,20 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long")
 
 
+def _checked(ids: DataFrame) -> DataFrame:
+    """``ids``, marked for broadcast if a count shows that it is small; else a shuffle joins it."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 def _ids_of(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose id is in ``ids``; broadcast only up to a checked size."""
-    return df.join(F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+    """The rows of ``df`` whose id is in ``ids``."""
+    return df.join(_checked(ids), "id", "left_semi")
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is not in ``ids`` (id); rows without an id stay."""
+    gone = _checked(ids.withColumnRenamed("id", "__gone"))
+    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

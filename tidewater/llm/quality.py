@@ -6,9 +6,8 @@ that feature's lookup table. Then the pairs with the greatest gain left get tabl
 their own, boosted in turn likewise. A score is the sigmoid of the intercept plus one table
 entry for each feature and pair: vectorised additions of looked-up bins.
 
-The features of all documents are computed once and written to the shared folder. The
-tables are fitted on a bounded sample of labelled rows (``max_train``, chosen by a hash of
-the id).
+The tables are fitted on a bounded sample of labelled rows (``max_train``, chosen by a hash
+of the id); scoring reads every whole text once.
 
 Defined results: a null or empty text has all features 0 and gets the score of that; without
 labelled rows every score is 0.5; rows that repeat an id in the labels count once, with the
@@ -23,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, whole_text
+from .common import fold, whole_text
 
 FEATURES = (
     "log_words", "word_length", "distinct", "adjacent_repeats", "top_word", "symbols", "marks", "upper",
@@ -57,16 +56,9 @@ def features(text: str) -> list[float]:
     ]
 
 
-def document_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, one column for each of FEATURES)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = np.array([features(t) for t in pdf["text"]], float).reshape(-1, len(FEATURES))
-            yield pd.concat([pdf[["id"]].reset_index(drop=True), pd.DataFrame(rows, columns=list(FEATURES))], axis=1)
-
-    source = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return source.mapInPandas(run, "id long, " + ", ".join(f"{f} double" for f in FEATURES))
+def feature_matrix(texts: pd.Series) -> np.ndarray:
+    """A row of FEATURES for each text."""
+    return np.array([features(t or "") for t in texts], float).reshape(-1, len(FEATURES))
 
 
 def sampled(rows: DataFrame, most: int, id_col: str = "id") -> DataFrame:
@@ -175,16 +167,34 @@ def labelled(labels: DataFrame, label: str, modulus: int, held: int) -> DataFram
     return known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("double").alias("y"))
 
 
-def score_quality(df: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted); learns from the labels whose crc32(id) mod 5 is not 0."""
-    rows = materialise(document_features(df, id_col, text_col))
-    train = sampled(rows.join(labelled(labels, "quality", 5, 0), "id"), max_train).toPandas().sort_values(["id", *FEATURES])
-    model = fit(train[list(FEATURES)].to_numpy(float), train["y"].to_numpy(float))
+def fit_quality(df: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
+    """The model of the labels whose crc32(id) mod 5 is not 0, on the features of at most about ``max_train`` texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            score = model.scores(pdf[list(FEATURES)].to_numpy(float))
-            yield pd.DataFrame({"id": pdf["id"], "score": score, "predicted": (score >= threshold).astype("int32")})
+            found = pd.DataFrame(feature_matrix(pdf["text"]), columns=list(FEATURES))
+            yield found.assign(id=pdf["id"].to_numpy(), y=pdf["y"].to_numpy())
+
+    docs = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
+    chosen = sampled(labelled(labels, "quality", 5, 0), max_train)  # so many rows at most are broadcast
+    rows = docs.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInPandas(run, ", ".join(f"{f} double" for f in FEATURES) + ", id long, y double")
+    train = rows.toPandas().sort_values(["id", *FEATURES])
+    return fit(train[list(FEATURES)].to_numpy(float), train["y"].to_numpy(float))
 
-    found = rows.mapInPandas(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
-    return found.select(id_col, F.coalesce(fold(F.col(id_col), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+def quality_score(model: AdditiveModel, text: Column) -> Column:
+    """The score of a text: 0 to 1, higher where the label 1 is likelier."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(feature_matrix(texts)))
+
+    return score(text)
+
+
+def score_quality(df: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, score, predicted)."""
+    model = fit_quality(df, labels, max_train, id_col, text_col)
+    found = df.select(F.col(id_col).cast("long").alias("id"), quality_score(model, whole_text(text_col)).alias("score"))
+    held = F.coalesce(fold(F.col("id"), 5) == 0, F.lit(False))
+    return found.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

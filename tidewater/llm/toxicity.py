@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, materialise, whole_text
@@ -104,13 +104,6 @@ class Voters:
         found.update(len(self.names) + k for k, p in enumerate(_PATTERNS) if p.search(text))
         return sorted(found), hits
 
-    def matrix(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out, hits = np.zeros((len(texts), self.n), np.float32), np.zeros(len(texts), np.float32)
-        for row, text in enumerate(texts):
-            on, hits[row] = self.votes(text)
-            out[row, on] = 1
-        return out, np.log1p(hits)
-
 
 def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 15) -> np.ndarray:
     """Posterior probability of toxic for each row of ``votes``; ``y`` votes along with LABEL_TRUST."""
@@ -149,8 +142,20 @@ def linear_classifier(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds:
     return w
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted); learns from the labels whose crc32(id) mod 4 is not 2."""
+class ToxicityModel:
+    """The voters and the linear classifier's weights: one a voter, one for the hits, the intercept."""
+
+    def __init__(self, voters: Voters, weights: np.ndarray):
+        self.voters, self.weights = voters, weights
+
+    def score(self, text: str) -> float:
+        on, hits = self.voters.votes(text)
+        z = self.weights[on].sum() + self.weights[-2] * np.log1p(hits) + self.weights[-1]
+        return 1.0 / (1.0 + float(np.exp(-np.clip(z, -30, 30))))
+
+
+def fit_toxicity(df: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    """The model of the labels whose crc32(id) mod 4 is not 2, on at most about ``max_train`` texts."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     chosen = sampled(labelled(labels, "toxic", 4, 2), max_train)  # so many rows at most are broadcast
     texts = materialise(docs.join(F.broadcast(chosen), "id").select("id", "y", "text"))
@@ -162,24 +167,29 @@ def score_toxicity(df: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "on": [on for on, _ in found], "hits": [h for _, h in found]})
 
     rows = texts.mapInPandas(vote, "id long, y double, on array<int>, hits long").toPandas().sort_values(["id", "hits"])
-    x = np.zeros((len(rows), voters.n), np.float32)
+    if not len(rows):
+        return ToxicityModel(voters, np.concatenate([np.full(len(SEED), 2.0), np.zeros(voters.n - len(SEED)), [2.0, -3.0]]))
+    x = np.zeros((len(rows), voters.n + 1), np.float32)
     for i, on in enumerate(rows["on"]):
         x[i, list(on)] = 1
-    y = rows["y"].to_numpy(float)
-    if len(rows):
-        q = label_model(x, y)
-        weights = linear_classifier(np.hstack([x, np.log1p(rows["hits"].to_numpy(np.float32))[:, None]]), q)
-    else:
-        weights = np.concatenate([np.full(len(SEED), 2.0), np.zeros(voters.n - len(SEED)), [2.0, -3.0]])
+    x[:, -1] = np.log1p(rows["hits"].to_numpy(np.float32))
+    q = label_model(x[:, :-1], rows["y"].to_numpy(float))
+    return ToxicityModel(voters, linear_classifier(x, q))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            score = []
-            for text in pdf["text"]:
-                on, hits = voters.votes(text)
-                z = weights[on].sum() + weights[-2] * np.log1p(hits) + weights[-1]
-                score.append(1.0 / (1.0 + float(np.exp(-np.clip(z, -30, 30)))))
-            yield pd.DataFrame({"id": pdf["id"], "score": score, "predicted": (np.array(score) >= threshold).astype("int32")})
-
-    found = docs.mapInPandas(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
-    return found.select(id_col, F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+def toxicity_score(model: ToxicityModel, text: Column) -> Column:
+    """The score of a text: 0 to 1, higher where it is likelier toxic."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t or "") for t in texts], dtype=float)
+
+    return score(text)
+
+
+def score_toxicity(df: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, score, predicted)."""
+    model = fit_toxicity(df, labels, max_train, id_col, text_col)
+    found = df.select(F.col(id_col).cast("long").alias("id"), toxicity_score(model, whole_text(text_col)).alias("score"))
+    held = F.coalesce(fold(F.col("id"), 4) == 2, F.lit(False))
+    return found.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
