@@ -190,6 +190,32 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return materialise(joined.select("a", "b", "s_a", "s_b").mapInPandas(run, "a long, b long"))
 
 
+def _of_many(members: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    apart = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return members.join(apart, "key", "left_semi")
+
+
+def _linkable(ids: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The ids that can have a link into another component.
+
+    What a document shares with one of another component is among its shingles that any other
+    component holds; if those are fewer than ``percent`` of its set, no such link exists. ``ids``: (id, component).
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingles(t, size) for t in pdf["text"]]
+            n = [len(s) for s in found]
+            if sum(n):
+                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "n": np.repeat(n, n), "s": np.concatenate(found).view(np.int64)})
+
+    rows = _ids_of(docs, ids.select("id")).mapInPandas(each, "id long, n long, s long").join(_checked(ids), "id")
+    shared = rows.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
+    counts = rows.join(shared, "s", "left_semi").groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    return counts.where(F.col("c") * 100 >= F.col("n") * percent).select("id")
+
+
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept): the components of documents linked by Jaccard similarity >= percent / 100."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
@@ -205,8 +231,9 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     joined = materialise(components(links))
 
     grouped = keyed.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    members = materialise(grouped.join(apart, "key", "left_semi"))
+    members = materialise(_of_many(grouped))
+    linkable = materialise(_linkable(members.select("id", "component").distinct(), docs, shingle, percent))
+    members = _of_many(members.join(linkable, "id", "left_semi"))
     left, right = members.select("key", F.col("id").alias("a"), F.col("component").alias("x"), F.col("bits").alias("p")), members.select("key", F.col("id").alias("b"), F.col("component").alias("y"), F.col("bits").alias("q"))
     cross = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= BITS_APART)).select("a", "b").distinct()
     more = _confirmed(_near(cross, classes), docs, shingle, percent)
