@@ -133,14 +133,18 @@ def revealing_spans(docs: DataFrame, min_support: int = 3, generalise_from: floa
     near = mentions.join(_small(entities.select("entity")), "entity", "left_semi")
     near = materialise(near.select("__doc", "__key", "entity", F.inline(F.array_union(F.expr(_neighbours("left")), F.expr(_neighbours("right"))))).distinct())
     pairs = near.select("entity", "term", "__doc", "__key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_support)
-    pairs = materialise(pairs.join(entities, "entity"))
+    total = docs.count()
+    # a term stands in at least the documents in which it is near an entity; a pair that falls short with this
+    # count falls short with the full one, so common words need no count over the corpus
+    least = near.select("term", "__doc", "__key").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    share = F.expr(f"ln(n_te * {total}D / (greatest(n_t, n_te) * n_e)) / nullif(ln({total}D / n_e), 0)")
+    bound = pairs.join(entities, "entity").join(least, "term").withColumn("most", share)
+    pairs = materialise(bound.where(F.col("most") >= generalise_from).select("entity", "term", "n_te", "n_e"))
     terms = materialise(pairs.select("term").distinct())
     each = docs.select(F.explode(F.array_distinct(F.split(F.lower("__text"), r"[^\p{L}\p{N}]+"))).alias("term"))
     known = _small(terms)
     in_docs = each.join(known, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n"))
-    share = F.expr("ln(n_te * n / (greatest(n_t, n_te) * n_e)) / ln(n / n_e)")
-    scored = pairs.join(in_docs, "term").crossJoin(F.broadcast(total)).where("n > n_e").withColumn("share", share)
+    scored = pairs.join(in_docs, "term").withColumn("share", share)
     revealing = materialise(scored.where(F.col("share") >= generalise_from).select("entity", "term", (F.col("share") >= remove_from).alias("remove")))
     spans = near.join(_small(revealing), ["entity", "term"]).groupBy("__doc", "__key", "start", "end").agg(F.max("remove").alias("remove"))
     return spans.groupBy("__doc", "__key").agg(F.collect_list(F.struct("start", "end", "remove")).alias("terms"))
