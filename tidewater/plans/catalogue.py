@@ -1,6 +1,6 @@
 """All named queries and their SQL twins."""
 
-from . import indicators, series  # noqa: F401  registers the queries
+from . import decisions, indicators, market, models, series  # noqa: F401  registers the queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
