@@ -40,6 +40,8 @@ SYMBOLS, CHUNKS, THRESHOLD = 80, 16, 31
 WIDTH = SYMBOLS // CHUNKS
 #: The lowest bits of 64 symbols; a pair of similarity 0.8 differs in over 18 of them with probability 3e-6.
 BITS_APART = 18
+#: Shingles are told apart by how many documents hold them: up to 2, 4, 8, ... or more.
+SHARED_BY = (2, 4, 8, 16, 32, 64, 128)
 #: A set of ids is broadcast up to so many rows (16 MB); beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -197,10 +199,11 @@ def _of_many(members: DataFrame) -> DataFrame:
 
 
 def _linkable(ids: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ids that can have a link into another component.
+    """(id, n, c0, c1, ...): ids that can have a link into another component, with set size and shared shingles.
 
     What a document shares with one of another component is among its shingles that any other
-    component holds; if those are fewer than ``percent`` of its set, no such link exists. ``ids``: (id, component).
+    component holds; if those are fewer than ``percent`` of its set, no such link exists. They are
+    counted by kind, that is by how many documents hold them (SHARED_BY). ``ids``: (id, component).
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,9 +214,11 @@ def _linkable(ids: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "n": np.repeat(n, n), "s": np.concatenate(found).view(np.int64)})
 
     rows = _ids_of(docs, ids.select("id")).mapInPandas(each, "id long, n long, s long").join(_checked(ids), "id")
-    shared = rows.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
-    counts = rows.join(shared, "s", "left_semi").groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    return counts.where(F.col("c") * 100 >= F.col("n") * percent).select("id")
+    kind = sum((F.col("d") > most).cast("int") for most in SHARED_BY)
+    shared = rows.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("d")).where("x <> y").select("s", kind.alias("kind"))
+    by_kind = [F.count_if(F.col("kind") == i).alias(f"c{i}") for i in range(len(SHARED_BY) + 1)]
+    counts = rows.join(shared, "s").groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("c"), *by_kind)
+    return counts.where(F.col("c") * 100 >= F.col("n") * percent).drop("c")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,9 +238,15 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     grouped = keyed.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = materialise(_of_many(grouped))
     linkable = materialise(_linkable(members.select("id", "component").distinct(), docs, shingle, percent))
-    members = _of_many(members.join(linkable, "id", "left_semi"))
-    left, right = members.select("key", F.col("id").alias("a"), F.col("component").alias("x"), F.col("bits").alias("p")), members.select("key", F.col("id").alias("b"), F.col("component").alias("y"), F.col("bits").alias("q"))
-    cross = left.join(right, "key").where((F.col("x") < F.col("y")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= BITS_APART)).select("a", "b").distinct()
+    members = _of_many(members.join(linkable, "id"))
+    kinds = range(len(SHARED_BY) + 1)
+    left = members.selectExpr("key", "id AS a", "component AS x", "bits AS p", "n AS n_a", *[f"c{i} AS a{i}" for i in kinds])
+    right = members.selectExpr("key", "id AS b", "component AS y", "bits AS q", "n AS n_b", *[f"c{i} AS b{i}" for i in kinds])
+    # of each kind of shingles two documents have at most the lesser number in common
+    common = " + ".join(f"least(a{i}, b{i})" for i in kinds)
+    possible = F.expr(f"{100 + percent} * ({common}) >= {percent} * (n_a + n_b)")
+    close = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= BITS_APART
+    cross = left.join(right, "key").where((F.col("x") < F.col("y")) & possible & close).select("a", "b").distinct()
     more = _confirmed(_near(cross, classes), docs, shingle, percent)
 
     # a document of a class stands in its class's component
