@@ -72,4 +72,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_forced_boundary": op10_bpe_forced_boundary,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can express an operator: all pairs through an inverted index, components by recursion.
+ORACLE_SQL: dict[str, str] = {
+    "op2_multi_index_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+u AS (SELECT doc_id, unnest(s) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.s) + len(y.s) - c)),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.other FROM r JOIN l ON l.a = r.doc_id)
+SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept FROM s JOIN r USING (doc_id) GROUP BY s.doc_id
+""",
+}
