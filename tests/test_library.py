@@ -158,13 +158,13 @@ def drained(query):
 
 
 def test_stream_bars_equal_batch_bars(spark, tmp_path):
-    src = "/root/testdata/sf0.001/events.parquet"
-    stream = pipeline.file_stream(spark, src).withColumnRenamed("event_type", "symbol").withColumnRenamed("value", "price")
+    folder = "/root/testdata/sf0.001"
+    stream = pipeline.file_stream(spark, folder, names="events.parquet").withColumnRenamed("event_type", "symbol").withColumnRenamed("value", "price")
     bars = pipeline.windowed_bars(stream, "1 hour", late="40 days")
     drained(pipeline.run(bars, f"{tmp_path}/c", sink=lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/out/{i}"), mode="complete"))
     last = max((int(p.name) for p in (tmp_path / "out").iterdir()))
     got = {(r["k"], r["t"]): (r["open"], r["high"], r["low"], r["close"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out/{last}").collect()}
-    batch = spark.read.parquet(src).withColumn("ts", F.col("ts").cast("timestamp")).groupBy("event_type", F.date_trunc("hour", "ts").alias("t")).agg(F.min_by("value", "ts").alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", "ts").alias("c"), F.count("*").alias("n"))
+    batch = spark.read.parquet(f"{folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).groupBy("event_type", F.date_trunc("hour", "ts").alias("t")).agg(F.min_by("value", "ts").alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", "ts").alias("c"), F.count("*").alias("n"))
     assert got == {(r["event_type"], r["t"]): tuple(r)[2:] for r in batch.collect()}
 
 

@@ -12,9 +12,9 @@ from .. import schemas
 from .parse import errors, parse
 
 
-def file_stream(spark: SparkSession, path: str, schema: str = schemas.EVENTS, per_trigger: int = 1) -> DataFrame:
-    """Parquet files as a stream; ``per_trigger`` files a batch (back-pressure, nothing is dropped)."""
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+def file_stream(spark: SparkSession, folder: str, schema: str = schemas.EVENTS, per_trigger: int = 1, names: str = "*.parquet") -> DataFrame:
+    """A folder's Parquet files as a stream; ``per_trigger`` files a batch (back-pressure, nothing is dropped)."""
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", names).parquet(folder)
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
