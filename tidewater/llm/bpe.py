@@ -47,7 +47,7 @@ class Encoder:
     bounded memo of what it has encoded; a memo never changes a result.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, library_merges: bool = False):
         from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as file:
@@ -68,6 +68,7 @@ class Encoder:
         # the library's own steps, for characters on which Unicode versions may differ
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.pre_tokenizer = pre_tokenizers.Split(Regex(split), "removed", invert=True)
+        self.library = Tokenizer.from_file(path).model if library_merges else None
         self.symbol = byte_symbols()
         # one-character tokens are symbols themselves; a token's inner pairs are never forced boundaries
         self.joined = {t[i : i + 2] for token in self.vocab for t in [token.removesuffix(self.suffix)] for i in range(len(t) - 1)}
@@ -104,7 +105,10 @@ class Encoder:
             parts = list(symbols)
             if last:
                 parts[-1] += self.suffix
-            found = self._merge(parts) if len(parts) <= 48 else self._merge_long(parts)
+            if last and self.library is not None:
+                found = tuple([t.id for t in self.library.tokenize(symbols)])
+            else:
+                found = self._merge(parts) if len(parts) <= 48 else self._merge_long(parts)
             if len(self.fragments) >= CACHE:
                 self.fragments.clear()
             self.fragments[symbols, last] = found
@@ -190,9 +194,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    return Encoder(path)
+def encoder(path: str, library_merges: bool = False) -> Encoder:
+    """One encoder per worker process and file; ``library_merges``: the tokenizers library merges the fragments that end a pre-token."""
+    return Encoder(path, library_merges)
 
 
 def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

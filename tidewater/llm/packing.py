@@ -38,7 +38,7 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """(id, piece, start, length, ids_crc32, bucket): documents, an end token after each, cut where longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer_path, library_merges=True), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
