@@ -6,7 +6,7 @@ if the symbols are split into ``CHUNKS`` chunks, such a pair differs in at most
 ``THRESHOLD // CHUNKS`` = 1 symbol of some chunk; so each document is entered, for each
 chunk, under the chunk with each one of its symbols masked (the allowed chunk errors),
 and every pair under the threshold meets under some key. The threshold is chosen so
-that a pair of Jaccard similarity 0.8 exceeds it with a probability of about 2e-5,
+that a pair of Jaccard similarity 0.8 exceeds it with a probability of about 3e-5,
 and more similar pairs practically never. Every candidate is confirmed on the full
 shingle sets.
 
@@ -38,7 +38,7 @@ from .components import components
 
 SYMBOLS, CHUNKS, THRESHOLD = 80, 16, 31
 WIDTH = SYMBOLS // CHUNKS
-#: The lowest bits of 64 symbols; a pair of similarity 0.8 differs in over 18 of them with probability 3e-6.
+#: The lowest bits of 64 symbols; a pair of similarity 0.8 differs in over 18 of them with probability 1e-5.
 BITS_APART = 18
 #: Shingles are told apart by how many documents hold them: up to 2, 4, 8, ... or more.
 SHARED_BY = (2, 4, 8, 16, 32, 64, 128)
