@@ -140,11 +140,10 @@ def revealing_spans(docs: DataFrame, min_support: int = 3, generalise_from: floa
     share = F.expr(f"ln(n_te * {total}D / (greatest(n_t, n_te) * n_e)) / nullif(ln({total}D / n_e), 0)")
     bound = pairs.join(entities, "entity").join(least, "term").withColumn("most", share)
     pairs = materialise(bound.where(F.col("most") >= generalise_from).select("entity", "term", "n_te", "n_e"))
-    terms = materialise(pairs.select("term").distinct())
+    # the tasks count all words of their documents first; the join then sees one row a word
     each = docs.select(F.explode(F.array_distinct(F.split(F.lower("__text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    known = _small(terms)
-    in_docs = each.join(known, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.join(in_docs, "term").withColumn("share", share)
+    in_docs = each.groupBy("term").agg(F.count("*").alias("n_t"))
+    scored = in_docs.join(_small(pairs), "term").withColumn("share", share)
     revealing = materialise(scored.where(F.col("share") >= generalise_from).select("entity", "term", (F.col("share") >= remove_from).alias("remove")))
     spans = near.join(_small(revealing), ["entity", "term"]).groupBy("__doc", "__key", "start", "end").agg(F.max("remove").alias("remove"))
     return spans.groupBy("__doc", "__key").agg(F.collect_list(F.struct("start", "end", "remove")).alias("terms"))
