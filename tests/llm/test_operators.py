@@ -152,6 +152,21 @@ def test_pigeonhole_keys_find_all_pairs_under_the_threshold():
         assert set(near_dup.bucket_keys(a[None])[0]) & set(near_dup.bucket_keys(b[None])[0])
 
 
+def test_a_pair_is_compared_in_its_first_shared_bucket_only(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for n in range(120):
+        a = rng.integers(0, 1 << 16, near_dup.SYMBOLS).astype(np.uint16)
+        b = a.copy()
+        b[rng.choice(near_dup.SYMBOLS, n % 60, replace=False)] ^= np.uint16(256)
+        keys = near_dup.bucket_keys(np.stack([a, b]))
+        shared = np.flatnonzero(keys[0] == keys[1])
+        rows += [(n, int(at), a.tobytes(), b.tobytes(), bool(at == shared[0])) for at in shared]
+    pairs = spark.createDataFrame(rows, "n int, place int, u binary, v binary, first boolean")
+    got = pairs.selectExpr("first", near_dup.first_shared("place", "u", "v") + " AS got").collect()
+    assert got and all(r["got"] == r["first"] for r in got)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, None), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

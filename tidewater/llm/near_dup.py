@@ -13,7 +13,8 @@ shingle sets.
 No group is expanded into all its pairs: documents with equal sets are one class; in
 every bucket each class is compared with the bucket's smallest one; classes that these
 links have joined are one component, and only pairs in a bucket that lie in different
-components are compared then. That loses no link that matters to the components.
+components are compared then, each in the first bucket it shares. That loses no link that
+matters to the components.
 
 Defined results: a null or blank text has an empty set, no links, and is its own
 component; fewer words than a shingle make one shingle of the whole sequence; every input
@@ -124,7 +125,7 @@ def _signed(df: DataFrame, size: int) -> DataFrame:
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
-    """(key, id, bits): one row for each bucket a class is entered in."""
+    """(key, place, id, bits): one row for each bucket a class is entered in; ``place`` is chunk * WIDTH + masked symbol."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,9 +134,23 @@ def _keyed(classes: DataFrame) -> DataFrame:
             bits = ((sig[:, :64].astype(np.uint64) & np.uint64(1)) * weights).sum(axis=1, dtype=np.uint64)
             keys = bucket_keys(sig)
             each = keys.shape[1]
-            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "id": np.repeat(pdf["id"].to_numpy(), each), "bits": np.repeat(bits.view(np.int64), each)})
+            place = np.tile(np.arange(each, dtype=np.int32), len(sig))
+            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "place": place, "id": np.repeat(pdf["id"].to_numpy(), each), "bits": np.repeat(bits.view(np.int64), each)})
 
-    return classes.select("id", "sig").mapInPandas(run, "key long, id long, bits long")
+    return classes.select("id", "sig").mapInPandas(run, "key long, place int, id long, bits long")
+
+
+def first_shared(place: str, one: str, two: str) -> str:
+    """SQL: of the buckets that two signatures share, the one at ``place`` is the first.
+
+    They share a bucket of a chunk if at most one of its symbols differs: the bucket that masks the
+    differing symbol, or, if none differs, all of the chunk's. A pair met in many buckets so counts once.
+    """
+    differs = f"substring({one}, 2 * (k) + 1, 2) <> substring({two}, 2 * (k) + 1, 2)"
+    earlier = differs.replace("(k)", f"({WIDTH} * c + i)")
+    chunks, symbols = (f"array({', '.join(map(str, range(n)))})" for n in (CHUNKS, WIDTH))
+    return f"""({place} % {WIDTH} = 0 OR {differs.replace("(k)", place)})
+        AND NOT exists({chunks}, c -> c < {place} div {WIDTH} AND size(filter({symbols}, i -> {earlier})) <= 1)"""
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -238,15 +253,16 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     grouped = keyed.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = materialise(_of_many(grouped))
     linkable = materialise(_linkable(members.select("id", "component").distinct(), docs, shingle, percent))
-    members = _of_many(members.join(linkable, "id"))
+    members = _of_many(members.join(linkable.join(classes.select("id", "sig"), "id"), "id"))
     kinds = range(len(SHARED_BY) + 1)
-    left = members.selectExpr("key", "id AS a", "component AS x", "bits AS p", "n AS n_a", *[f"c{i} AS a{i}" for i in kinds])
-    right = members.selectExpr("key", "id AS b", "component AS y", "bits AS q", "n AS n_b", *[f"c{i} AS b{i}" for i in kinds])
+    left = members.selectExpr("key", "place", "sig AS u", "id AS a", "component AS x", "bits AS p", "n AS n_a", *[f"c{i} AS a{i}" for i in kinds])
+    right = members.selectExpr("key", "sig AS v", "id AS b", "component AS y", "bits AS q", "n AS n_b", *[f"c{i} AS b{i}" for i in kinds])
     # of each kind of shingles two documents have at most the lesser number in common
     common = " + ".join(f"least(a{i}, b{i})" for i in kinds)
     possible = F.expr(f"{100 + percent} * ({common}) >= {percent} * (n_a + n_b)")
     close = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= BITS_APART
-    cross = left.join(right, "key").where((F.col("x") < F.col("y")) & possible & close).select("a", "b").distinct()
+    first = F.expr(first_shared("place", "u", "v"))
+    cross = left.join(right, "key").where((F.col("x") < F.col("y")) & possible & close & first).select("a", "b").distinct()
     more = _confirmed(_near(cross, classes), docs, shingle, percent)
 
     # a document of a class stands in its class's component
