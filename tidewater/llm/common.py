@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these (the contract's ``[^\x20\x09-\x0D]+``).
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
+_held: dict[str, Callable[[], None]] = {}
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -51,6 +54,18 @@ def _remove_tables() -> None:
             return
 
 
+def hold(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Makes ``name`` the one operator whose caches this Python worker keeps.
+
+    Workers serve one stage after another; a task calls this first, and what an earlier
+    operator has cached (``clear`` empties it) goes.
+    """
+    for other in [x for x in _held if x != name]:
+        _held.pop(other)()
+    if clear is not None:
+        _held[name] = clear
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))

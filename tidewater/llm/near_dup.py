@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_text
+from .common import hold, materialise, whole_text
 from .components import components
 
 SYMBOLS, CHUNKS, THRESHOLD = 80, 16, 31
@@ -52,11 +52,15 @@ _MASKS = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Words whose hashes a Python worker keeps, and shingles it hands on at once; both bound its memory.
+WORDS, AT_ONCE = 65_536, 200_000
+
+
 class _Words(dict):
     """Word to 64-bit hash; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) >= WORDS:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, 7)
         return value
@@ -108,10 +112,25 @@ def bucket_keys(symbols: np.ndarray) -> np.ndarray:
     return out.reshape(len(chunks), -1)
 
 
+def _sets(pdf: pd.DataFrame, size: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """The ids and shingle sets of a batch, in parts of about AT_ONCE shingles (or one document)."""
+    ids, found, n = [], [], 0
+    for at, text in zip(pdf["id"], pdf["text"]):
+        ids.append(at)
+        found.append(shingles(text, size))
+        n += len(found[-1])
+        if n >= AT_ONCE:
+            yield ids, found
+            ids, found, n = [], [], 0
+    if ids:
+        yield ids, found
+
+
 def _signed(df: DataFrame, size: int) -> DataFrame:
     """(id, n, k1, k2, sig): set size, 128-bit identity of the set, signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("near_dup", _words.clear)
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
@@ -189,7 +208,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t, size).tobytes() for t in pdf["text"]]})
+            for ids, found in _sets(pdf, size):
+                yield pd.DataFrame({"id": ids, "s": [s.tobytes() for s in found]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -223,10 +243,9 @@ def _linkable(ids: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [shingles(t, size) for t in pdf["text"]]
-            n = [len(s) for s in found]
-            if sum(n):
-                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "n": np.repeat(n, n), "s": np.concatenate(found).view(np.int64)})
+            for ids, found in _sets(pdf, size):
+                n = [len(s) for s in found]
+                yield pd.DataFrame({"id": np.repeat(ids, n), "n": np.repeat(n, n), "s": np.concatenate(found).view(np.int64)})
 
     rows = _ids_of(docs, ids.select("id")).mapInPandas(each, "id long, n long, s long").join(_checked(ids), "id")
     kind = sum((F.col("d") > most).cast("int") for most in SHARED_BY)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialise, whole_text
+from .common import hold, materialise, whole_text
 
 #: Ranks within a length are dealt out in so many buckets, so that a frequent length is no single group.
 BUCKETS = 64
@@ -38,6 +38,7 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """(id, piece, start, length, ids_crc32, bucket): documents, an end token after each, cut where longer than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("packing", encoder.cache_clear)
         enc, end = encoder(tokenizer_path, library_merges=True), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []

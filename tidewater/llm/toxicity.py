@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, whole_text
+from .common import fold, hold, materialise, whole_text
 from .quality import labelled, sampled
 
 #: Labelled rows the model is fitted on at most.
@@ -182,6 +182,7 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        hold("toxicity")
         return pd.Series([model.score(t or "") for t in texts], dtype=float)
 
     return score(text)
