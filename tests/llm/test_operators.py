@@ -102,6 +102,43 @@ def test_pii_terms_that_reveal_an_entity_go(spark):
     assert all("contact [EMAIL] today" in found[200 + i] for i in range(30))
 
 
+def test_pii_terms_go_wherever_they_stand(spark):
+    rng = random.Random(11)
+    docs = [(i, words(rng, 40), "en") for i in range(80)]
+    # names far from the address, short and with digits, and in documents without it
+    docs += [(100 + i, "Brindlewax Oq R2x7 " + words(rng, 150) + " bw@harbour.example", "en") for i in range(6)]
+    docs += [(200 + i, words(rng, 10) + " BRINDLEWAX, oq (r2x7) " + words(rng, 10), "en") for i in range(3)]
+    docs += [(300 + i, f"{words(rng, 10)} u{i}@mail.example", "en") for i in range(20)]
+    found = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, docs)).collect()}
+    for i in [*range(100, 106), *range(200, 203)]:
+        assert not re.search(r"brindlewax|\boq\b|r2x7", found[i].lower())
+    for i, text, _ in docs[86:89]:
+        assert re.fullmatch(r"(w[0-9]+ |\[TERM\] ){10}\[TERM\], \[TERM\] \(\[TERM\]\)( w[0-9]+| \[TERM\]){10}", found[i]), found[i]
+
+
+def test_pii_terms_match_brute_force(spark):
+    rng = random.Random(12)
+    docs = [(i, words(rng, 30, 120) + rng.choice(["", " a@b.c", " a@b.c é1.2.3.4x", " İx+44 20 7946 0958"]), "en") for i in range(150)] + [(3, "rare one", "en")] * 3 + [(500 + i, "rare one a@b.c w1", "en") for i in range(4)]
+    token = re.compile(r"(?<![^\W_])(?:[^\W\d_]++(?!\d)|(?<!\uffff)(?<![\d\uffff][.-])[^\W_]++(?:(?<=\d)[.-](?=\d)[^\W_]++)*+(?!\uffff)(?!(?<=\d)[.-]\uffff))")
+    held, entities, bare = [], [], []
+    for _, text, _ in docs:
+        spans = [tuple(s.split(":")) for s in base_spans(text)[1].split(",") if s]
+        plain = text
+        for _, a, b in spans:
+            plain = plain[: int(a)] + "\uffff" * (int(b) - int(a)) + plain[int(b) :]
+        entities.append({(k, re.sub("[^0-9]", "", text[int(a) : int(b)]) if k in ("card", "phone") else text[int(a) : int(b)].lower()) for k, a, b in spans})
+        held.append({m[0].lower() for m in token.finditer(plain)})
+        bare.append(plain)
+    n_t = Counter(t for h in held for t in h)
+    once = {(i, t): (e, h) for (i, t, _), e, h in zip(docs, entities, held)}
+    n_e = Counter(x for e, _ in once.values() for x in e)
+    n_te = Counter((x, t) for e, h in once.values() for x in e for t in h)
+    marks = {t for (e, t), n in n_te.items() if n >= 3 and np.log(n * len(docs) / (n_t[t] * n_e[e])) >= 0.8 * np.log(len(docs) / n_e[e])}
+    assert marks
+    want = Counter((i, ",".join([base_spans(text)[1]] * bool(base_spans(text)[1]) + [f"term:{m.start()}:{m.end()}" for m in token.finditer(b) if m[0].lower() in marks])) for (i, text, _), b in zip(docs, bare))
+    assert Counter((r["doc_id"], r["spans"]) for r in pii.find_personal_data(frame(spark, docs)).collect()) == want
+
+
 # -- 2: near-duplicates -----------------------------------------------------------------
 def brute_components(docs, size, percent):
     sets = {}

@@ -1,15 +1,15 @@
 """Personal data: patterns for the entities themselves, information theory for what reveals them.
 
 E-mail addresses, IP addresses, card numbers and phone numbers are found by pattern and
-check. Each distinct value is a protected entity. A term in the neighbourhood of an
-entity's mentions reveals it to the degree that seeing the term informs about the entity:
-with n(t) and n(e) the documents that hold term and entity, n(t, e) those in which the
-term stands near the entity, and N all documents, the pointwise mutual information
-log(n(t, e) N / (n(t) n(e))) is compared with the entity's information content
-log(N / n(e)). Where at least ``min_support`` documents show the pair, a share of
-``generalise_from`` or more makes the term's mention there a span to generalise and one
-of ``remove_from`` or more a span to remove. Documents without personal data are left
-as they are. All counts cover all documents.
+check. Each distinct value is a protected entity. A term (a word or number
+outside the entities, without regard to case) reveals an entity to the degree that seeing
+the term informs about it: with n(t) and n(e) the documents that hold term and entity,
+n(t, e) those that hold both, at whatever distance, and N all documents, the pointwise
+mutual information log(n(t, e) N / (n(t) n(e))) is compared with the entity's information
+content log(N / n(e)). Where at least ``min_support`` documents show the pair, a share of
+``generalise_from`` or more makes the term a span to generalise and one of ``remove_from``
+or more a span to remove, wherever it stands in any document, with the entity or without.
+All counts cover all documents.
 
 Only DataFrame functions are used. Patterns have possessive quantifiers, so that no text
 makes the matcher backtrack or recurse deeply; they match what the plain patterns match.
@@ -29,8 +29,6 @@ from .common import materialise, whole_text
 KINDS = ("email", "ip", "card", "phone")
 #: A set of terms is broadcast up to so many rows; beyond, it is joined by a shuffle.
 BROADCAST_TERMS = 200_000
-#: Code points on each side of a mention that count as its neighbourhood.
-REACH = 100
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 #: The contract's patterns. ``\G`` and the look-behinds only skip places where a match can't begin.
@@ -95,24 +93,33 @@ def _entity() -> Column:
     return F.expr("concat(kind, ':', CASE WHEN kind >= 2 THEN regexp_replace(value, '[^0-9]', '') ELSE lower(value) END)")
 
 
-_TERM = r"(?<=[^\p{L}\p{N}])[\p{L}]{4,}+(?![\p{L}\p{N}])"
-#: Right after a possessive run of letters the look-ahead only has to exclude digits.
-
-
-def _neighbours(side: str) -> str:
-    """SQL: the terms of one side of the mention (start, end) of ``__text``, as (start, end, value)."""
-    if side == "left":
-        begin, length = f"greatest(start - {REACH}, 0)", f"start - greatest(start - {REACH}, 0)"
-    else:
-        begin, length = "end", str(REACH)
-    # a blank stands for the text's edge; a cut through a word leaves no character before or after it
-    head = f"CASE WHEN {begin} = 0 THEN ' ' ELSE '' END"
-    tail = "" if side == "left" else f", CASE WHEN end + {REACH} >= length(__text) THEN ' ' ELSE '' END"
-    context = f"concat({head}, substring(__text, {begin} + 1, {length}){tail})"
-    spans = _positions(9, f"regexp_extract_all({context}, {_sql(_TERM)}, 0)", context, _TERM)
-    shift = f"{begin} - CASE WHEN {begin} = 0 THEN 1 ELSE 0 END"
-    inside = f"filter({spans}, x -> x.end < length({context}))" if side == "right" else spans
-    return f"transform({inside}, x -> named_struct('start', x.start + {shift}, 'end', x.end + {shift}, 'term', lower(x.value)))"
+#: A term is a run of letters and digits, whatever its length; digits joined by a point or hyphen are one number
+#: and one term (3.14, 2024-05-01). What hangs on an entity without a space and has digits is a piece of it, not a term.
+_TERM = r"(?<![\p{L}\p{N}])(?:\p{L}++(?!\p{N})|(?<!\x{FFFF}[\p{L}\p{N}._%+@-]{0,100})(?<!\p{N}[.-])[\p{L}\p{N}]++(?:(?<=\p{N})[.-](?=\p{N})[\p{L}\p{N}]++)*+(?!\x{FFFF})(?!(?<=\p{N})[.-]\x{FFFF}))"
+#: ``__text`` with U+FFFF, no character, in the place of the base spans: what the terms are read from, at their places in the text.
+_BARE = """CASE WHEN size(__base) = 0 THEN __text ELSE aggregate(array_sort(transform(__base, x -> named_struct('s', x.start, 'e', x.end))),
+    named_struct('pos', 0, 'out', cast(array() as array<string>)),
+    (a, x) -> CASE WHEN x.e <= a.pos THEN a
+        ELSE named_struct('pos', x.e, 'out', array_append(array_append(a.out, substring(__text, a.pos + 1, x.s - a.pos)), repeat('\uffff', x.e - greatest(a.pos, x.s)))) END,
+    a -> concat(array_join(a.out, ''), substring(__text, a.pos + 1))) END"""
+
+
+def _terms(bare: str = "__bare") -> Column:
+    """The distinct terms of a text without its base spans; each is lowered by itself, as where it is marked."""
+    return F.expr(f"array_distinct(transform(regexp_extract_all({bare}, {_sql(_TERM)}, 0), x -> lower(x)))")
+
+
+def _marked(bare: str = "__bare", marks: str = "__marks") -> str:
+    """SQL: where the terms of the map ``marks`` (term to remove) stand in ``bare``, as (start, end, remove)."""
+    empty = "cast(array() as array<struct<start:int,end:int,remove:boolean>>)"
+    found = f"regexp_extract_all({bare}, {_sql(_TERM)}, 0)"
+    end = "a.pos + length(x.g) + length(x.m)"
+    return f"""CASE WHEN {marks} IS NULL THEN {empty} ELSE
+        aggregate(zip_with({found}, slice(split({bare}, {_sql(_TERM)}, -1), 1, size({found})), (m, g) -> named_struct('m', m, 'g', g, 'r', element_at({marks}, lower(m)))),
+            named_struct('pos', 0, 'out', {empty}),
+            (a, x) -> named_struct('pos', {end}, 'out', CASE WHEN x.r IS NULL THEN a.out
+                ELSE array_append(a.out, named_struct('start', a.pos + length(x.g), 'end', {end}, 'remove', x.r)) END),
+            a -> a.out) END"""
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -120,42 +127,43 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
 
 
-def revealing_spans(docs: DataFrame, min_support: int = 3, generalise_from: float = 0.8, remove_from: float = 0.95) -> DataFrame:
-    """(__doc, __key, terms): for documents in which terms reveal an entity, the spans of those terms.
+def revealing_terms(docs: DataFrame, min_support: int = 3, generalise_from: float = 0.8, remove_from: float = 0.95) -> DataFrame:
+    """(term, remove): the terms that reveal an entity, and whether one of their shares asks for removal.
 
-    ``docs`` has __doc, __text, __key (a hash of the text) and __base.
+    ``docs`` has __doc, __bare, __key (a hash of the text) and __base.
     """
-    some = docs.where("size(__base) > 0").dropDuplicates(["__doc", "__key"])
-    mentions = some.select("__doc", "__key", "__text", F.inline("__base"))
-    mentions = mentions.withColumn("entity", _entity()).select("__doc", "__key", "__text", "entity", "start", "end")
-    # a pair needs min_support documents, so its entity does
-    entities = materialise(mentions.groupBy("entity").agg(F.countDistinct("__doc", "__key").alias("n_e")).where(F.col("n_e") >= min_support))
-    near = mentions.join(_small(entities.select("entity")), "entity", "left_semi")
-    near = materialise(near.select("__doc", "__key", "entity", F.inline(F.array_union(F.expr(_neighbours("left")), F.expr(_neighbours("right"))))).distinct())
-    pairs = near.select("entity", "term", "__doc", "__key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_support)
+    some = docs.where("size(__base) > 0").select("__doc", "__key", "__base", "__bare").dropDuplicates(["__doc", "__key"])
+    # equal texts hold the same entities and terms: each text is looked at once and counts for its documents
+    texts = some.groupBy("__key").agg(F.count("*").alias("copies"), F.first("__base").alias("__base"), F.first("__bare").alias("__bare"))
+    texts = materialise(texts.select("__key", "copies", "__base", _terms().alias("terms")))
+    mentions = texts.select("__key", "copies", F.inline("__base")).select("__key", "copies", _entity().alias("entity")).distinct()
+    # a pair needs min_support documents, so its entity and its term do
+    entities = materialise(mentions.groupBy("entity").agg(F.sum("copies").alias("n_e")).where(F.col("n_e") >= min_support))
+    mentions = materialise(mentions.join(_small(entities), "entity"))
+    held = texts.join(mentions.select("__key").distinct(), "__key", "left_semi").select("__key", "copies", F.explode("terms").alias("term"))
+    wanted = materialise(held.groupBy("term").agg(F.sum("copies").alias("least")).where(F.col("least") >= min_support).select("term"))
     total = docs.count()
-    # a term stands in at least the documents in which it is near an entity; a pair that falls short with this
-    # count falls short with the full one, so common words need no count over the corpus
-    least = near.select("term", "__doc", "__key").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    share = F.expr(f"ln(n_te * {total}D / (greatest(n_t, n_te) * n_e)) / nullif(ln({total}D / n_e), 0)")
-    bound = pairs.join(entities, "entity").join(least, "term").withColumn("most", share)
-    pairs = materialise(bound.where(F.col("most") >= generalise_from).select("entity", "term", "n_te", "n_e"))
-    # the tasks count all words of their documents first; the join then sees one row a word
-    each = docs.select(F.explode(F.array_distinct(F.split(F.lower("__text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    in_docs = each.groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = in_docs.join(_small(pairs), "term").withColumn("share", share)
-    revealing = materialise(scored.where(F.col("share") >= generalise_from).select("entity", "term", (F.col("share") >= remove_from).alias("remove")))
-    spans = near.join(_small(revealing), ["entity", "term"]).groupBy("__doc", "__key", "start", "end").agg(F.max("remove").alias("remove"))
-    return spans.groupBy("__doc", "__key").agg(F.collect_list(F.struct("start", "end", "remove")).alias("terms"))
+    # the tasks count all terms of their documents first; the join then sees one row a term
+    in_docs = docs.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # n_te is n_e at most, so a term in more documents than this has a share under generalise_from with any entity
+    most = F.expr(f"n_e * pow({total}D / n_e, 1 - {generalise_from}D) * (1 + 1e-9D)")
+    widest = entities.agg(F.max(most).alias("most")).first()["most"] or 0.0
+    counts = materialise(in_docs.where(F.col("n_t") <= widest).join(_small(wanted), "term"))
+    pairs = held.drop("copies").join(_small(counts), "term").join(mentions, "__key").where(F.col("n_t") <= most)
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= min_support)
+    share = F.expr(f"ln(n_te * {total}D / (n_t * n_e)) / nullif(ln({total}D / n_e), 0)")
+    scored = pairs.withColumn("share", share).where(F.col("share") >= generalise_from)
+    return scored.groupBy("term").agg(F.max(F.col("share") >= remove_from).alias("remove"))
 
 
 def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds: float) -> DataFrame:
-    """Adds __base and __terms (sorted spans of revealing terms that touch no base span) to ``df``."""
-    docs = with_base_spans(df.withColumn("__text", whole_text(text_col))).withColumn("__key", F.xxhash64("__text")).withColumn("__doc", F.col(id_col))
-    revealing = revealing_spans(docs.select("__doc", "__key", "__text", "__base"), **thresholds).withColumnsRenamed({"__doc": "__d", "__key": "__k"})
-    found = docs.join(revealing, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    clear = "filter(array_sort(terms), t -> NOT exists(__base, b -> t.start < b.end AND t.end > b.start))"
-    return found.withColumn("__terms", F.expr(f"coalesce({clear}, cast(array() as array<struct<start:int,end:int,remove:boolean>>))")).drop("terms", "__d", "__k")
+    """Adds __base and __terms (sorted spans of revealing terms outside the base spans) to ``df``."""
+    docs = with_base_spans(df.withColumn("__text", whole_text(text_col))).withColumn("__key", F.xxhash64("__text")).withColumn("__doc", F.col(id_col)).withColumn("__bare", F.expr(_BARE))
+    revealing = materialise(revealing_terms(docs.select("__doc", "__key", "__bare", "__base"), **thresholds))
+    hits = docs.select(F.col("__doc").alias("__d"), F.col("__key").alias("__k"), F.explode(_terms()).alias("term")).join(_small(revealing), "term")
+    hits = hits.groupBy("__d", "__k").agg(F.map_from_entries(F.collect_set(F.struct("term", "remove"))).alias("__marks"))
+    found = docs.join(hits, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
+    return found.withColumn("__terms", F.expr(_marked())).drop("__marks", "__bare", "__d", "__k")
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds: float) -> DataFrame:
