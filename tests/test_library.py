@@ -68,6 +68,19 @@ def test_kernels():
         f(np.empty(0)), f(np.ones(3)), f(np.ones(40))
 
 
+@pytest.mark.parametrize("n", [5, 700, 1500])
+def test_sample_entropy_takes_the_whole_series(n):
+    rng = np.random.default_rng(n)
+    x = np.append(np.sin(np.arange(n // 2)), rng.normal(0, 1, n - n // 2))
+
+    def matches(width):
+        v = np.stack([x[i : i + width] for i in range(n - 2)])
+        return sum(int((np.abs(v - row).max(1) <= 0.2 * x.std()).sum()) - 1 for row in v)
+
+    a, b = matches(3), matches(2)
+    assert kernels.sample_entropy(x) == (float(-np.log(a / b)) if a and b else None)
+
+
 def test_kernels_see_bounded_windows(spark):
     got = kernels.per_key(series(spark, [("a", h, float(h)) for h in range(25)]), "k", "t", "x", lambda v: [(len(v), float(v[0]))], "n long, first double", chunk=10).collect()
     assert sorted((r["chunk"], r["n"], r["first"]) for r in got) == [(0, 10, 0.0), (1, 10, 10.0), (2, 5, 20.0)]

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Values a kernel gets at most; longer series are cut into windows of this length.
 LONGEST = 4096
+#: Pairs of values that are compared at once.
+CELLS = 1_000_000
 
 
 def per_key(df: DataFrame, key: str, t: str, x: str, kernel: Callable[[np.ndarray], list[tuple]], schema: str, chunk: int = LONGEST) -> DataFrame:
@@ -41,16 +43,20 @@ def fft_cycles(x: np.ndarray, top: int = 5) -> list[tuple]:
 
 
 def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float | None:
-    x = x[:512]  # quadratic in the window
-    tolerance = r * x.std()
-
-    def pairs(n: int) -> int:
-        v = np.lib.stride_tricks.sliding_window_view(x, n)[: len(x) - m]
-        return int((np.abs(v[:, None] - v[None]).max(-1) <= tolerance).sum() - len(v))
-
-    if len(x) < m + 2 or tolerance == 0:
+    """Of all pairs of the series that match over ``m`` values, the share that match over one more, as -log; in blocks of rows."""
+    tolerance, n = r * x.std(), len(x) - m
+    if n < 2 or tolerance == 0:
         return None
-    b, a = pairs(m), pairs(m + 1)
+    a = b = 0
+    rows = max(CELLS // len(x), 1)
+    for i in range(0, n, rows):
+        k = min(rows, n - i)
+        near = np.abs(x[i : i + k + m, None] - x) <= tolerance
+        both = near[:k, :n].copy()
+        for j in range(1, m):
+            both &= near[j : k + j, j : n + j]
+        b += int(both.sum()) - k
+        a += int((both & near[m : k + m, m : n + m]).sum()) - k
     return float(-np.log(a / b)) if a and b else None
 
 
