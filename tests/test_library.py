@@ -81,6 +81,32 @@ def test_sample_entropy_takes_the_whole_series(n):
     assert kernels.sample_entropy(x) == (float(-np.log(a / b)) if a and b else None)
 
 
+def test_kernels_take_whole_series(spark):
+    n = 5_000
+    x = np.sin(2 * np.pi * np.arange(n) / 2_500) + 0.01 * np.random.default_rng(1).normal(0, 1, n)
+    x[4095:4097] = 9.0, 8.0  # a peak where windows of 4096 rows met
+    x[4099] = 8.5  # nearer to it than 12 rows
+    df = series(spark, [("a", h, float(v)) for h, v in enumerate(x)])
+    run = lambda kernel, schema: kernels.per_key(df, "k", "t", "x", kernel, schema).collect()
+    period = next(r for r in run(kernels.fft_cycles, "rank int, period double, share double") if r["rank"] == 1)
+    assert (period["chunk"], round(period["period"])) == (0, 2_500)
+    at = sorted(r["i"] for r in run(kernels.spaced_peaks, "i long, value double"))
+    assert 4095 in at and 4099 not in at and np.diff(at).min() >= 12
+    flags = run(kernels.isolation_scores, "i long, score double, outlier boolean")
+    assert sorted(r["i"] for r in flags) == list(range(n)) and {r["chunk"] for r in flags} == {0}
+    states = run(kernels.hidden_markov, "i long, state int, p double")
+    assert sorted(r["i"] for r in states) == list(range(n))
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 60, 1500])
+def test_trend_solves_its_equations_at_any_length(n):
+    x = np.random.default_rng(n).normal(0, 1, n).cumsum()
+    d = np.diff(np.eye(n), 2, axis=0)
+    want = np.linalg.solve(np.eye(n) + 1600 * d.T @ d, x)
+    np.testing.assert_allclose(kernels.hodrick_prescott(x), want, atol=1e-6)
+    np.testing.assert_allclose([r[3] for r in kernels.denoised(x)], want, atol=1e-6)
+
+
 def test_kernels_see_bounded_windows(spark):
     got = kernels.per_key(series(spark, [("a", h, float(h)) for h in range(25)]), "k", "t", "x", lambda v: [(len(v), float(v[0]))], "n long, first double", chunk=10).collect()
     assert sorted((r["chunk"], r["n"], r["first"]) for r in got) == [(0, 10, 0.0), (1, 10, 10.0), (2, 5, 20.0)]

@@ -1,8 +1,9 @@
 """Operators without a relational form: numerical kernels over one key's series at a time.
 
-``per_key`` gives a kernel one key's ordered values. Keys are the unit of work; ``chunk``
-cuts long series into windows of bounded length first, so no task ever holds an unbounded
-series.
+``per_key`` gives a kernel one key's ordered values, the whole series at once: models are
+fitted once a key, and no border falls into a series. Keys are the unit of work, so a task
+holds one key's series (a row is some tens of bytes; reduce events to bars first). ``chunk``
+cuts series into windows, each a result of its own, where windows are what is asked for.
 """
 
 from __future__ import annotations
@@ -15,15 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values a kernel gets at most; longer series are cut into windows of this length.
-LONGEST = 4096
 #: Pairs of values that are compared at once.
 CELLS = 1_000_000
 
 
-def per_key(df: DataFrame, key: str, t: str, x: str, kernel: Callable[[np.ndarray], list[tuple]], schema: str, chunk: int = LONGEST) -> DataFrame:
-    """(key, chunk, *schema): ``kernel`` on each key's values in order, in windows of ``chunk`` rows."""
-    numbered = df.select(F.col(key).cast("string").alias("k"), t, F.col(x).cast("double").alias("x"), ((F.row_number().over(Window.partitionBy(key).orderBy(t)) - 1) / chunk).cast("long").alias("chunk"))
+def per_key(df: DataFrame, key: str, t: str, x: str, kernel: Callable[[np.ndarray], list[tuple]], schema: str, chunk: int | None = None) -> DataFrame:
+    """(key, chunk, *schema): ``kernel`` on each key's values in order: the whole series (chunk 0) or, if asked for, windows of ``chunk`` rows."""
+    number = F.lit(0) if chunk is None else (F.row_number().over(Window.partitionBy(key).orderBy(t)) - 1) / chunk
+    numbered = df.select(F.col(key).cast("string").alias("k"), t, F.col(x).cast("double").alias("x"), number.cast("long").alias("chunk"))
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values(t)["x"].to_numpy(float)
@@ -80,7 +80,8 @@ def lempel_ziv(x: np.ndarray) -> float | None:
     n = len(x)
     if n < 4:
         return None
-    s = "".join("1" if v > np.median(x) else "0" for v in x)
+    middle = np.median(x)
+    s = "".join("1" if v > middle else "0" for v in x)
     seen, phrase, count = set(), "", 0
     for ch in s:
         phrase += ch
@@ -136,10 +137,23 @@ def hodrick_prescott(x: np.ndarray, lam: float = 1600.0) -> np.ndarray:
     n = len(x)
     if n < 3:
         return x
-    d = np.zeros((n - 2, n))
-    r = np.arange(n - 2)
-    d[r, r], d[r, r + 1], d[r, r + 2] = 1, -2, 1
-    return np.linalg.solve(np.eye(n) + lam * d.T @ d, x)
+    main, side, z = np.ones(n), np.zeros(n), np.array(x, float)
+    for at, weight in ((slice(0, n - 2), 1), (slice(1, n - 1), 4), (slice(2, n), 1)):
+        main[at] += lam * weight
+    side[1 : n - 1] -= 2 * lam  # of rows i and i - 1
+    side[2:] -= 2 * lam
+    # L D L' of the five diagonals, row by row
+    one, two, d, z = [0.0] * n, [0.0] * n, main.tolist(), z.tolist()
+    side = side.tolist()
+    for i in range(1, n):
+        if i > 1:
+            two[i] = lam / d[i - 2]
+        one[i] = (side[i] - (two[i] * d[i - 2] * one[i - 1] if i > 1 else 0.0)) / d[i - 1]
+        d[i] -= one[i] ** 2 * d[i - 1] + (two[i] ** 2 * d[i - 2] if i > 1 else 0.0)
+        z[i] -= one[i] * z[i - 1] + (two[i] * z[i - 2] if i > 1 else 0.0)
+    for i in range(n - 1, -1, -1):
+        z[i] = z[i] / d[i] - (one[i + 1] * z[i + 1] if i + 1 < n else 0.0) - (two[i + 2] * z[i + 2] if i + 2 < n else 0.0)
+    return np.array(z)
 
 
 def haar_threshold(x: np.ndarray, levels: int = 3) -> np.ndarray:
@@ -178,7 +192,7 @@ def denoised(x: np.ndarray) -> list[tuple]:
     v = np.lib.stride_tricks.sliding_window_view(p, 5)
     taps = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     both = (np.median(v, axis=1) + v @ (taps / taps.sum())) / 2
-    cols = (savitzky_golay(x), both, hodrick_prescott(x[:1024]) if len(x) <= 1024 else savitzky_golay(x, 51, 2), haar_threshold(x), wiener(x))
+    cols = (savitzky_golay(x), both, hodrick_prescott(x), haar_threshold(x), wiener(x))
     return [(i, *map(float, r)) for i, r in enumerate(zip(*cols))]
 
 
@@ -243,9 +257,11 @@ def spaced_peaks(x: np.ndarray, distance: int = 12) -> list[tuple]:
     """Local maxima at least ``distance`` apart, the highest kept first."""
     at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1
     kept: list[int] = []
+    near = np.zeros(len(x), bool)
     for i in at[np.argsort(-x[at], kind="stable")]:
-        if all(abs(i - j) >= distance for j in kept):
+        if not near[i]:
             kept.append(int(i))
+            near[max(i - distance + 1, 0) : i + distance] = True
     return [(i, float(x[i])) for i in sorted(kept)]
 
 

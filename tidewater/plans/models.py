@@ -72,13 +72,13 @@ def entropy_suite(spark: SparkSession, d: str) -> DataFrame:
 
 @query("denoise")
 def denoise(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.per_key(_series(spark, d), "k", "t", "close", kernels.denoised, "i long, savgol double, median_gauss double, trend double, haar double, wiener double", chunk=1024)
+    return kernels.per_key(_series(spark, d), "k", "t", "close", kernels.denoised, "i long, savgol double, median_gauss double, trend double, haar double, wiener double")
 
 
 @query("hmm_states")
 def hmm_states(spark: SparkSession, d: str) -> DataFrame:
     df = tb.hourly(spark, d).withColumn("r", log_return("close", by_time()))
-    return kernels.per_key(df, "k", "t", "r", kernels.hidden_markov, "i long, state int, p double", chunk=2048)
+    return kernels.per_key(df, "k", "t", "r", kernels.hidden_markov, "i long, state int, p double")
 
 
 @query("iforest")
