@@ -32,8 +32,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = near_dup.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("id")).distinct()
-    return near_dup.without(docs, "doc_id", materialise(dropped)).select(*COLUMNS)
+    # ids may be missing or stand more than once: each row is judged by a number of its own
+    rows = materialise(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()))
+    found = materialise(near_dup.near_duplicates(rows, shingle=5, percent=80, id_col="__row").select("__row", "component_id"))
+    # of each group the lowest id stays, a missing one last
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
+    stay = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row"))
+    dropped = found.join(stay.select("__row"), "__row", "left_anti").select(F.col("__row").alias("id"))
+    return near_dup.without(rows, "__row", materialise(dropped)).select(*COLUMNS)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,13 @@ def test_stages(spark, tmp_path):
     assert "[EMAIL]" in texts[2000][0] and texts[2000][1] == len(texts[2000][0])
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "quality classifier", "MinHash near-dedup", "PII", "best-fit packing"]
     assert pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(f"t{rng.randrange(4000)}" for _ in range(60))
+    twice, clean, same, lost, alone = text(), text(), text(), text(), text()
+    rows = [(1, twice), (7, twice), (7, clean), (8, same), (8, same), (8, same), (None, lost), (None, lost), (None, twice), (None, alone), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_duplicates(spark, df.repartition(3), "").collect()]
+    assert sorted(got, key=repr) == sorted([(1, twice), (7, clean), (8, same), (None, lost), (None, alone), (9, "")], key=repr)
