@@ -284,6 +284,14 @@ def test_the_plan_uses_each_piece_once():
         assert all((c * np.arange(1, 65)).sum() <= 64 for c, _ in runs)
 
 
+def test_mined_voters_do_not_depend_on_the_partitions(spark):
+    # each clean text has "thin" once; spread over tasks, each task sees it once
+    rows = [(i, 1, "thin venom") for i in range(8)] + [(100 + i, 0, f"thin c{i}") for i in range(24)] + [(200, 0, "plain")]
+    df = spark.createDataFrame(rows, "id long, y int, text string")
+    one, many = toxicity.mined(df.coalesce(1)), toxicity.mined(df.repartitionByRange(len(rows), "id"))
+    assert one == many and "venom" in one and "thin" not in one
+
+
 # -- 6: perplexity rules ----------------------------------------------------------------
 def test_base_rules_match_brute_force():
     rng = random.Random(6)

@@ -71,7 +71,7 @@ def mined(texts: DataFrame, most: int = MAX_MINED) -> list[str]:
             for y, text in zip(pdf["y"], pdf["text"]):
                 (bad if y > 0 else good).update(tokens(words_of(text)))
         yield pd.DataFrame({"token": list(bad), "bad": list(bad.values()), "good": [good[t] for t in bad]}).astype({"token": object, "bad": "int64", "good": "int64"})
-        rest = [t for t in good if t not in bad and good[t] > 1]
+        rest = [t for t in good if t not in bad]
         yield pd.DataFrame({"token": rest, "bad": 0, "good": [good[t] for t in rest]}).astype({"token": object, "bad": "int64", "good": "int64"})
 
     total = texts.agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).collect()[0]
