@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -79,7 +80,8 @@ def test_pii_base_spans_match_brute_force(spark):
     rng = random.Random(3)
     parts = ["a@b.c", "a@b.c_d@e.f", "x.y%z@h-1.io.", "@", ".", " ", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "0001.2.3.004", "4111 1111 1111 1111", "4111-1111-1111-1112", "5" * 16, "+1 (555) 123-4567", "+44.20.7946.0958-", "++1", "é😀", "\n", "12", "-", "w@w.w@w.w", "日本"]
     docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(14))), "en") for i in range(400)] + [(400, "1 " * 30_000, "en"), (401, "a." * 20_000 + "@b" + ".c" * 9_000, "en")]
-    got = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, docs)).collect()}
+    # the base spans alone: here no pair has documents enough for a term
+    got = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, docs), min_support=10_000).collect()}
     for i, text, _ in docs:
         counts, spans = base_spans(text)
         r = got[i]
@@ -118,7 +120,9 @@ def test_pii_terms_go_wherever_they_stand(spark):
 
 def test_pii_terms_match_brute_force(spark):
     rng = random.Random(12)
-    docs = [(i, words(rng, 30, 120) + rng.choice(["", " a@b.c", " a@b.c é1.2.3.4x", " İx+44 20 7946 0958"]), "en") for i in range(150)] + [(3, "rare one", "en")] * 3 + [(500 + i, "rare one a@b.c w1", "en") for i in range(4)]
+    docs = [(i, words(rng, 30, 120) + rng.choice(["", " a@b.c", " a@b.c é1.2.3.4x", " İx+44 20 7946 0958"]), "en") for i in range(150)] + [(3, "rare one", "en")] * 3
+    docs += [(700 + i, "twice seen quokka q@r.st " + words(rng, 9, 120), "en") for i in range(2)]
+    docs += [] + [(500 + i, "rare one a@b.c w1", "en") for i in range(4)]
     token = re.compile(r"(?<![^\W_])(?:[^\W\d_]++(?!\d)|(?<!\uffff)(?<![\d\uffff][.-])[^\W_]++(?:(?<=\d)[.-](?=\d)[^\W_]++)*+(?!\uffff)(?!(?<=\d)[.-]\uffff))")
     held, entities, bare = [], [], []
     for _, text, _ in docs:
@@ -133,12 +137,29 @@ def test_pii_terms_match_brute_force(spark):
     once = {(i, t): (e, h) for (i, t, _), e, h in zip(docs, entities, held)}
     n_e = Counter(x for e, _ in once.values() for x in e)
     n_te = Counter((x, t) for e, h in once.values() for x in e for t in h)
-    marks = {t for (e, t), n in n_te.items() if n >= 3 and np.log(n * len(docs) / (n_t[t] * n_e[e])) >= 0.8 * np.log(len(docs) / n_e[e])}
-    assert marks
+
+    def bound(k, n, z=0.5):  # the least share of which k of n would not be out of reach
+        p = k / n
+        return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    marks = {t for (e, t), n in n_te.items() if n >= 2 and bound(n, n_t[t]) >= 0.5 and np.log(bound(n, n_t[t]) * len(docs) / n_e[e]) >= 0.8 * np.log(len(docs) / n_e[e])}
+    assert marks and any(n_te[e, t] == 2 and t in marks for e, t in n_te)
     want = Counter((i, ",".join([base_spans(text)[1]] * bool(base_spans(text)[1]) + [f"term:{m.start()}:{m.end()}" for m in token.finditer(b) if m[0].lower() in marks])) for (i, text, _), b in zip(docs, bare))
     assert Counter((r["doc_id"], r["spans"]) for r in pii.find_personal_data(frame(spark, docs)).collect()) == want
 
 
+def test_pii_many_matches_in_one_text(spark):
+    n = 30_000
+    text = "a@b.c 1 " * n
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, [(1, text, "en"), (2, "x", "en")])).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, [(1, text, "en"), (2, "x", "en")])).collect()}
+    assert time.perf_counter() - began < 120
+    want = ",".join(f"email:{8 * i}:{8 * i + 5}" for i in range(n))
+    assert got[1]["n_email"] == n and got[1]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert clean == {1: "[EMAIL] 1 " * n, 2: "x"}
+
+
 # -- 2: near-duplicates -----------------------------------------------------------------
 def brute_components(docs, size, percent):
     sets = {}

@@ -6,10 +6,14 @@ outside the entities, without regard to case) reveals an entity to the degree th
 the term informs about it: with n(t) and n(e) the documents that hold term and entity,
 n(t, e) those that hold both, at whatever distance, and N all documents, the pointwise
 mutual information log(n(t, e) N / (n(t) n(e))) is compared with the entity's information
-content log(N / n(e)). Where at least ``min_support`` documents show the pair, a share of
+content log(N / n(e)). For n(t, e) / n(t) stands its lower confidence bound (Wilson's, ``z``
+standard deviations below), so that few documents weigh less than many; a pair seen in one
+document only (under ``min_support``) is no co-occurrence, and a term that the entity does
+not go with more often than not (the bound is under ``least``) hints but does not disclose. A share of
 ``generalise_from`` or more makes the term a span to generalise and one of ``remove_from``
 or more a span to remove, wherever it stands in any document, with the entity or without.
-All counts cover all documents.
+All counts cover all documents. Entities are values, not kinds: what always stands beside
+some address ("mail to") reveals nobody.
 
 Only DataFrame functions are used. Patterns have possessive quantifiers, so that no text
 makes the matcher backtrack or recurse deeply; they match what the plain patterns match.
@@ -41,21 +45,45 @@ PATTERNS = {
 #: What a text must hold for its pattern to be tried at all.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _OCTET = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-_NO_SPANS = "cast(array() as array<struct<kind:int,start:int,end:int,value:string>>)"
+_SPAN = "struct<kind:int,start:int,end:int,value:string>"
+_NO_SPANS = f"cast(array() as array<{_SPAN}>)"
+#: Items that a pass over an array gathers before it begins a new block.
+AT_ONCE = 512
 
 
 def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _running(items: str, kind: str, step: str, finish: str = "flatten(a.out)", text: str | None = None) -> str:
+    """SQL of one pass over the array ``items`` that carries a position and gathers values of type ``kind``.
+
+    ``step`` turns the state s (pos, out) and the item x into the next state, ``finish`` the last
+    state a (pos, and out as blocks) into the result. Adding to an array copies it and cutting a
+    string walks it from its start, so the pass gathers blocks of ``AT_ONCE`` items: a text with
+    very many matches costs little more for each. With ``text``, items are spans (s, e), and
+    ``step`` cuts them from q.t, the block's part of the text, which begins at a.pos.
+    """
+    part = f"slice(i, 1 + b * {AT_ONCE}, {AT_ONCE})"
+    cut = "''" if text is None else f"substring({text}, a.pos + 1, array_max(transform({part}, x -> x.e)) - a.pos)"
+    gather = f"aggregate(q.i, named_struct('pos', a.pos, 'out', cast(array() as array<{kind}>)), (s, x) -> {step})"
+    block = f"element_at(transform(array(named_struct('i', {part}, 't', {cut})), q -> {gather}), 1)"
+    after = f"element_at(transform(array({block}), r -> named_struct('pos', r.pos, 'out', array_append(a.out, r.out))), 1)"
+    blocks = f"CASE WHEN size(i) = 0 THEN cast(array() as array<int>) ELSE sequence(0, (size(i) - 1) div {AT_ONCE}) END"
+    # the items are bound to a name first, else every block would work them out anew
+    return f"element_at(transform(array({items}), i -> aggregate({blocks}, named_struct('pos', 0, 'out', cast(array() as array<array<{kind}>>)), (a, b) -> {after}, a -> {finish})), 1)"
+
+
+def _with_gaps(matches: str, text: str, pattern: str) -> str:
+    """SQL: each match m with the text g before it."""
+    return f"zip_with({matches}, slice(split({text}, {_sql(pattern)}, -1), 1, size({matches})), (m, g) -> named_struct('m', m, 'g', g))"
+
+
 def _positions(kind: int, matches: str, text: str, pattern: str) -> str:
     """SQL for the spans of ``matches``: the text between them gives their places."""
-    return f"""CASE WHEN size({matches}) = 0 THEN {_NO_SPANS} ELSE
-        aggregate(zip_with({matches}, slice(split({text}, {_sql(pattern)}, -1), 1, size({matches})), (m, g) -> named_struct('m', m, 'g', g)),
-            named_struct('pos', 0, 'out', {_NO_SPANS}),
-            (a, x) -> named_struct('pos', a.pos + length(x.g) + length(x.m),
-                'out', array_append(a.out, named_struct('kind', {kind}, 'start', a.pos + length(x.g), 'end', a.pos + length(x.g) + length(x.m), 'value', x.m))),
-            a -> a.out) END"""
+    span = f"named_struct('kind', {kind}, 'start', s.pos + length(x.g), 'end', s.pos + length(x.g) + length(x.m), 'value', x.m)"
+    step = f"named_struct('pos', s.pos + length(x.g) + length(x.m), 'out', array_append(s.out, {span}))"
+    return f"CASE WHEN size({matches}) = 0 THEN {_NO_SPANS} ELSE {_running(_with_gaps(matches, text, pattern), _SPAN, step)} END"
 
 
 def _luhn(digits: str) -> str:
@@ -97,11 +125,10 @@ def _entity() -> Column:
 #: and one term (3.14, 2024-05-01). What hangs on an entity without a space and has digits is a piece of it, not a term.
 _TERM = r"(?<![\p{L}\p{N}])(?:\p{L}++(?!\p{N})|(?<!\x{FFFF}[\p{L}\p{N}._%+@-]{0,100})(?<!\p{N}[.-])[\p{L}\p{N}]++(?:(?<=\p{N})[.-](?=\p{N})[\p{L}\p{N}]++)*+(?!\x{FFFF})(?!(?<=\p{N})[.-]\x{FFFF}))"
 #: ``__text`` with U+FFFF, no character, in the place of the base spans: what the terms are read from, at their places in the text.
-_BARE = """CASE WHEN size(__base) = 0 THEN __text ELSE aggregate(array_sort(transform(__base, x -> named_struct('s', x.start, 'e', x.end))),
-    named_struct('pos', 0, 'out', cast(array() as array<string>)),
-    (a, x) -> CASE WHEN x.e <= a.pos THEN a
-        ELSE named_struct('pos', x.e, 'out', array_append(array_append(a.out, substring(__text, a.pos + 1, x.s - a.pos)), repeat('\uffff', x.e - greatest(a.pos, x.s)))) END,
-    a -> concat(array_join(a.out, ''), substring(__text, a.pos + 1))) END"""
+_BARE = f"""CASE WHEN size(__base) = 0 THEN __text ELSE {_running(
+    "array_sort(transform(__base, x -> named_struct('s', x.start, 'e', x.end)))", "string",
+    "CASE WHEN x.e <= s.pos THEN s ELSE named_struct('pos', x.e, 'out', array_append(array_append(s.out, substring(q.t, s.pos - a.pos + 1, x.s - s.pos)), repeat('\\uffff', x.e - greatest(x.s, s.pos)))) END",
+    "concat(array_join(flatten(a.out), ''), substring(__text, a.pos + 1))", "__text")} END"""
 
 
 def _terms(bare: str = "__bare") -> Column:
@@ -111,15 +138,13 @@ def _terms(bare: str = "__bare") -> Column:
 
 def _marked(bare: str = "__bare", marks: str = "__marks") -> str:
     """SQL: where the terms of the map ``marks`` (term to remove) stand in ``bare``, as (start, end, remove)."""
-    empty = "cast(array() as array<struct<start:int,end:int,remove:boolean>>)"
-    found = f"regexp_extract_all({bare}, {_sql(_TERM)}, 0)"
-    end = "a.pos + length(x.g) + length(x.m)"
-    return f"""CASE WHEN {marks} IS NULL THEN {empty} ELSE
-        aggregate(zip_with({found}, slice(split({bare}, {_sql(_TERM)}, -1), 1, size({found})), (m, g) -> named_struct('m', m, 'g', g, 'r', element_at({marks}, lower(m)))),
-            named_struct('pos', 0, 'out', {empty}),
-            (a, x) -> named_struct('pos', {end}, 'out', CASE WHEN x.r IS NULL THEN a.out
-                ELSE array_append(a.out, named_struct('start', a.pos + length(x.g), 'end', {end}, 'remove', x.r)) END),
-            a -> a.out) END"""
+    kind = "struct<start:int,end:int,remove:boolean>"
+    end = "s.pos + length(x.g) + length(x.m)"
+    mark = f"array_append(s.out, named_struct('start', s.pos + length(x.g), 'end', {end}, 'remove', x.r))"
+    step = f"named_struct('pos', {end}, 'out', CASE WHEN x.r IS NULL THEN s.out ELSE {mark} END)"
+    items = _with_gaps(f"regexp_extract_all({bare}, {_sql(_TERM)}, 0)", bare, _TERM)
+    items = items.replace("'g', g)", f"'g', g, 'r', element_at({marks}, lower(m)))")
+    return f"CASE WHEN {marks} IS NULL THEN cast(array() as array<{kind}>) ELSE {_running(items, kind, step)} END"
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -127,7 +152,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
 
 
-def revealing_terms(docs: DataFrame, min_support: int = 3, generalise_from: float = 0.8, remove_from: float = 0.95) -> DataFrame:
+def revealing_terms(docs: DataFrame, min_support: int = 2, generalise_from: float = 0.8, remove_from: float = 0.95, least: float = 0.5, z: float = 0.5) -> DataFrame:
     """(term, remove): the terms that reveal an entity, and whether one of their shares asks for removal.
 
     ``docs`` has __doc, __bare, __key (a hash of the text) and __base.
@@ -150,9 +175,12 @@ def revealing_terms(docs: DataFrame, min_support: int = 3, generalise_from: floa
     widest = entities.agg(F.max(most).alias("most")).first()["most"] or 0.0
     counts = materialise(in_docs.where(F.col("n_t") <= widest).join(_small(wanted), "term"))
     pairs = held.drop("copies").join(_small(counts), "term").join(mentions, "__key").where(F.col("n_t") <= most)
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= min_support)
-    share = F.expr(f"ln(n_te * {total}D / (n_t * n_e)) / nullif(ln({total}D / n_e), 0)")
-    scored = pairs.withColumn("share", share).where(F.col("share") >= generalise_from)
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    half = f"{z * z / 2}D"
+    pairs = pairs.where(F.col("n_te") >= min_support)
+    bound = f"((n_te + {half}) / n_t - {float(z)}D * sqrt(n_te * (n_t - n_te) / n_t + {half} / 2) / n_t) / (1 + 2 * {half} / n_t)"
+    share = F.expr(f"ln({bound} * {total}D / n_e) / nullif(ln({total}D / n_e), 0)")
+    scored = pairs.withColumn("share", share).where((F.col("share") >= generalise_from) & F.expr(f"{bound} >= {least}D"))
     return scored.groupBy("term").agg(F.max(F.col("share") >= remove_from).alias("remove"))
 
 
@@ -182,9 +210,8 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **th
     marks = "CASE x.kind " + " ".join(f"WHEN {i} THEN '[{k.upper()}]'" for i, k in enumerate(KINDS)) + " END"
     marked = f"""array_sort(concat(transform(__base, x -> named_struct('s', x.start, 'e', x.end, 'r', {marks})),
         transform(__terms, x -> named_struct('s', x.start, 'e', x.end, 'r', CASE WHEN x.remove THEN '[REMOVED]' ELSE '[TERM]' END))))"""
-    text = """CASE WHEN size(__marks) = 0 THEN __text ELSE aggregate(__marks, named_struct('pos', 0, 'out', cast(array() as array<string>)),
-        (a, x) -> CASE WHEN x.s < a.pos THEN named_struct('pos', greatest(a.pos, x.e), 'out', a.out)
-            ELSE named_struct('pos', x.e, 'out', array_append(array_append(a.out, substring(__text, a.pos + 1, x.s - a.pos)), x.r)) END,
-        a -> concat(array_join(a.out, ''), substring(__text, a.pos + 1))) END"""
+    step = """CASE WHEN x.s < s.pos THEN named_struct('pos', greatest(s.pos, x.e), 'out', s.out)
+        ELSE named_struct('pos', x.e, 'out', array_append(array_append(s.out, substring(q.t, s.pos - a.pos + 1, x.s - s.pos)), x.r)) END"""
+    text = f"CASE WHEN size(__marks) = 0 THEN __text ELSE {_running('__marks', 'string', step, "concat(array_join(flatten(a.out), ''), substring(__text, a.pos + 1))", "__text")} END"
     result = found.withColumn("__marks", F.expr(marked)).withColumn("__new", F.expr(text))
     return result.select(*[F.when(F.col(text_col).isNotNull(), F.col("__new")).alias(c) if c == text_col else F.col(c) for c in df.columns])
