@@ -39,8 +39,9 @@ from .components import components
 
 SYMBOLS, CHUNKS, THRESHOLD = 80, 16, 31
 WIDTH = SYMBOLS // CHUNKS
-#: The lowest bits of 64 symbols; a pair of similarity 0.8 differs in over 18 of them with probability 1e-5.
-BITS_APART = 18
+#: Bit planes of the first 64 symbols: symbols that differ in one of these bits differ, so no pair within THRESHOLD
+#: symbols differs at more than THRESHOLD places of the planes. Three planes show 7 of 8 differing symbols.
+PLANES = 3
 #: Shingles are told apart by how many documents hold them: up to 2, 4, 8, ... or more.
 SHARED_BY = (2, 4, 8, 16, 32, 64, 128)
 #: A set of ids is broadcast up to so many rows (16 MB); beyond, it is joined by a shuffle.
@@ -144,19 +145,20 @@ def _signed(df: DataFrame, size: int) -> DataFrame:
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
-    """(key, place, id, bits): one row for each bucket a class is entered in; ``place`` is chunk * WIDTH + masked symbol."""
+    """(key, place, id, p0, p1, ...): one row for each bucket a class is entered in; ``place`` is chunk * WIDTH + masked symbol."""
+    planes = [f"p{i}" for i in range(PLANES)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, SYMBOLS)
             weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-            bits = ((sig[:, :64].astype(np.uint64) & np.uint64(1)) * weights).sum(axis=1, dtype=np.uint64)
+            bits = {p: (((sig[:, :64] >> np.uint16(i)).astype(np.uint64) & np.uint64(1)) * weights).sum(axis=1, dtype=np.uint64).view(np.int64) for i, p in enumerate(planes)}
             keys = bucket_keys(sig)
             each = keys.shape[1]
             place = np.tile(np.arange(each, dtype=np.int32), len(sig))
-            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "place": place, "id": np.repeat(pdf["id"].to_numpy(), each), "bits": np.repeat(bits.view(np.int64), each)})
+            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "place": place, "id": np.repeat(pdf["id"].to_numpy(), each)} | {p: np.repeat(v, each) for p, v in bits.items()})
 
-    return classes.select("id", "sig").mapInPandas(run, "key long, place int, id long, bits long")
+    return classes.select("id", "sig").mapInPandas(run, f"key long, place int, id long, {', '.join(f'{p} long' for p in planes)}")
 
 
 def first_shared(place: str, one: str, two: str) -> str:
@@ -274,12 +276,12 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     linkable = materialise(_linkable(members.select("id", "component").distinct(), docs, shingle, percent))
     members = _of_many(members.join(linkable.join(classes.select("id", "sig"), "id"), "id"))
     kinds = range(len(SHARED_BY) + 1)
-    left = members.selectExpr("key", "place", "sig AS u", "id AS a", "component AS x", "bits AS p", "n AS n_a", *[f"c{i} AS a{i}" for i in kinds])
-    right = members.selectExpr("key", "sig AS v", "id AS b", "component AS y", "bits AS q", "n AS n_b", *[f"c{i} AS b{i}" for i in kinds])
+    left = members.selectExpr("key", "place", "sig AS u", "id AS a", "component AS x", "n AS n_a", *[f"c{i} AS a{i}" for i in kinds], *[f"p{i} AS x{i}" for i in range(PLANES)])
+    right = members.selectExpr("key", "sig AS v", "id AS b", "component AS y", "n AS n_b", *[f"c{i} AS b{i}" for i in kinds], *[f"p{i} AS y{i}" for i in range(PLANES)])
     # of each kind of shingles two documents have at most the lesser number in common
     common = " + ".join(f"least(a{i}, b{i})" for i in kinds)
     possible = F.expr(f"{100 + percent} * ({common}) >= {percent} * (n_a + n_b)")
-    close = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= BITS_APART
+    close = F.expr(f"bit_count({' | '.join(f'(x{i} ^ y{i})' for i in range(PLANES))}) <= {THRESHOLD}")
     first = F.expr(first_shared("place", "u", "v"))
     cross = left.join(right, "key").where((F.col("x") < F.col("y")) & possible & close & first).select("a", "b").distinct()
     more = _confirmed(_near(cross, classes), docs, shingle, percent)
