@@ -5,9 +5,10 @@ of piece lengths (at most ``capacity`` counts for each of ``BUCKETS`` buckets, w
 the input) reaches the driver. There the configuration linear program - how often to use
 each way of filling a sequence so that every length is served - is solved by
 multiplicative weights: lengths that are served too little gain weight, and a knapsack
-dynamic program prices the best configuration under the weights. The fractional solution
-is rounded down and the lengths left over are filled by bounded knapsacks, each repeated
-as often as the remaining counts allow. The plan is a list of runs "this configuration,
+dynamic program prices the best configurations under the weights. The fractional solution
+is rounded down as far as the counts allow, and the program is solved again for the lengths
+left over, until it places little more; best fit decreasing takes the rest, a few percent
+of the pieces unless most are too long to fill sequences. The plan is a list of runs "this configuration,
 repeated n times", so its size does not follow the input; tasks look up the place of the
 r-th piece of a length in it.
 
@@ -55,110 +56,86 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     return pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
 
 
-def best_configuration(values: np.ndarray, limits: np.ndarray | None, capacity: int) -> np.ndarray:
-    """How many of each length 1..capacity fill a sequence for the highest value (knapsack dynamic program).
+def priced(weight: np.ndarray, capacity: int) -> np.ndarray:
+    """The knapsack dynamic program: the highest value of pieces of weights ``weight`` in every room 0..capacity."""
+    best = np.zeros(capacity + 1)
+    for c in range(1, capacity + 1):
+        best[c] = max((best[:c][::-1] + weight[:c]).max(), best[c - 1])
+    return best
 
-    ``values[l - 1]`` is the value of one piece of length l; ``limits`` the most that can be used (None: no limit).
-    """
-    if limits is None:
-        best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-        for c in range(1, capacity + 1):
-            gain = best[c - 1 :: -1] + values[:c] if c > 1 else best[:1] + values[:1]
-            k = int(gain.argmax())
-            best[c], last[c] = (gain[k], k + 1) if gain[k] > best[c - 1] else (best[c - 1], 0)
-        used, c = np.zeros(capacity, np.int64), capacity
-        while c > 0:
-            if last[c]:
-                used[last[c] - 1] += 1
-                c -= last[c]
-            else:
-                c -= 1
-        return used
-    # bounded: longest first, then the remaining room again, which repeats a length while it is left
-    best, take = np.full(capacity + 1, -1.0), []
-    by_size = np.array_equal(values, np.arange(1, capacity + 1))
-    best[0] = 0.0
-    for length in np.flatnonzero(limits)[::-1] + 1:
-        most, value = int(min(limits[length - 1], capacity // length)), values[length - 1]
-        unit = 1
-        while most > 0:
-            n = min(unit, most)
-            w = n * length
-            if w <= capacity:
-                better = np.zeros(capacity + 1, bool)
-                cand = np.where(best[: capacity + 1 - w] >= 0, best[: capacity + 1 - w] + n * value, -1.0)
-                better[w:] = cand > best[w:]
-                best[w:] = np.maximum(best[w:], cand)
-                take.append((length, n, better))
-            most -= n
-            unit *= 2
-        if by_size and best[capacity] == capacity:
-            break  # a full sequence: no better one exists
-    used, c = np.zeros(capacity, np.int64), int(best.argmax())
-    for length, n, better in reversed(take):
-        if better[c]:
-            used[length - 1] += n
-            c -= n * length
+
+def configuration(first: int, best: np.ndarray, weight: np.ndarray, capacity: int) -> dict[int, int] | None:
+    """Length to copies: ``first`` and the best filling of the room beside it; None if that does not fill the sequence."""
+    used, c = {first: 1}, capacity - first
+    while c > 0:
+        k = int((best[:c][::-1] + weight[:c]).argmax()) + 1
+        if weight[k - 1] == -np.inf:
+            return None
+        used[k] = used.get(k, 0) + 1
+        c -= k
     return used
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = 60, step: float = 0.35) -> list[tuple[np.ndarray, int]]:
+def fractional(counts: np.ndarray, capacity: int, batches: int, step: float) -> list[tuple[dict[int, int], float]]:
+    """The configuration linear program by multiplicative weights: (configuration, how often), all of them full.
+
+    Lengths are taken from the longest on, in ``batches``. A knapsack prices what the room beside a
+    piece can hold, and the best configuration is used until something in it is served; weights then
+    fall by the share of their demand that was served, to nothing at the whole, and the next
+    configuration is priced. At the optimum weights are as the lengths (the volume bound's dual
+    values), so that small changes steer; the power a little over one prefers few long pieces.
+    """
+    sizes, need = np.arange(1, capacity + 1), counts.astype(float)
+    start, demand, out = sizes**1.0001, np.maximum(need, 1), []
+    weight = np.where(need > 0, start, -np.inf)
+    for group in np.array_split(np.flatnonzero(counts)[::-1] + 1, batches):
+        best = priced(weight, capacity)
+        for first in group.tolist():
+            while need[first - 1] > 1e-9:
+                config = configuration(first, best, weight, capacity)
+                if config is None:
+                    break
+                often = min(need[k - 1] / n for k, n in config.items())
+                for k, n in config.items():
+                    need[k - 1] -= n * often
+                    weight[k - 1] *= 1 - step * min(n * often / demand[k - 1], 1)
+                    if need[k - 1] <= 1e-9:
+                        weight[k - 1] = -np.inf
+                out.append((config, often))
+    return out
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int = 4, batches: int = 16, step: float = 1e-3) -> list[tuple[np.ndarray, int]]:
     """Runs (configuration, repeats) that use every piece of the histogram ``counts`` exactly once.
 
-    ``rounds`` is the number of multiplicative-weights rounds, ``step`` their learning rate.
+    ``rounds`` is how often at most the linear program is solved and rounded, ``batches`` the prices
+    worked out in each, ``step`` the learning rate of the weights.
     """
     left, runs = counts.astype(np.int64).copy(), []
     sizes = np.arange(1, capacity + 1)
-    full = int(left[capacity - 1])
-    if full:  # a piece of the whole capacity has only one configuration
-        only = np.zeros(capacity, np.int64)
-        only[capacity - 1] = 1
-        runs.append((only, full))
-        left[capacity - 1] = 0
-    if left.sum() > 0:
-        present = left > 0
-        demand = np.where(present, left, 1).astype(float)
-        # weights start at the length (dual values of the volume bound), then follow what is served too little
-        weight = np.where(present, sizes / demand, 0.0) * demand
-        served, found = np.zeros(capacity), {}
-        for _ in range(rounds):
-            config = best_configuration(np.where(present, weight, -1.0), None, capacity)
-            if not config.any():
-                break
-            key = config.tobytes()
-            found[key] = found.get(key, 0) + 1
-            served += config / demand
-            mean = served[present].mean()
-            weight = np.where(present, sizes * np.exp(-step * np.clip(served / max(mean, 1e-300) - 1, -8, 8)), 0.0)
-        # rounding: each configuration in proportion to its share, as often as the counts allow
-        total = sum(found.values())
-        volume = -(-int((left * sizes).sum()) // capacity)
-        for key, times in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-            config = np.frombuffer(key, np.int64)
-            used = config > 0
-            n = min(int(times / total * volume), int((left[used] // config[used]).min()))
-            if n > 0 and (config * sizes).sum() == capacity:
-                runs.append((config, n))
-                left -= config * n
-    def fill(left: np.ndarray, least: int) -> list[tuple[np.ndarray, int]]:
-        """Fullest sequences first, each repeated as often as it can be, until at most ``least`` pieces are left."""
-        out = []
-        while left.sum() > least:
-            config = best_configuration(sizes.astype(float), left, capacity)
-            used = config > 0
-            n = int((left[used] // config[used]).min())
-            out.append((config, n))
-            left -= config * n
-        return out
-
-    runs += fill(left, TAIL)
-    fitted = best_fit(left, capacity)
-    filled = fill(left.copy(), 0)
-    return runs + min(fitted, filled, key=lambda x: sum(n for _, n in x))
-
-
-#: The last pieces are also packed by best fit decreasing; the better of the two packings counts.
-TAIL = 3000
+
+    def place(config: dict[int, int], n: int) -> int:
+        n = min(n, *[int(left[k - 1]) // m for k, m in config.items()])
+        if n > 0:
+            used = np.zeros(capacity, np.int64)
+            for k, m in config.items():
+                used[k - 1] = m
+                left[k - 1] -= m * n
+            runs.append((used, n))
+        return max(n, 0)
+
+    place({capacity: 1}, int(left[capacity - 1]))  # a piece of the whole capacity has only one configuration
+    for round_ in range(rounds):
+        before = int(left.sum())
+        if not before:
+            break
+        for config, often in fractional(left, capacity, batches, step):
+            # a share of one counts as one from the second round on, where the counts are small
+            place(config, int(often) if round_ == 0 else max(int(often), 1))
+        if round_ and before - left.sum() < 0.02 * before:
+            break
+
+    return runs + best_fit(left, capacity)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
