@@ -34,8 +34,8 @@ from .quality import labelled, sampled
 
 #: Labelled rows the model is fitted on at most.
 MAX_TRAIN = 20_000
-#: Voters mined from the labelled texts at most, and the documents a mined voter must occur in.
-MAX_MINED, MIN_SUPPORT = 400, 3
+#: What a mined voter needs: toxic documents that hold it, and lift times the root of their number.
+MIN_SUPPORT, MIN_STRENGTH = 3, 8.0
 #: Lengths of word beginnings that can be voters.
 BEGINNINGS = (4, 5, 6)
 #: How often the training label is right.
@@ -59,10 +59,11 @@ def tokens(words: Counter[str]) -> set[str]:
     return out
 
 
-def mined(texts: DataFrame, most: int = MAX_MINED) -> list[str]:
+def mined(texts: DataFrame, least: float = MIN_STRENGTH) -> list[str]:
     """Tokens that stand in toxic texts far more often than in others. ``texts``: (id, y, text).
 
-    Tasks count their own rows first; the ranking keeps ``most`` tokens, which alone reach the driver.
+    Tasks count their own rows first; tokens of strength ``least`` or more reach the driver. The sample
+    bounds them: each needs MIN_SUPPORT of its toxic documents.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,8 +80,8 @@ def mined(texts: DataFrame, most: int = MAX_MINED) -> list[str]:
         return []
     counts = texts.select("y", "text").mapInPandas(run, "token string, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     lift = F.log((F.col("bad") + 0.5) / total["bad"]) - F.log((F.col("good") + 0.5) / total["good"])
-    ranked = counts.where(f"bad >= {MIN_SUPPORT}").withColumn("rank", lift * F.sqrt("bad")).where(lift > 1.5)
-    return [r["token"] for r in ranked.orderBy(F.desc("rank"), "token").limit(most).collect()]
+    ranked = counts.where(f"bad >= {MIN_SUPPORT}").withColumn("rank", lift * F.sqrt("bad")).where((lift > 1.5) & (F.col("rank") >= least))
+    return [r["token"] for r in ranked.orderBy(F.desc("rank"), "token").collect()]
 
 
 class Voters:
