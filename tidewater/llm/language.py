@@ -40,9 +40,9 @@ def letter_vectors() -> list[np.ndarray]:
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Packed n-grams of slots and their counts. Slot 0 stands for any run of what is no letter."""
     if not _is_letter:
-        _is_letter.append(np.array([chr(c).isalpha() for c in range(0x30000)], bool))
+        _is_letter.append(np.array([chr(c).isalpha() for c in range(0x110000)], bool))
     code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "ignore"), np.uint32)
-    letter = _is_letter[0][np.minimum(code, 0x2FFFF)]
+    letter = _is_letter[0][code]
     if not letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     slot = np.where(letter, code.astype(np.int64) * 2654435761 % 4294967291 % (SLOTS - 1) + 1, 0)
