@@ -9,13 +9,14 @@ sketch), after the hash of the whole text.
 
 Defined results: a null text is empty; an empty text has an empty sketch and is like
 itself (1) and nothing else (0); texts shorter than a span are one span; rows are ordered
-by id, then text, null ids first; a lone document is its own next one; every row gives a
+by id, null ids first, then by a hash of the text; a lone document is its own next one; every row gives a
 row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,30 +119,38 @@ def cells_of(fingerprint_: str) -> np.ndarray:
 
 
 def with_next(docs: DataFrame, then, schema: str) -> DataFrame:
-    """Runs ``then`` (an iterator of (id, text, next text) in, of data frames out) along the order of (id, text).
+    """Runs ``then`` (an iterator of (id, text, next text) in, of data frames out) along the order of (id, hash of the text).
 
     Ids are cut into ranges of about equal counts, one for each shuffle partition, whose bounds and first ids
     alone reach the driver. Each range's first document is also sent to the range before it, behind its rows,
     so each task can walk its range in order without any global sort in one place.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn("o", F.coalesce("id", F.lit(-(1 << 63))))
+    docs = docs.withColumn("o", F.coalesce("id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    quantiles = docs.where("id is not null").select("id").approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
-    bounds = np.array(sorted({int(q) for q in quantiles}), np.int64)
+    quantiles = Counter(int(q) for q in docs.approxQuantile("o", [i / ranges for i in range(1, ranges)], 0.2 / ranges))
+    # an id that several quantiles fall on has a range of its own, cut into parts by the texts' hashes
+    bounds = np.array(sorted({x for q, n in quantiles.items() for x in ((q, q + 1) if n > 1 else (q,))}), np.int64)
+    parts = np.ones(len(bounds) + 1, np.int64)
+    for q, n in quantiles.items():
+        if n > 1:
+            parts[np.searchsorted(bounds, q, "right")] = n + 1
+    start = np.concatenate([[0], parts.cumsum()])
 
     @F.pandas_udf("long")
-    def range_of(o: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, o.to_numpy(np.int64), "right"))
+    def range_of(o: pd.Series, h: pd.Series) -> pd.Series:
+        at = np.searchsorted(bounds, o.to_numpy(np.int64), "right")
+        place = (h.to_numpy(np.int64) / 2.0**64 + 0.5) * parts[at]
+        return pd.Series(start[at] + np.minimum(place.astype(np.int64), parts[at] - 1))
 
-    firsts = {r["b"]: r["o"] for r in docs.select("o").withColumn("b", range_of("o")).groupBy("b").agg(F.min("o").alias("o")).collect()}
+    firsts = {r["b"]: (r["f"]["o"], r["f"]["h"]) for r in docs.select("o", "h").withColumn("b", range_of("o", "h")).groupBy("b").agg(F.min(F.struct("o", "h")).alias("f")).collect()}
     order = sorted(firsts)
     before = {b: order[i - 1] for i, b in enumerate(order)}
     heads = {firsts[b]: before[b] for b in order}
 
     @F.pandas_udf("long")
-    def sent_to(o: pd.Series) -> pd.Series:
-        return o.map(heads).fillna(-1).astype("int64")
+    def sent_to(o: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([heads.get(x, -1) for x in zip(o.tolist(), h.tolist())], dtype="int64")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
@@ -156,9 +165,9 @@ def with_next(docs: DataFrame, then, schema: str) -> DataFrame:
 
         yield from then(rows())
 
-    sent = docs.withColumn("b", range_of("o")).withColumn("p", sent_to("o"))
+    sent = docs.withColumn("b", range_of("o", "h")).withColumn("p", sent_to("o", "h"))
     sent = sent.withColumn("to", F.explode(F.expr("filter(array(named_struct('b', b, 's', 0), named_struct('b', p, 's', 1)), x -> x.b >= 0)")))
-    dealt = sent.select("to.b", "to.s", "o", "id", "text").repartitionById(len(bounds) + 1, F.col("b").cast("int")).sortWithinPartitions("b", "s", "o", "text")
+    dealt = sent.select("to.b", "to.s", "o", "h", "id", "text").repartitionById(int(start[-1]), F.col("b").cast("int")).sortWithinPartitions("b", "s", "o", "h", "text")
     return dealt.select("b", "s", "id", "text").mapInPandas(walk, schema)
 
 
