@@ -333,14 +333,58 @@ def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
     rng = random.Random(7)
     docs = [(i, " ".join(rng.choice(["the", "cat", "sat", "on", "mat", "and", "ran"]) for _ in range(80)) + f" {i}", "en") for i in range(60)]
     noise = "".join(rng.choice("qxzjkvw#%&.,!19 ") for _ in range(600))
-    models = perplexity.train(frame(spark, docs))
-    context = perplexity.symbols("the cat")[-4:-1]
-    ids = np.array([perplexity.ngram_ids(np.append(context, s))[0] for s in range(perplexity.ALPHABET)])
-    assert abs((10.0 ** models["en"].log10(ids).astype(float)).sum() - 1) < 1e-4
+    source = frame(spark, docs).select("lang", "text")
+    own = perplexity.inventories(source)
+    parts = {r["part"]: bytes(r["data"]) for r in perplexity.train(source, own).collect()}
+    model = perplexity.KneserNey.of(parts)
+    for before in ("the cat", "qqq", "cat s", "ran 1"):
+        context = perplexity.symbols(before, own["en"])[-4:-1]
+        ids = np.array([perplexity.ngram_ids(np.append(context, s))[0] for s in range(perplexity.ALPHABET)])
+        assert abs((10.0 ** model.log10(ids).astype(float)).sum() - 1) < 1e-4
     got = {r["doc_id"]: r for r in perplexity.apply_rules(frame(spark, docs + [(99, noise, "en")])).collect()}
     assert not got[99]["kept"] and sum(got[i]["kept"] for i in range(60) if not got[i]["base_failed"]) >= 0.95 * sum(not got[i]["base_failed"] for i in range(60))
 
 
+def test_kneser_ney_matches_brute_force(spark):
+    """Probabilities from the textbook's recursion over plain dictionaries, and the perplexities and bands they give."""
+    rng = random.Random(17)
+    letters = "абвгдежз ιωλ"
+    docs = [(i, " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 6))) for _ in range(60 + i)), "xx") for i in range(40)]
+    counts = Counter(c for _, t, _ in docs for c in re.sub(r"\s+", " ", t.lower()) if c != " ")
+    rank = {c: i + 1 for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c)))}
+    seqs = {i: [0] * 3 + [rank.get(c, 0) for c in re.sub(r"\s+", " ", t.lower())] + [0] for i, t, _ in docs}
+    level = {4: Counter(tuple(s[k : k + 4]) for s in seqs.values() for k in range(len(s) - 3))}
+    for n in (3, 2, 1):
+        level[n] = Counter(g[1:] for g in level[n + 1])
+    discounts = {}
+    for n, c in level.items():
+        n1, n2, n3, n4 = (max(sum(v == k for v in c.values()), 1) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        discounts[n] = [0, min(max(1 - 2 * y * n2 / n1, 0.05), 0.95), min(max(2 - 3 * y * n3 / n2, 0.05), 1.9), min(max(3 - 4 * y * n4 / n3, 0.05), 2.8)]
+    followers = {n: Counter() for n in level}
+    freed = {n: Counter() for n in level}
+    for n, c in level.items():
+        for g, v in c.items():
+            followers[n][g[:-1]] += v
+            freed[n][g[:-1]] += min(discounts[n][min(v, 3)], v)
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / perplexity.ALPHABET
+        total = followers[n][gram[:-1]]
+        if not total:
+            return p(gram[1:])
+        v = level[n][gram]
+        return max(v - discounts[n][min(v, 3)], 0) / total + freed[n][gram[:-1]] / total * p(gram[1:])
+
+    got = {r["doc_id"]: r for r in perplexity.apply_rules(frame(spark, docs)).collect()}
+    for i, s in seqs.items():
+        want = -np.mean([np.log10(p(tuple(s[k : k + 4]))) for k in range(len(s) - 3)])
+        assert got[i]["log10_perplexity"] == pytest.approx(want, rel=1e-4)
+    assert perplexity.groups_of({"a": 5, "b": 6, "c": 1, "d": 20}, 11) == [["a", "b"], ["c"], ["d"]]
+
+
 # -- 7: lattice -------------------------------------------------------------------------
 def test_lattice_adds_up_all_segmentations():
     model = lattice.lattice(tokenizer_path(PIECES))
@@ -359,6 +403,30 @@ def test_lattice_adds_up_all_segmentations():
         assert abs(model.log10(word) - np.log10(brute(lattice.MARK + word))) < 1e-9
     assert np.isfinite(model.log10("x" * 50_000))
 
+    def segmentations(text):
+        if not text:
+            yield 0.0, Counter()
+            return
+        size = len(text[0].encode())
+        for p, uses in segmentations(text[1:]):
+            yield p + model.byte * size, uses + Counter({"": size})
+        for j in range(1, len(text) + 1):
+            if text[:j] in model.log_p:
+                for p, uses in segmentations(text[j:]):
+                    yield p + model.log_p[text[:j]], uses + Counter([text[:j]])
+
+    for word in ("a", "the", "thing", "größe"):
+        got, logs, want = {}, {}, Counter()
+        model.expected(word, got)
+        model._expected_long(lattice.MARK + word, logs)
+        ways = list(segmentations(lattice.MARK + word))
+        whole = sum(np.exp(p) for p, _ in ways)
+        for p, uses in ways:
+            for piece, k in uses.items():
+                want[piece] += k * np.exp(p) / whole
+        for found in (got, logs):
+            assert set(found) == set(want) and all(found[x] == pytest.approx(want[x], abs=1e-12) for x in want)
+
 
 def test_lattice_base_score_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lattice, "MAX_FREQUENT", 30)  # so that most words go by the join
@@ -376,7 +444,22 @@ def test_lattice_base_score_matches_brute_force(spark, monkeypatch):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-        assert r["score"] < 0
+    # the score, from counts and the lattice of the fitted weights
+    seen = Counter(v for x, v in counts.items() if x is not None)
+    discount = (seen[1] + 1) / (seen[1] + 2 * seen[2] + 2)
+    start, sums = lattice.lattice(tokenizer_path(PIECES)), {}
+    for x in counts:
+        if x is not None:
+            start.expected(x.decode(), sums)
+    total = sum(sums.values()) + lattice.PRIOR
+    log_p = {x: np.log((sums.get(x, 0) + lattice.PRIOR * np.exp(q)) / total) for x, q in start.log_p.items()}
+    model = lattice.Lattice(log_p, np.log((sums.get("", 0) + lattice.PRIOR * lattice.BYTE_SHARE) / total / 256))
+    for i, t, _ in docs:
+        want = np.log10((counts[None] - discount) / n)
+        for x in t.encode().lower().split():
+            lent = discount * v / n * 10 ** model.log10(x.decode())
+            want += np.log10((counts[x] - discount) / n + lent) if counts[x] else np.log10(lent)
+        assert got[i]["score"] == pytest.approx(want)
 
 
 # -- 8, 9, 10 ---------------------------------------------------------------------------
