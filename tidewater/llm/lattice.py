@@ -1,15 +1,19 @@
 """Language-model scores from a subword lattice.
 
 A word is spelled by the pieces of an existing vocabulary in many ways. The vocabulary's
-scores weight them all: its ranks give each piece a Zipf probability, and a forward
+scores weight them all: its ranks give each piece a Zipf probability, which ``ROUNDS`` of
+expectation maximisation over the lattices of all distinct training words fit to the corpus
+(the expected uses of a piece, with ``PRIOR`` pseudo-uses spread by rank). A forward
 recursion in log space over the word's lattice adds up the probabilities of every
 segmentation (any character can also be spelled by its bytes). Words begin with the
 vocabulary's word mark, so no piece crosses words and a document's lattice is the chain of
 its words' lattices: the marginal probability of a document is the product of theirs and
-that of its end. The corpus enters as counts: with c the training count of a token, N all
-training tokens, V their distinct number and L the token's lattice probability, the model
-gives (c + V L) / (N + V), the lattice being the prior of a Dirichlet process. Each
-distinct word's lattice is run once, over the table of all words of the corpus.
+that of its end. The corpus enters as counts as well: with c the training count of a token, N
+all training tokens, V their distinct number and L the token's lattice probability, the model
+gives (c - D) / N + (D V / N) L, where the discount D = (n1 + 1) / (n1 + 2 n2 + 2) comes from
+the numbers of tokens seen once and twice: what is taken from the seen words is what the
+lattice hands out. The tables of words are Spark's; nothing of the corpus but piece counts
+(one a piece of the vocabulary) reaches the driver.
 
 Scoring reads the frequent words (at most ``MAX_FREQUENT``, by count) from a broadcast and
 joins the rest, one row for each document and word, with the table of words by a shuffle,
@@ -27,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,27 +42,85 @@ from .common import fold, materialise, whole_text
 MAX_FREQUENT = 150_000
 #: Distinct words a task gathers before it sends their counts on.
 MAX_HELD = 400_000
-#: Share of the probability given to spelling by bytes.
+#: Share of the probability that spelling by bytes has before it is fitted.
 BYTE_SHARE = 1e-3
+#: Rounds of expectation maximisation, and the weight of the vocabulary's own scores in them.
+ROUNDS, PRIOR = 1, 500.0
+#: Up to so many characters plain numbers hold a word's probabilities; beyond, logarithms do.
+PLAIN = 48
 MARK = "▁"
 
 
+def ranked(path: str) -> tuple[dict[str, float], float]:
+    """Natural log probabilities of a sentencepiece model's pieces by their ranks, and that of one byte."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    weights: dict[str, float] = {}
+    for i in range(model.get_piece_size()):
+        special = model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
+        if not special and model.get_score(i) > -1e8:
+            weights[model.id_to_piece(i)] = 1.0 / (1.0 - model.get_score(i))  # scores are negative ranks
+    total = sum(weights.values()) / (1 - BYTE_SHARE)
+    return {piece: math.log(w / total) for piece, w in weights.items()}, math.log(BYTE_SHARE / 256)
+
+
 class Lattice:
-    """Piece log probabilities (natural) of a sentencepiece model, and the forward recursion."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        weights: dict[str, float] = {}
-        for i in range(model.get_piece_size()):
-            special = model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
-            if not special and model.get_score(i) > -1e8:
-                weights[model.id_to_piece(i)] = 1.0 / (1.0 - model.get_score(i))  # scores are negative ranks
-        total = sum(weights.values()) / (1 - BYTE_SHARE)
-        self.log_p = {piece: math.log(w / total) for piece, w in weights.items()}
-        self.longest = max(map(len, self.log_p))
-        self.byte = math.log(BYTE_SHARE / 256)
+    """Piece log probabilities (natural), and the recursions over a word's lattice."""
+
+    def __init__(self, log_p: dict[str, float], byte: float):
+        self.log_p, self.byte = log_p, byte
+        self.longest = max(map(len, log_p))
+        self.p, self.byte_p = {piece: math.exp(v) for piece, v in log_p.items()}, math.exp(byte)
+
+    def expected(self, word: str, into: dict[str, float]) -> None:
+        """Adds to ``into`` how often a segmentation drawn by its probability uses each piece ("": bytes)."""
+        text, get, longest = MARK + word, self.p.get, self.longest
+        n = len(text)
+        if n > PLAIN:
+            self._expected_long(text, into)
+            return
+        forward, backward, edges = [0.0] * (n + 1), [0.0] * (n + 1), []
+        forward[0] = backward[n] = 1.0
+        for i in range(n):
+            here, c = forward[i], text[i]
+            size = len(c.encode()) if c >= "\x80" else 1
+            p = self.byte_p**size
+            forward[i + 1] += here * p
+            edges.append((i, i + 1, p, ""))
+            if c == MARK and i:
+                continue
+            for j in range(i + 1, min(i + longest, n) + 1):
+                piece = text[i:j]
+                p = get(piece)
+                if p is not None:
+                    forward[j] += here * p
+                    edges.append((i, j, p, piece))
+        whole = forward[n]
+        for i, j, p, piece in reversed(edges):
+            rest = p * backward[j]
+            backward[i] += rest
+            share = forward[i] * rest / whole
+            if piece:
+                into[piece] = into.get(piece, 0.0) + share
+            else:
+                into[""] = into.get("", 0.0) + share * len(text[i].encode())
+
+    def _expected_long(self, text: str, into: dict[str, float]) -> None:
+        n, add, edges = len(text), np.logaddexp, []
+        forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        forward[0] = backward[n] = 0.0
+        for i in range(n):
+            found = [(i + 1, self.byte * len(text[i].encode()), "")]
+            if text[i] != MARK or not i:
+                found += [(j, self.log_p[text[i:j]], text[i:j]) for j in range(i + 1, min(i + self.longest, n) + 1) if text[i:j] in self.log_p]
+            for j, p, piece in found:
+                forward[j] = add(forward[j], forward[i] + p)
+                edges.append((i, j, p, piece))
+        for i, j, p, piece in reversed(edges):
+            backward[i] = add(backward[i], p + backward[j])
+            share = math.exp(min(forward[i] + p + backward[j] - forward[n], 0.0))
+            into[piece] = into.get(piece, 0.0) + share * (1 if piece else len(text[i].encode()))
 
     def log10(self, word: str) -> float:
         """log10 of the summed probability of all segmentations of the marked word."""
@@ -87,7 +150,31 @@ class Lattice:
 
 @lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
-    return Lattice(path)
+    return Lattice(*ranked(path))
+
+
+def fitted(words: DataFrame, start: Lattice, rounds: int = ROUNDS, prior: float = PRIOR) -> Lattice:
+    """``start`` after expectation maximisation over the distinct ``words`` (word, c) with c > 0.
+
+    Tasks add up the expected uses of their own words; one row for each piece reaches the driver.
+    """
+    now = start
+    for _ in range(rounds):
+        model = words.sparkSession.sparkContext.broadcast((now.log_p, now.byte))
+
+        def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            run, sums = Lattice(*model.value).expected, {}
+            for pdf in batches:
+                for w in pdf["word"]:
+                    run(w.decode(), sums)
+            yield pd.DataFrame({"piece": list(sums), "n": list(sums.values())}).astype({"piece": object, "n": float})
+
+        rows = words.where("c > 0").select("word").mapInPandas(uses, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        sums = {r["piece"]: r["n"] for r in rows}
+        total = sum(sums.values()) + prior
+        log_p = {piece: math.log((sums.get(piece, 0.0) + prior * math.exp(v)) / total) for piece, v in start.log_p.items()}
+        now = Lattice(log_p, math.log((sums.get("", 0.0) + prior * math.exp(start.byte) * 256) / total / 256))
+    return now
 
 
 def words_of(text: str) -> list[bytes]:
@@ -123,22 +210,27 @@ def score_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     docs = df.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     docs = docs.withColumn("train", F.coalesce(fold(F.col("id"), 10) != 0, F.lit(False)))
 
+    words = materialise(count_words(docs.select("train", "text")))
+    model = fitted(words, lattice(vocabulary))
+    held = docs.sparkSession.sparkContext.broadcast((model.log_p, model.byte))
+
     def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = lattice(vocabulary).log10
+        run = Lattice(*held.value).log10
         for pdf in batches:
             yield pdf.assign(l=[run(w.decode()) for w in pdf["word"]])
 
-    words = materialise(count_words(docs.select("train", "text")).mapInPandas(spelled, "word binary, c long, l double"))
-    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()[0]
+    words = materialise(words.mapInPandas(spelled, "word binary, c long, l double"))
+    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()[0]
     ends = docs.where("train").count()
     n, v = seen["n"] + ends, seen["v"] + (ends > 0)
-    prior = max(v, 1)  # without training texts the lattice alone counts
+    discount = (seen["n1"] + 1) / (seen["n1"] + 2 * seen["n2"] + 2)
+    spread = discount * v / n if n else 1.0  # without training texts the lattice alone counts
     low = math.log10(n + 0.1 * (v + 1))
 
     def model_log(c: float, log_l: float) -> float:
-        return (math.log10(c + prior * 10**log_l) if c else math.log10(prior) + log_l) - math.log10(n + prior)
+        return math.log10((c - discount) / n + spread * 10**log_l) if c else math.log10(spread) + log_l
 
-    end_base, end_score = math.log10(ends + 0.1) - low, model_log(ends, math.log10(max(ends, 1) / max(n, 1)))
+    end_base, end_score = math.log10(ends + 0.1) - low, math.log10((ends - discount) / n) if ends else 0.0
 
     # how many words have each count tells from which count on words are frequent enough for the broadcast
     least, sum_ = None, 0
@@ -179,8 +271,7 @@ def score_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     source = docs.select("id", F.xxhash64("text").alias("key"), "text")
     parts = materialise(source.mapInPandas(read, "id long, key long, word binary, n long, known long, base double, score double"))
     own = parts.where("word IS NULL").drop("word")
-    spread = F.lit(math.log10(n + prior))
-    gain = F.when(F.col("c") > 0, F.log10(F.col("c") + prior * F.pow(F.lit(10.0), "l"))).otherwise(F.lit(math.log10(prior)) + F.col("l")) - spread
+    gain = F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / max(n, 1) + spread * F.pow(F.lit(10.0), "l"))).otherwise(F.lit(math.log10(spread)) + F.col("l"))
     rest = parts.where("word IS NOT NULL").select("id", "key", "word", "n").join(words, "word")
     sums = rest.groupBy("id", "key").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"),
