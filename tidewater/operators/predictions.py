@@ -104,3 +104,19 @@ def purged_groups(df: DataFrame, o: WindowSpec, t: str, gap_hours: int, test_gro
     near = (F.unix_timestamp(t) >= F.unix_timestamp("__a") - purge_hours * 3600) & (F.unix_timestamp(t) <= F.unix_timestamp("__b") + purge_hours * 3600)
     part = F.when(F.col("group_id") == test_group, "test").when(F.coalesce(near, F.lit(False)), "purged").otherwise("train")
     return df.join(ends, key, "left").withColumn("part", part).drop("__a", "__b")
+
+
+def blocking(df: DataFrame, o: WindowSpec, splits: int, block: int | None = None, separation: int = 0, key: str = "k") -> DataFrame:
+    """Rows with (fold, part): each key's rows fall into ``splits`` blocks with gaps; a fold tests on one block and trains on the others.
+
+    Blocks take a third of a fold's share of the rows, 50 at least, or what the rows allow. Rows between blocks are in no fold.
+    """
+    n = df.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    df = df.withColumn("__i", F.row_number().over(o) - 1).join(n, F.col(key) == F.col("__k"))
+    wanted = F.lit(block) if block else F.greatest(F.lit(50), F.floor(F.col("__n") / (splits * 3)))
+    gaps = (splits - 1) * separation
+    size = F.when(splits * wanted + gaps > F.col("__n"), F.floor((F.col("__n") - gaps) / splits)).otherwise(wanted)
+    df = df.withColumn("__z", size + separation).withColumn("__b", F.floor(F.col("__i") / F.col("__z")))
+    df = df.where((F.col("__i") % F.col("__z") < F.col("__z") - separation) & (F.col("__b") < splits))
+    df = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    return df.withColumn("part", F.when(F.col("__b") == F.col("fold"), "test").otherwise("train")).drop("__i", "__k", "__n", "__z", "__b")
