@@ -6,9 +6,10 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import alerts, correlation, ewm, fill, kernels, outliers, predictions, text
+from tidewater.operators import alerts, correlation, ewm, fill, kernels, outliers, predictions, robust, text
 from tidewater.sinks import upsert
 from tidewater.sources import files
 from tidewater.sources.polling import MarketHistory
@@ -228,3 +229,51 @@ def test_tick_features_do_not_depend_on_batches():
         history, found = stateful.tick_features(history, prices[i : i + 9])
         parts += found
     assert whole == parts
+
+
+def test_support_and_resistance_match_brute_force():
+    rng = np.random.default_rng(5)
+    x = 100 + rng.normal(0, 3, 5000)
+    got = kernels.support_resistance(x)
+    for kind, sign in (("resistance", 1), ("support", -1)):
+        peaks = [(i, sign * v) for i, v in kernels.spaced_peaks(sign * x, 12)]
+        want = {(i, v, n) for i, v in peaks if (n := sum(abs(w - v) < v * 0.02 for _, w in peaks)) >= 2}
+        own = [r for r in got if r[1] == kind]
+        assert {(r[0], r[2], r[3]) for r in own} == want
+        ahead = [r[4] for r in own if r[4] > 0]
+        assert [r[4] for r in own if r[5]] == [min(ahead)] * sum(r[4] == min(ahead) for r in own) if ahead else not any(r[5] for r in own)
+
+
+def test_bootstrap_does_not_depend_on_the_partitioning(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "a" if i % 3 else "b", float(v)) for i, v in enumerate(rng.normal(10, 2, 900))]
+    df = spark.createDataFrame(rows, "i long, k string, v double")
+    one, many = [{r["k"]: (round(r["low"], 9), round(r["high"], 9)) for r in robust.bootstrap_means(x, "v", "k", "i").collect()} for x in (df.coalesce(1), df.repartition(7))]
+    assert one == many
+    for k, (low, high) in one.items():
+        v = np.array([x for _, g, x in rows if g == k])
+        half = 1.96 * v.std(ddof=1) / np.sqrt(len(v))
+        assert abs(low - (v.mean() - half)) < 0.25 * half and abs(high - (v.mean() + half)) < 0.25 * half
+
+
+def test_spearman_has_no_global_window_over_values(spark):
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 50, 3000).astype(float)
+    b = a + rng.normal(0, 20, 3000).round()
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b}))
+    got = correlation.spearman(df, "a", "b").first()
+    want = pd.Series(a).rank().corr(pd.Series(b).rank())
+    assert abs(got["spearman"] - want) < 1e-12
+
+
+def test_walk_forward_gives_each_key_the_folds_it_holds(spark):
+    df = spark.range(1000).selectExpr("'a' AS k", "id AS t").union(spark.range(100).selectExpr("'b'", "id"))
+    rows = predictions.walk_forward(df, Window.partitionBy("k").orderBy("t"), 50, 20, gap=5).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r["k"], r["fold"], r["part"]), []).append(r["t"])
+    for k, n in (("a", 1000), ("b", 100)):
+        plan = predictions.folds(n, 50, 20, gap=5)
+        assert {f for key, f, _ in got if key == k} == {f[0] for f in plan}
+        for f, a, b, c, d in plan:
+            assert sorted(got[k, f, "train"]) == list(range(a - 1, b)) and sorted(got[k, f, "test"]) == list(range(c - 1, d))

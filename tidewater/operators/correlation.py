@@ -33,17 +33,25 @@ def useful_columns(df: DataFrame, columns: list[str], most_null: float = 0.5, le
     return kept
 
 
+#: Ranges that ranks are worked out in; so many rows at most are broadcast.
+RANGES = 256
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson and Spearman (average ranks) of two columns over the rows that have both.
 
-    Ranks come from counts by value: a running sum over distinct values, not a window over all rows.
+    Ranks come from counts by value, in ranges of about equal numbers of values: a running sum
+    within each range, and before it the sum of the ranges below (one row a range).
     """
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
 
     def ranks(x: str, out: str) -> DataFrame:
         counts = both.groupBy(x).agg(F.count("*").alias("__n"))
-        before = F.sum("__n").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-        return counts.select(x, (before + (F.col("__n") + 1) / 2).alias(out))
+        bounds = sorted(set(both.approxQuantile(x, [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)))
+        counts = counts.withColumn("__p", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda v: v <= F.col(x))) if bounds else F.lit(0))
+        below = counts.groupBy("__p").agg(F.sum("__n").alias("__b")).withColumn("__b", F.sum("__b").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__b"))
+        within = F.sum("__n").over(Window.partitionBy("__p").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+        return counts.withColumn("__w", within).join(F.broadcast(below), "__p").select(x, (F.col("__b") + F.col("__w") + (F.col("__n") + 1) / 2).alias(out))
 
     ranked = both.join(ranks(a, "__ra"), a).join(ranks(b, "__rb"), b)
     return ranked.agg(F.corr(a, b).alias("pearson"), F.corr("__ra", "__rb").alias("spearman"), F.count("*").alias("n"))

@@ -20,14 +20,21 @@ from pyspark.sql import functions as F
 CELLS = 1_000_000
 
 
-def per_key(df: DataFrame, key: str, t: str, x: str, kernel: Callable[[np.ndarray], list[tuple]], schema: str, chunk: int | None = None) -> DataFrame:
-    """(key, chunk, *schema): ``kernel`` on each key's values in order: the whole series (chunk 0) or, if asked for, windows of ``chunk`` rows."""
+def per_key(df: DataFrame, key: str, t: str, x: str, kernel: Callable[[np.ndarray], list[tuple]], schema: str, chunk: int | None = None, timed: bool = False) -> DataFrame:
+    """(key, chunk, *schema): ``kernel`` on each key's values in order: the whole series (chunk 0) or, if asked for, windows of ``chunk`` rows.
+
+    Missing values are left out. With ``timed`` the kernel's first value is the number of one of the
+    values it was given, and its time stands in the result instead.
+    """
     number = F.lit(0) if chunk is None else (F.row_number().over(Window.partitionBy(key).orderBy(t)) - 1) / chunk
     numbered = df.select(F.col(key).cast("string").alias("k"), t, F.col(x).cast("double").alias("x"), number.cast("long").alias("chunk"))
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(t)["x"].to_numpy(float)
-        rows = kernel(values[~np.isnan(values)])
+        pdf = pdf.dropna(subset=["x"]).sort_values(t)
+        rows = kernel(pdf["x"].to_numpy(float))
+        if timed:
+            at = pdf[t].tolist()
+            rows = [(at[i], *rest) for i, *rest in rows]
         return pd.DataFrame([(*keys, *r) for r in rows], columns=["k", "chunk", *[c.split()[0] for c in schema.split(", ")]])
 
     return numbered.groupBy("k", "chunk").applyInPandas(run, f"k string, chunk long, {schema}")
@@ -265,6 +272,27 @@ def spaced_peaks(x: np.ndarray, distance: int = 12) -> list[tuple]:
     return [(i, float(x[i])) for i in sorted(kept)]
 
 
+def support_resistance(x: np.ndarray, distance: int = 12, within: float = 0.02, least: int = 2) -> list[tuple]:
+    """Peaks and troughs that ``least`` of their kind lie near (``within`` of the level, itself included): levels.
+
+    Each with its kind, strength, distance from the last value in percent, and whether it is the nearest
+    resistance above or support below it.
+    """
+    out = []
+    for kind, sign in (("resistance", 1), ("support", -1)):
+        found = spaced_peaks(sign * x, distance) if len(x) > 2 else []
+        values = np.sort([sign * v for _, v in found])
+        levels = []
+        for i, v in found:
+            level = sign * v
+            strength = int(np.searchsorted(values, level * (1 + within), "left") - np.searchsorted(values, level * (1 - within), "right"))
+            if strength >= least:
+                levels.append((i, kind, float(level), strength, float(100 * sign * (level - x[-1]) / x[-1])))
+        nearest = min((d for *_, d in levels if d > 0), default=None)
+        out += [(*row, row[-1] == nearest) for row in levels]
+    return out
+
+
 def simulated_paths(stats: DataFrame, key: str, mean: str, dev: str, paths: int, steps: int, seed: int = 42) -> DataFrame:
     """(key, path, step, value): growth paths of normal returns, generated by tasks from row numbers and a seed."""
     grid = stats.select(key, mean, dev).withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).repartition(key, "path")

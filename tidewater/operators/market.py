@@ -82,8 +82,14 @@ def herfindahl(df: DataFrame, by: str, member: str, x: str) -> DataFrame:
     return each.groupBy(by).agg((F.sum(F.col("__s") * F.col("__s")) / (F.sum("__s") * F.sum("__s"))).alias("hhi"), F.count("*").alias("members"))
 
 
+#: Venues whose pairs are formed at most; they are a dimension, and one copy of them is broadcast.
+MAX_VENUES = 5_000
+
+
 def pairwise_spread(df: DataFrame, name: str, x: str, least: float) -> DataFrame:
-    """Pairs of venues whose x differs by more than ``least``; one row a venue, so their number is a dimension's."""
-    a = df.select(F.col(name).alias("a"), F.col(x).alias("x"), F.lit(1).alias("j"))
-    b = df.select(F.col(name).alias("b"), F.col(x).alias("y"), F.lit(1).alias("j"))
-    return a.join(b, "j").where((F.col("a") < F.col("b")) & (F.abs(F.col("x") - F.col("y")) > least)).select("a", "b", (F.col("x") - F.col("y")).alias("spread"))
+    """Pairs of venues whose x differs by more than ``least``; ``df`` has one row a venue, which a count checks."""
+    if df.limit(MAX_VENUES + 1).count() > MAX_VENUES:
+        raise ValueError(f"more than {MAX_VENUES} venues: their pairs are too many")
+    a = df.select(F.col(name).alias("a"), F.col(x).alias("x"))
+    b = df.select(F.col(name).alias("b"), F.col(x).alias("y"))
+    return a.join(F.broadcast(b), (F.col("a") < F.col("b")) & (F.abs(F.col("x") - F.col("y")) > least)).select("a", "b", (F.col("x") - F.col("y")).alias("spread"))

@@ -76,14 +76,19 @@ def folds(n_rows: int, train: int, test: int, step: int | None = None, gap: int
     return out
 
 
-def walk_forward(df: DataFrame, o: WindowSpec, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """Rows with (fold, part) for each fold they are in, by row number within the key: an array lookup, no join."""
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("fold", "a", "b", "c", "d"), row)]) for row in plan])
-    df = df.withColumn("__i", F.row_number().over(o))
-    inside = F.filter(table, lambda f: F.col("__i").between(f["a"], f["b"]) | F.col("__i").between(f["c"], f["d"]))
-    df = df.withColumn("__f", F.explode(inside))
-    part = F.when(F.col("__i") <= F.col("__f.b"), "train").otherwise("test")
-    return df.withColumn("fold", F.col("__f.fold")).withColumn("part", part).drop("__i", "__f")
+def walk_forward(df: DataFrame, o: WindowSpec, train: int, test: int, step: int | None = None, gap: int = 0, key: str = "k") -> DataFrame:
+    """Rows with (fold, part) for each fold they are in, by row number within the key; as many folds as each key's rows hold.
+
+    Fold f begins at row f * step, so a row's folds follow from its number: no plan is kept, and a row costs its own folds.
+    """
+    step, whole = step or test, train + gap + test
+    n = df.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    df = df.withColumn("__i", F.row_number().over(o) - 1).join(n, F.col(key) == F.col("__k"))
+    first = F.greatest(F.ceil((F.col("__i") - (whole - 1)) / step), F.lit(0)).cast("long")
+    last = F.least(F.floor(F.col("__i") / step), F.floor((F.col("__n") - whole) / step)).cast("long")
+    df = df.where(last >= first).withColumn("fold", F.explode(F.sequence(first, last))).withColumn("__j", F.col("__i") - F.col("fold") * step)
+    df = df.where((F.col("__j") < train) | (F.col("__j") >= train + gap)).withColumn("part", F.when(F.col("__j") < train, "train").otherwise("test"))
+    return df.withColumn("fold", F.col("fold").cast("int")).drop("__i", "__j", "__k", "__n")
 
 
 def sliding_windows(df: DataFrame, o: WindowSpec, size: int, step: int) -> DataFrame:

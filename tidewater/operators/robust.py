@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,27 +69,37 @@ def permutation_entropy(df: DataFrame, x: str, o, by: str = "k") -> DataFrame:
     return counts.withColumn("__p", p).groupBy(by).agg((-F.sum(F.col("__p") * F.log2("__p")) / float(np.log2(6))).alias("permutation_entropy"))
 
 
-def bootstrap_means(df: DataFrame, x: str, by: str, replicates: int = 200, seed: int = 42) -> DataFrame:
+#: Poisson(1) distribution: a uniform number's place among these is its count.
+_POISSON = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
+
+
+def poisson_weights(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """(row, replicate) counts drawn from a hash of the row's id: the same wherever and however often a row is read."""
+    h = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) ^ (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed))[None, :]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(_POISSON, (h >> np.uint64(11)) / 2.0**53, "right").astype(float)
+
+
+def bootstrap_means(df: DataFrame, x: str, by: str, row_id: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """(by, low, high): percentile interval of the mean by the Poisson bootstrap.
 
-    Each row weighs a Poisson(1) count in each replicate, drawn from a hash of its value and
-    position, so tasks only add up ``replicates`` sums for each group.
+    Each row weighs a Poisson(1) count in each replicate, drawn from a hash of its ``row_id``, so the
+    interval does not depend on the partitioning, and tasks only add up ``replicates`` sums for each group.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        for number, pdf in enumerate(batches):
-            for key, rows in pdf.groupby("k")["v"]:
-                values = rows.to_numpy(float)
-                values = values[~np.isnan(values)]
-                rng = np.random.default_rng([seed, number, len(values), int(abs(values[:1].sum()) * 1e6) % (1 << 31)])
-                for at in range(0, len(values), 4096):
-                    part = values[at : at + 4096]
-                    w = rng.poisson(1.0, (len(part), replicates))
-                    sums[key] = sums.get(key, 0) + np.stack([part @ w, w.sum(0)])
+        for pdf in batches:
+            for key, rows in pdf.dropna(subset=["v"]).groupby("k"):
+                for at in range(0, len(rows), 1024):
+                    part = rows.iloc[at : at + 1024]
+                    w = poisson_weights(part["i"].to_numpy(np.int64), replicates, seed)
+                    sums[key] = sums.get(key, 0) + np.stack([part["v"].to_numpy(float) @ w, w.sum(0)])
         for key, (total, weight) in sums.items():
-            yield pd.DataFrame({"k": key, "b": np.arange(replicates), "s": total, "w": weight.astype(float)})
+            yield pd.DataFrame({"k": key, "b": np.arange(replicates), "s": total, "w": weight})
 
-    parts = df.select(F.col(by).cast("string").alias("k"), c(x).cast("double").alias("v")).mapInPandas(run, "k string, b int, s double, w double")
+    rows = df.select(F.col(by).cast("string").alias("k"), F.xxhash64(row_id).alias("i"), c(x).cast("double").alias("v"))
+    parts = rows.mapInPandas(run, "k string, b int, s double, w double")
     means = parts.groupBy("k", "b").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     return means.groupBy("k").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).withColumnRenamed("k", by)

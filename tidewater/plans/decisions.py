@@ -203,12 +203,10 @@ def missing_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- folds ------------------------------------------------------------------------------
-_PLAN = predictions.folds(600, 200, 50, gap=5)
-
-
-@query("walk_forward_folds", B + ", n AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM bars), f(fold, a, b, c, d) AS (VALUES " + ", ".join(str(f) for f in _PLAN) + ") SELECT k, fold::INTEGER AS fold, CASE WHEN i <= b THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(t) AS start, max(t) AS stop FROM n JOIN f ON i BETWEEN a AND b OR i BETWEEN c AND d GROUP BY 1, 2, 3")
+@query("walk_forward_folds", B + """, n AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM bars), f AS (SELECT k, t, i, unnest(range(greatest((i - 254 + 49) // 50, 0)::BIGINT, least(i // 50, (n - 255) // 50)::BIGINT + 1)) AS fold FROM n WHERE n >= 255),
+  j AS (SELECT k, t, fold, i - fold * 50 AS j FROM f) SELECT k, fold::INTEGER AS fold, CASE WHEN j < 200 THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(t) AS start, max(t) AS stop FROM j WHERE j < 200 OR j >= 205 GROUP BY 1, 2, 3""")
 def walk_forward_folds(spark: SparkSession, d: str) -> DataFrame:
-    rows = predictions.walk_forward(tb.hourly(spark, d).select("k", "t"), by_time(), _PLAN)
+    rows = predictions.walk_forward(tb.hourly(spark, d).select("k", "t"), by_time(), 200, 50, gap=5)
     return rows.groupBy("k", "fold", "part").agg(F.count("*").alias("n"), F.min("t").alias("start"), F.max("t").alias("stop"))
 
 

@@ -179,4 +179,4 @@ def permutation_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return robust.bootstrap_means(tb.events(spark, d), "value", "event_type")
+    return robust.bootstrap_means(tb.events(spark, d), "value", "event_type", "event_id")

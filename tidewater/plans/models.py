@@ -72,23 +72,29 @@ def entropy_suite(spark: SparkSession, d: str) -> DataFrame:
 
 @query("denoise")
 def denoise(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.per_key(_series(spark, d), "k", "t", "close", kernels.denoised, "i long, savgol double, median_gauss double, trend double, haar double, wiener double")
+    return kernels.per_key(_series(spark, d), "k", "t", "close", kernels.denoised, "t timestamp, savgol double, median_gauss double, trend double, haar double, wiener double", timed=True)
 
 
 @query("hmm_states")
 def hmm_states(spark: SparkSession, d: str) -> DataFrame:
     df = tb.hourly(spark, d).withColumn("r", log_return("close", by_time()))
-    return kernels.per_key(df, "k", "t", "r", kernels.hidden_markov, "i long, state int, p double")
+    return kernels.per_key(df, "k", "t", "r", kernels.hidden_markov, "t timestamp, state int, p double", timed=True)
 
 
 @query("iforest")
 def iforest(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.per_key(_series(spark, d), "k", "t", "close", kernels.isolation_scores, "i long, score double, outlier boolean")
+    return kernels.per_key(_series(spark, d), "k", "t", "close", kernels.isolation_scores, "t timestamp, score double, outlier boolean", timed=True)
 
 
 @query("spaced_peaks")
 def spaced_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.per_key(_series(spark, d), "k", "t", "close", kernels.spaced_peaks, "i long, value double")
+    return kernels.per_key(_series(spark, d), "k", "t", "close", kernels.spaced_peaks, "t timestamp, value double", timed=True)
+
+
+@query("support_resistance")
+def support_resistance(spark: SparkSession, d: str) -> DataFrame:
+    schema = "t timestamp, kind string, level double, strength int, distance_pct double, nearest boolean"
+    return kernels.per_key(_series(spark, d), "k", "t", "close", kernels.support_resistance, schema, timed=True)
 
 
 @query("kalman_level")
