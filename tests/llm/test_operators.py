@@ -28,7 +28,15 @@ def words(rng, n, vocab=400):
 
 
 AWKWARD = [(None, "some text without an id", "en"), (1, None, "en"), (2, "", None), (3, " \n\t ", "fr"), (4, "x" * 30_000, "en"), (5, "same text here twice over", "en"), (5, "same text here twice over", "en"), (6, "ünïcödé 日本語 😀 İΣς", "de")]
+def marks(df):
+    """Labels of every other id, some of them null or repeated."""
+    own = df.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality", "cast(doc_id % 3 = 0 AS int) AS toxic")
+    return own.union(df.selectExpr("doc_id", "cast(NULL AS int)", "cast(NULL AS int)"))
+
+
 OPERATORS = {
+    "quality": lambda df: quality.score_quality(df, marks(df)),
+    "toxicity": lambda df: toxicity.score_toxicity(df, marks(df)),
     "pii": lambda df: pii.find_personal_data(df),
     "near_dup": lambda df: near_dup.near_duplicates(df),
     "packing": lambda df: packing.pack_documents(df, tokenizer_path(WORD_BPE)),

@@ -56,3 +56,26 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_duplicates(spark, df.repartition(3), "").collect()]
     assert sorted(got, key=repr) == sorted([(1, twice), (7, clean), (8, same), (None, lost), (None, alone), (9, "")], key=repr)
+
+
+def test_awkward_rows_and_empty_tables(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda n=90: " ".join(f"t{rng.randrange(4000)}" for _ in range(n))
+    same, long_ = text(), " ".join(text(1000) for _ in range(20))
+    rows = [(None, text()), (1, None), (2, ""), (3, " \n\t "), (4, long_), (5, same), (5, same), (None, same), (6, "ünïcödé 日本語 😀 İΣς a@b.c")] + [(10 + i, text()) for i in range(8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, component_id string, __row long"
+    for at, own in (("some", rows), ("none", [])):
+        spark.createDataFrame([(i, t, "en", "s", 0, 7, "c", 1) for i, t in own], schema).write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i, _ in own], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{at}/labels.parquet")
+    docs = pipeline.documents(spark, f"{tmp_path}/some")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/some")
+        assert docs.columns == pipeline.COLUMNS
+        docs.write.parquet(f"{tmp_path}/some/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/some/{name}")
+        kept = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        if name == "MinHash near-dedup":
+            assert kept.count((5, same)) == 1 and (None, same) not in kept and {i for i, _ in kept} >= {1, 2, 3, 4, 6}
+    pieces = pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len({(r["doc_id"]) for r in pieces}) == len({i for i, _ in kept}) and sum(r["length"] for r in pieces if r["doc_id"] == 4) > 2048
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0

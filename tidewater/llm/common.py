@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +23,22 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder stands
-    in only where that setting is missing (local mode, tests).
+    The cluster names it in ``spark.checkpoint.dir``. Only a session on one machine (local mode,
+    tests) may leave it out: a temporary folder stands in. Elsewhere that raises an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _own_dir()
     return at.rstrip("/")
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tidewater-")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
