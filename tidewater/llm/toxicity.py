@@ -35,7 +35,7 @@ from .quality import labelled, sampled
 #: Labelled rows the model is fitted on at most.
 MAX_TRAIN = 20_000
 #: What a mined voter needs: toxic documents that hold it, and lift times the root of their number.
-MIN_SUPPORT, MIN_STRENGTH = 3, 8.0
+MIN_SUPPORT, MIN_STRENGTH = 3, 10.0
 #: Lengths of word beginnings that can be voters.
 BEGINNINGS = (4, 5, 6)
 #: How often the training label is right.
@@ -106,39 +106,57 @@ class Voters:
         return sorted(found), hits
 
 
+#: Rows of the vote matrix that are turned into numbers at once.
+ROWS = 1024
+
+
+def _blocks(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The rows of ``x`` as floats, some at a time: the whole stays a matrix of bytes."""
+    for at in range(0, len(x), ROWS):
+        yield slice(at, at + ROWS), x[at : at + ROWS].astype(float)
+
+
 def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Posterior probability of toxic for each row of ``votes``; ``y`` votes along with LABEL_TRUST."""
+    """Posterior probability of toxic for each row of ``votes`` (0 and 1); ``y`` votes along with LABEL_TRUST."""
     n = len(y)
     trust = np.log(LABEL_TRUST / (1 - LABEL_TRUST)) * (2 * y - 1)
     q = np.where(y > 0, LABEL_TRUST, 1 - LABEL_TRUST)
-    weight = np.ones(votes.shape[1])
+    together = sum((v.T @ v for _, v in _blocks(votes)), np.zeros((votes.shape[1],) * 2))
     for _ in range(rounds):
         prior = (q.sum() + 1) / (n + 2)
-        on = (votes.T @ q + 0.1) / (q.sum() + 1.0)  # how often each voter votes for toxic texts
-        off = (votes.T @ (1 - q) + 0.1) / ((1 - q).sum() + 1.0)  # and for clean ones
-        on, off = np.clip(on, 1e-5, 1 - 1e-5), np.clip(off, 1e-5, 1 - 1e-5)
-        # correlation of the voters that the class does not explain
-        rest = votes - (np.outer(q, on) + np.outer(1 - q, off)).astype(np.float32)
-        spread = np.sqrt((rest**2).sum(0)) + 1e-9
-        correlation = np.abs((rest.T @ rest) / np.outer(spread, spread))
+        sides = np.stack([q, 1 - q])
+        seen = sum((sides[:, at] @ v for at, v in _blocks(votes)), np.zeros((2, votes.shape[1])))
+        # how often each voter votes for toxic texts, and for clean ones
+        on, off = np.clip((seen + 0.1) / (sides.sum(1)[:, None] + 1.0), 1e-5, 1 - 1e-5)
+        # correlation of the voters that the class does not explain: products of what is left of the votes, from sums
+        expected = np.stack([on, off])
+        cross = seen.T @ expected
+        rest = together - cross - cross.T + expected.T @ (sides @ sides.T) @ expected
+        spread = np.sqrt(np.maximum(np.diag(rest), 0)) + 1e-9
+        correlation = np.abs(rest / np.outer(spread, spread))
         weight = 1.0 / np.where(correlation > 0.2, correlation, 0).sum(1).clip(1.0)
         yes, no = weight * np.log(on / off), weight * np.log((1 - on) / (1 - off))
-        logit = np.log(prior / (1 - prior)) + votes @ (yes - no) + no.sum() + trust
+        spoken = np.concatenate([v @ (yes - no) for _, v in _blocks(votes)])
+        logit = np.log(prior / (1 - prior)) + spoken + no.sum() + trust
         q = 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
     return q
 
 
-def linear_classifier(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights (the last is the intercept) of a logistic regression on soft labels q."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(float)
-    w = np.zeros(x.shape[1])
+def linear_classifier(votes: np.ndarray, hits: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights of a logistic regression on soft labels q: one a voter, one for ``hits``, the intercept."""
+    size = votes.shape[1] + 2
+    w = np.zeros(size)
     w[-1] = np.log((q.sum() + 1) / (len(q) - q.sum() + 1))
-    penalty = np.full(len(w), ridge)
+    penalty = np.full(size, ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (q - p) - penalty * w)
+        h, g = np.diag(penalty), -penalty * w
+        for at, v in _blocks(votes):
+            x = np.hstack([v, hits[at, None], np.ones((len(v), 1))])
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
+            h += (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
+            g += x.T @ (q[at] - p)
+        step = np.linalg.solve(h, g)
         w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
     return w
 
@@ -170,12 +188,11 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, i
     rows = texts.mapInPandas(vote, "id long, y double, on array<int>, hits long").toPandas().sort_values(["id", "hits"])
     if not len(rows):
         return ToxicityModel(voters, np.concatenate([np.full(len(SEED), 2.0), np.zeros(voters.n - len(SEED)), [2.0, -3.0]]))
-    x = np.zeros((len(rows), voters.n + 1), np.float32)
-    for i, on in enumerate(rows["on"]):
+    x = np.zeros((len(rows), voters.n), np.uint8)
+    for i, on in enumerate(rows.pop("on")):
         x[i, list(on)] = 1
-    x[:, -1] = np.log1p(rows["hits"].to_numpy(np.float32))
-    q = label_model(x[:, :-1], rows["y"].to_numpy(float))
-    return ToxicityModel(voters, linear_classifier(x, q))
+    q = label_model(x, rows["y"].to_numpy(float))
+    return ToxicityModel(voters, linear_classifier(x, np.log1p(rows["hits"].to_numpy(float)), q))
 
 
 def toxicity_score(model: ToxicityModel, text: Column) -> Column:
