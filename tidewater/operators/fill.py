@@ -67,3 +67,49 @@ def by_null_ratio(df: DataFrame, columns: list[str], o: WindowSpec) -> DataFrame
         elif shares[x]:
             df = df.withColumn(x, F.coalesce(x, F.lit(shares[f"{x}__m"])))
     return df
+
+
+def extrapolate(df: DataFrame, x: str, o: WindowSpec, key: str = "k") -> DataFrame:
+    """As ``interpolate`` by row number, but nulls before the first and after the last value follow the line
+    through the two nearest values. A key with one value repeats it; one without stays null."""
+    df = df.withColumn("__i", F.row_number().over(o).cast("double"))
+    at = F.when(c(x).isNotNull(), F.struct(F.col("__i").alias("i"), c(x).alias("v")))
+    held = df.where(c(x).isNotNull()).select(key, at.alias("__p"), F.row_number().over(o).alias("__u"), F.count("*").over(Window.partitionBy(key)).alias("__n"))
+    pick = lambda m: F.min(F.when(m, F.col("__p")))
+    ends = held.where("__u <= 2 OR __u > __n - 2").groupBy(F.col(key).alias("__k")).agg(
+        pick(F.col("__u") == 1).alias("__a"), pick(F.col("__u") == 2).alias("__b"), pick(F.col("__u") == F.col("__n") - 1).alias("__y"), pick(F.col("__u") == F.col("__n")).alias("__z")
+    )
+    line = lambda p, q, base: F.col(f"{base}.v") + (F.col("__i") - F.col(f"{base}.i")) * (F.col(f"{q}.v") - F.col(f"{p}.v")) / F.nullif(F.col(f"{q}.i") - F.col(f"{p}.i"), F.lit(0.0))
+    df = interpolate(df.withColumn("__x", c(x)), "__x", o).join(ends, F.col(key) == F.col("__k"), "left")
+    value = F.when(F.col("__i") < F.col("__a.i"), line("__a", "__b", "__a")).when(F.col("__i") > F.col("__z.i"), line("__y", "__z", "__z"))
+    return df.withColumn(x, F.coalesce(c(x), value, F.col("__x"))).drop("__i", "__x", "__k", "__a", "__b", "__y", "__z")
+
+
+def local_line(df: DataFrame, x: str, o: WindowSpec, share: float = 0.3, key: str = "k") -> DataFrame:
+    """Adds trend: at row i (from 0) the line through the origin fitted to the rows at most half of h = ceil(share n)
+    away, weighted by 1 - distance / h.
+
+    The weights are linear on either side of i, so each side needs only sums of j x, j^2 x, j^2 and j^3. Running sums, looked
+    up at the window's ends by a join on the row number, give them: work grows with the rows, not with rows times window.
+    """
+    df = df.where(c(x).isNotNull())
+    n = df.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    df = df.withColumn("__i", (F.row_number().over(o) - 1).cast("long"))
+    j, sums = F.col("__i").cast("double"), o.rowsBetween(Window.unboundedPreceding, 0)
+    terms = {"__p1": j * c(x), "__p2": j * j * c(x), "__q1": j * j, "__q2": j * j * j}
+    df = df.withColumns({name: F.sum(v).over(sums) for name, v in terms.items()})
+    at = lambda tag: df.select(F.col(key).alias(f"__k{tag}"), F.col("__i").alias(f"__i{tag}"), *[F.col(p).alias(f"{p}{tag}") for p in terms])
+    df = df.join(n, F.col(key) == F.col("__k")).withColumn("__h", F.ceil(share * F.col("__n"))).withColumn("__w", F.floor(F.col("__h") / 2))
+    df = df.withColumns({"__lo": F.col("__i") - F.col("__w") - 1, "__hi": F.least(F.col("__i") + F.col("__w"), F.col("__n") - 1)})
+    df = df.join(at("_s"), (F.col(key) == F.col("__k_s")) & (F.col("__lo") == F.col("__i_s")), "left")
+    df = df.join(at("_e"), (F.col(key) == F.col("__k_e")) & (F.col("__hi") == F.col("__i_e")), "left")
+
+    def weighted(one: str, two: str) -> Column:
+        left = [F.col(s) - F.coalesce(f"{s}_s", F.lit(0.0)) for s in (one, two)]  # rows from lo + 1 to i
+        right = [F.col(f"{s}_e") - F.col(s) for s in (one, two)]  # rows from i + 1 to hi
+        h = F.col("__h")
+        return left[0] * (1 - F.col("__i") / h) + left[1] / h + right[0] * (1 + F.col("__i") / h) - right[1] / h
+
+    slope = weighted("__p1", "__p2") / F.nullif(weighted("__q1", "__q2"), F.lit(0.0))
+    df = df.withColumn("trend", F.coalesce(slope * F.col("__i"), c(x)))
+    return df.drop(*[n for n in df.columns if n.startswith("__")])

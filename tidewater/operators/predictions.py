@@ -125,3 +125,24 @@ def blocking(df: DataFrame, o: WindowSpec, splits: int, block: int | None = None
     df = df.where((F.col("__i") % F.col("__z") < F.col("__z") - separation) & (F.col("__b") < splits))
     df = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     return df.withColumn("part", F.when(F.col("__b") == F.col("fold"), "test").otherwise("train")).drop("__i", "__k", "__n", "__z", "__b")
+
+
+def adaptive_folds(df: DataFrame, x: str, o: WindowSpec, least: int = 500, most: int = 2000, test: int = 48, step: int = 24, lookback: int = 168, bound: float = 0.05, key: str = "k") -> DataFrame:
+    """(key, fold, volatility, train_start, train_stop, test_stop) in row numbers from 0, ends exclusive.
+
+    A fold starts every ``step`` rows from ``least`` on, while a test part follows. Where the returns within the last
+    ``lookback`` rows spread more than ``bound``, it trains on ``least`` rows and tests on half of ``test`` (12 at least),
+    else on ``most`` and ``test``. Positions with under ten rows of history train on ``least``.
+    """
+    n = df.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    i = F.row_number().over(o) - 1
+    before = o.rowsBetween(-(lookback - 1), -1)
+    df = df.withColumn("__r", F.when(i > 0, F.col(x) / F.nullif(F.lag(x).over(o), F.lit(0.0)) - 1))
+    df = df.withColumn("__i", i).withColumn("volatility", F.when(F.col("__i") >= 10, F.stddev_samp("__r").over(before)))
+    df = df.join(n, F.col(key) == F.col("__k")).where((F.col("__i") >= least) & ((F.col("__i") - least) % step == 0) & (F.col("__i") < F.col("__n") - test))
+    wild = F.coalesce(F.col("volatility") > bound, F.lit(False))
+    few = F.col("__i") < 10
+    train = F.least(F.when(wild | few, least).otherwise(most), F.col("__i"))
+    size = F.when(wild, max(12, test // 2)).otherwise(test)
+    fold = ((F.col("__i") - least) / step).cast("int") + 1
+    return df.select(key, fold.alias("fold"), "volatility", (F.col("__i") - train).alias("train_start"), F.col("__i").alias("train_stop"), F.least(F.col("__i") + size, F.col("__n")).alias("test_stop"))

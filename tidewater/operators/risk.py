@@ -77,3 +77,20 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: list[str]
         F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / F.nullif(F.var_pop(actual) * F.count(e), F.lit(0.0))).alias("r2"),
         (100 * F.avg(F.abs(e) / F.nullif(F.abs(c(actual)), F.lit(0.0)))).alias("mape"), F.max(F.abs(e)).alias("max_error"),
     )
+
+
+def tail_value_at_risk(df: DataFrame, r: str, by: list[str], confidence: float = 0.99, share: float = 0.05) -> DataFrame:
+    """(by, threshold, shape, scale, var, cvar): a generalised Pareto tail fitted to the losses beyond the ``share`` quantile.
+
+    Shape and scale are the moment estimates (mean and variance of the excesses), so two aggregates do; keys with
+    under 100 returns or 20 excesses have no row.
+    """
+    ends = df.groupBy(*by).agg(F.percentile(r, F.lit(share)).alias("threshold"), F.count(r).alias("__n")).where("__n >= 100")
+    beyond = df.join(ends, by).where(F.col(r) <= F.col("threshold"))
+    excess = F.col("threshold") - F.col(r)
+    s = beyond.groupBy(*by, "threshold").agg(F.count("*").alias("__e"), F.avg(excess).alias("__m"), F.var_samp(excess).alias("__v")).where("__e >= 20")
+    odds = F.col("__m") * F.col("__m") / F.nullif(F.col("__v"), F.lit(0.0))
+    s = s.withColumns({"shape": (1 - odds) / 2, "scale": F.col("__m") * (1 + odds) / 2})
+    grown = F.pow(F.lit((1 - confidence) / share), -F.col("shape"))
+    s = s.withColumn("var", F.col("threshold") - F.col("scale") * (grown - 1) / F.nullif(F.col("shape"), F.lit(0.0)))
+    return s.select(*by, "threshold", "shape", "scale", "var", (F.col("var") - F.col("scale") / F.nullif(1 - F.col("shape"), F.lit(0.0)) * grown).alias("cvar"))

@@ -91,3 +91,99 @@ def segment_stability(df: DataFrame, x: str, o: WindowSpec, segments: int, key:
     each = df.join(n, F.col(key) == F.col("__k")).withColumn("__p", part).groupBy(key, "__p").agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"))
     spread = lambda v: ratio(F.stddev_samp(v), F.avg(F.abs(v)))
     return each.groupBy(key).agg(F.count("*").alias("segments"), spread("__m").alias("mean_spread"), spread("__s").alias("std_spread"))
+
+
+def granger(df: DataFrame, x: str, y: str, o: WindowSpec, by: list[str]) -> DataFrame:
+    """(by, x_to_y, y_to_x): F of one lag of the cause, given one lag of the effect.
+
+    With one restriction F is (n - 3) p^2 / (1 - p^2), p the partial correlation, so six correlations in one
+    aggregate do for both directions. Rows where any of the four values is null don't count; null below three degrees.
+    """
+    lagged = df.select(*by, c(x).alias("__x"), c(y).alias("__y"), F.lag(c(x)).over(o).alias("__a"), F.lag(c(y)).over(o).alias("__b")).dropna(subset=["__x", "__y", "__a", "__b"])
+    r = lagged.groupBy(*by).agg(
+        F.count("*").alias("__n"), F.corr("__a", "__b").alias("__ab"), F.corr("__y", "__a").alias("__ya"),
+        F.corr("__y", "__b").alias("__yb"), F.corr("__x", "__a").alias("__xa"), F.corr("__x", "__b").alias("__xb"),
+    )
+
+    def f(effect_cause: str, effect_own: str) -> Column:
+        a, b, both = F.col(effect_cause), F.col(effect_own), F.col("__ab")
+        p2 = ratio((a - b * both) * (a - b * both), (1 - b * b) * (1 - both * both))
+        return F.when(F.col("__n") > 3, ratio((F.col("__n") - 3) * p2, 1 - p2))
+
+    return r.select(*by, f("__ya", "__yb").alias("x_to_y"), f("__xb", "__xa").alias("y_to_x"))
+
+
+def two_components(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by, share_1, share_2): variance shares of the two principal components of x and y (eigenvalues in closed form)."""
+    both = df.where(c(x).isNotNull() & c(y).isNotNull()).groupBy(*by).agg(F.var_samp(x).alias("__a"), F.var_samp(y).alias("__b"), F.covar_samp(x, y).alias("__c"))
+    total, gap = F.col("__a") + F.col("__b"), F.col("__a") - F.col("__b")
+    first = ratio((total + F.sqrt(gap * gap + 4 * F.col("__c") * F.col("__c"))) / 2, total)
+    return both.select(*by, first.alias("share_1"), (1 - first).alias("share_2"))
+
+
+def arch_lm(df: DataFrame, r: str, o: WindowSpec, by: list[str]) -> DataFrame:
+    """(by, n, lm): n times R^2 of squared centred returns on those before them."""
+    o_key = Window.partitionBy(*by)
+    d = df.where(c(r).isNotNull()).withColumn("__e", c(r) - F.avg(r).over(o_key)).withColumn("__q", F.col("__e") * F.col("__e"))
+    d = d.withColumn("__l", F.lag("__q").over(o)).where("__l IS NOT NULL")
+    rho = F.corr("__q", "__l")
+    return d.groupBy(*by).agg(F.count("*").alias("n"), (F.count("*") * rho * rho).alias("lm"))
+
+
+def equal_variance(df: DataFrame, x: str, group: str, by: list[str]) -> DataFrame:
+    """(by, levene, bartlett, f_ratio) of groups 1 and 0; Levene's by distances to the group's median."""
+    values = df.where(c(x).isNotNull() & c(group).isin(0, 1))
+    middle = values.groupBy(*by, group).agg(F.median(x).alias("__m"))
+    away = values.join(middle, [*by, group]).withColumn("__z", F.abs(c(x) - F.col("__m")))
+    one, two = F.col(group) == 1, F.col(group) == 0
+    s = away.groupBy(*by).agg(
+        F.count_if(one).alias("n1"), F.count_if(two).alias("n0"), F.var_samp(F.when(one, c(x))).alias("v1"), F.var_samp(F.when(two, c(x))).alias("v0"),
+        F.avg(F.when(one, F.col("__z"))).alias("m1"), F.avg(F.when(two, F.col("__z"))).alias("m0"), F.avg("__z").alias("m"),
+        F.var_samp(F.when(one, F.col("__z"))).alias("w1"), F.var_samp(F.when(two, F.col("__z"))).alias("w0"),
+    )
+    n1, n0 = F.col("n1"), F.col("n0")
+    free = n1 + n0 - 2
+    between = n1 * (F.col("m1") - F.col("m")) * (F.col("m1") - F.col("m")) + n0 * (F.col("m0") - F.col("m")) * (F.col("m0") - F.col("m"))
+    levene = ratio(free * between, (n1 - 1) * F.col("w1") + (n0 - 1) * F.col("w0"))
+    pooled = ((n1 - 1) * F.col("v1") + (n0 - 1) * F.col("v0")) / free
+    spread = free * F.ln(pooled) - (n1 - 1) * F.ln("v1") - (n0 - 1) * F.ln("v0")
+    bartlett = spread / (1 + (1 / (n1 - 1) + 1 / (n0 - 1) - 1 / free) / 3)
+    return s.select(*by, levene.alias("levene"), bartlett.alias("bartlett"), ratio("v1", "v0").alias("f_ratio"))
+
+
+def ljung_box(df: DataFrame, x: str, o: WindowSpec, lags: int, by: list[str]) -> DataFrame:
+    """(by, n, q): n (n + 2) times the sum over lags of the squared autocorrelation over n - lag."""
+    d = df.where(c(x).isNotNull()).withColumn("__d", c(x) - F.avg(x).over(Window.partitionBy(*by)))
+    d = d.select(*by, "__d", *[F.lag("__d", j).over(o).alias(f"__{j}") for j in range(1, lags + 1)])
+    s = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("__d") * F.col("__d")).alias("__v"), *[F.sum(F.col("__d") * F.col(f"__{j}")).alias(f"__c{j}") for j in range(1, lags + 1)])
+    n, total = F.col("n"), F.lit(0.0)
+    for j in range(1, lags + 1):
+        rho = ratio(F.col(f"__c{j}"), "__v")
+        total = total + F.coalesce(rho * rho / (n - j), F.lit(0.0))
+    return s.select(*by, "n", (n * (n + 2) * total).alias("q"))
+
+
+def equal_bins(df: DataFrame, x: str, bins: int, by: list[str], name: str) -> DataFrame:
+    """Adds ``name``: which of ``bins`` parts of equal width between the key's least and greatest value x falls in."""
+    o = Window.partitionBy(*by)
+    low, high = F.min(x).over(o), F.max(x).over(o)
+    at = F.least(F.floor((c(x) - low) * bins / F.nullif(high - low, F.lit(0.0))), F.lit(bins - 1))
+    return df.withColumn(name, F.when(c(x).isNotNull(), F.coalesce(at, F.lit(0))))
+
+
+def mutual_information(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """(by, mi) in nats between two binned columns: cell counts, then windows over the cells (bins squared a key)."""
+    cells = pairs.where(c(a).isNotNull() & c(b).isNotNull()).groupBy(*by, a, b).agg(F.count("*").alias("__c"))
+    total = lambda *keys: F.sum("__c").over(Window.partitionBy(*by, *keys))
+    each = cells.withColumns({"__n": total(), "__a": total(a), "__b": total(b)})
+    p = F.col("__c") / F.col("__n")
+    return each.groupBy(*by).agg(F.sum(p * F.ln(F.col("__c") * F.col("__n") / (F.col("__a") * F.col("__b")))).alias("mi"))
+
+
+def likeness(df: DataFrame, columns: list[str], group: str, by: list[str]) -> DataFrame:
+    """(by, feature, similarity): 1 less the relative differences of mean and deviation of group 1 from group 0, 0 at least each."""
+    one, two = F.col(group) == 1, F.col(group) == 0
+    s = df.groupBy(*by).agg(*[f(F.when(g, c(n))).alias(f"__{m}_{n}") for n in columns for m, f, g in (("m0", F.avg, two), ("m1", F.avg, one), ("s0", F.stddev_samp, two), ("s1", F.stddev_samp, one))])
+    near = lambda n, v: F.greatest(F.lit(0.0), 1 - F.abs(F.col(f"__{v}0_{n}") - F.col(f"__{v}1_{n}")) / (F.abs(F.col(f"__{v}0_{n}")) + 1e-8))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), ((near(n, "m") + near(n, "s")) / 2).alias("similarity")) for n in columns]))
+    return s.select(*by, rows.alias("__x")).select(*by, "__x.*")

@@ -24,6 +24,13 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, parser: str = "g
     return df.select(F.col("topic").alias("source"), F.lit(parser).alias("parser"), F.col("value").cast("string").alias("payload"), F.col("timestamp").alias("ingest_ts"))
 
 
+def to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str | None = None, **options: str) -> StreamingQuery:
+    """Rows of a stream as gzipped JSON messages of a topic, keyed by ``key``; the checkpoint lets it go on where it stopped."""
+    value = F.to_json(F.struct(*df.columns)).alias("value")
+    rows = df.select(value) if key is None else df.select(F.col(key).cast("string").alias("key"), value)
+    return rows.writeStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic, "kafka.compression.type": "gzip", "checkpointLocation": checkpoint} | options).start()
+
+
 def valid_ticks(raw: DataFrame, late: str = "5 minutes") -> DataFrame:
     """Parsed, validated ticks; rows later than ``late`` and repeats within it are dropped by the watermark."""
     ticks = parse(raw).withColumn("errors", errors()).where(F.size("errors") == 0)
