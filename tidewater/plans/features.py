@@ -129,10 +129,10 @@ def local_line(spark: SparkSession, d: str) -> DataFrame:
 
 @query("adaptive_folds", B + f""", i AS (SELECT k, t, close, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY k) AS n, close / nullif(lag(close) OVER ({W}), 0) - 1 AS r FROM bars),
   v AS (SELECT a.k, a.i, a.n, stddev_samp(b.r) AS v FROM i a JOIN i b ON a.k = b.k AND b.i < a.i AND b.i > a.i - 48 WHERE a.i >= 60 AND (a.i - 60) % 24 = 0 AND a.i < a.n - 24 GROUP BY 1, 2, 3)
-SELECT k, ((i - 60) // 24 + 1)::INTEGER AS fold, {rs('v')} AS volatility, i - least(CASE WHEN v > 1.5 THEN 60 ELSE 120 END, i) AS train_start, i AS train_stop, least(i + CASE WHEN v > 1.5 THEN 12 ELSE 24 END, n) AS test_stop FROM v""")
+SELECT k, ((i - 60) // 24 + 1)::INTEGER AS fold, {rs('v')} AS volatility, i - least(CASE WHEN v > 6 THEN 60 ELSE 120 END, i) AS train_start, i AS train_stop, least(i + CASE WHEN v > 6 THEN 12 ELSE 24 END, n) AS test_stop FROM v""")
 def adaptive_folds(spark: SparkSession, d: str) -> DataFrame:
-    """Folds of 60 or 120 hours, by whether the last two days' returns spread more than 1.5."""
-    return rounded(predictions.adaptive_folds(tb.hourly(spark, d), "close", by_time(), least=60, most=120, test=24, step=24, lookback=48, bound=1.5))
+    """Folds of 60 or 120 hours, by whether the last two days' returns spread more than 6."""
+    return rounded(predictions.adaptive_folds(tb.hourly(spark, d), "close", by_time(), least=60, most=120, test=24, step=24, lookback=48, bound=6.0))
 
 
 @query("tail_value_at_risk", B + f""", {RET}, q AS (SELECT k, quantile_cont(r, 0.05) AS u FROM r GROUP BY 1 HAVING count(r) >= 100), e AS (SELECT k, u, avg(u - r) AS m, var_samp(u - r) AS v FROM r JOIN q USING (k) WHERE r <= u GROUP BY 1, 2 HAVING count(*) >= 20),
