@@ -93,6 +93,11 @@ def segment_stability(df: DataFrame, x: str, o: WindowSpec, segments: int, key:
     return each.groupBy(key).agg(F.count("*").alias("segments"), spread("__m").alias("mean_spread"), spread("__s").alias("std_spread"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r as an aggregate, null where either column is constant (rows must have both)."""
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def granger(df: DataFrame, x: str, y: str, o: WindowSpec, by: list[str]) -> DataFrame:
     """(by, x_to_y, y_to_x): F of one lag of the cause, given one lag of the effect.
 
@@ -101,8 +106,8 @@ def granger(df: DataFrame, x: str, y: str, o: WindowSpec, by: list[str]) -> Data
     """
     lagged = df.select(*by, c(x).alias("__x"), c(y).alias("__y"), F.lag(c(x)).over(o).alias("__a"), F.lag(c(y)).over(o).alias("__b")).dropna(subset=["__x", "__y", "__a", "__b"])
     r = lagged.groupBy(*by).agg(
-        F.count("*").alias("__n"), F.corr("__a", "__b").alias("__ab"), F.corr("__y", "__a").alias("__ya"),
-        F.corr("__y", "__b").alias("__yb"), F.corr("__x", "__a").alias("__xa"), F.corr("__x", "__b").alias("__xb"),
+        F.count("*").alias("__n"), correlation("__a", "__b").alias("__ab"), correlation("__y", "__a").alias("__ya"),
+        correlation("__y", "__b").alias("__yb"), correlation("__x", "__a").alias("__xa"), correlation("__x", "__b").alias("__xb"),
     )
 
     def f(effect_cause: str, effect_own: str) -> Column:
@@ -126,7 +131,7 @@ def arch_lm(df: DataFrame, r: str, o: WindowSpec, by: list[str]) -> DataFrame:
     o_key = Window.partitionBy(*by)
     d = df.where(c(r).isNotNull()).withColumn("__e", c(r) - F.avg(r).over(o_key)).withColumn("__q", F.col("__e") * F.col("__e"))
     d = d.withColumn("__l", F.lag("__q").over(o)).where("__l IS NOT NULL")
-    rho = F.corr("__q", "__l")
+    rho = correlation("__q", "__l")
     return d.groupBy(*by).agg(F.count("*").alias("n"), (F.count("*") * rho * rho).alias("lm"))
 
 
@@ -145,9 +150,9 @@ def equal_variance(df: DataFrame, x: str, group: str, by: list[str]) -> DataFram
     free = n1 + n0 - 2
     between = n1 * (F.col("m1") - F.col("m")) * (F.col("m1") - F.col("m")) + n0 * (F.col("m0") - F.col("m")) * (F.col("m0") - F.col("m"))
     levene = ratio(free * between, (n1 - 1) * F.col("w1") + (n0 - 1) * F.col("w0"))
-    pooled = ((n1 - 1) * F.col("v1") + (n0 - 1) * F.col("v0")) / free
+    pooled = ((n1 - 1) * F.col("v1") + (n0 - 1) * F.col("v0")) / F.nullif(free, F.lit(0))
     spread = free * F.ln(pooled) - (n1 - 1) * F.ln("v1") - (n0 - 1) * F.ln("v0")
-    bartlett = spread / (1 + (1 / (n1 - 1) + 1 / (n0 - 1) - 1 / free) / 3)
+    bartlett = spread / (1 + (1 / F.nullif(n1 - 1, F.lit(0)) + 1 / F.nullif(n0 - 1, F.lit(0)) - 1 / F.nullif(free, F.lit(0))) / 3)
     return s.select(*by, levene.alias("levene"), bartlett.alias("bartlett"), ratio("v1", "v0").alias("f_ratio"))
 
 
@@ -159,7 +164,7 @@ def ljung_box(df: DataFrame, x: str, o: WindowSpec, lags: int, by: list[str]) ->
     n, total = F.col("n"), F.lit(0.0)
     for j in range(1, lags + 1):
         rho = ratio(F.col(f"__c{j}"), "__v")
-        total = total + F.coalesce(rho * rho / (n - j), F.lit(0.0))
+        total = total + F.coalesce(rho * rho / F.nullif(n - j, F.lit(0)), F.lit(0.0))
     return s.select(*by, "n", (n * (n + 2) * total).alias("q"))
 
 
