@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -436,6 +437,16 @@ def test_lattice_adds_up_all_segmentations():
             assert set(found) == set(want) and all(found[x] == pytest.approx(want[x], abs=1e-12) for x in want)
 
 
+def test_lattice_learns_from_words_below_plain_numbers(spark):
+    rare = "\U0001f996" * 20  # spelled by bytes only: its probability is no plain number
+    model, found = lattice.lattice(tokenizer_path(PIECES)), {}
+    model.expected(rare, found)
+    assert found[""] >= 80 and math.isfinite(model.log10(rare))
+    texts = spark.createDataFrame([(1, rare), (2, "\u1234" * 40 + " word"), (3, "word " * 3)], "doc_id long, text string")
+    for r in lattice.score_documents(texts, tokenizer_path(PIECES)).collect():
+        assert math.isfinite(r["score"]) and r["score"] < 0
+
+
 def test_lattice_base_score_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lattice, "MAX_FREQUENT", 30)  # so that most words go by the join
     rng = random.Random(12)

@@ -46,8 +46,8 @@ MAX_HELD = 400_000
 BYTE_SHARE = 1e-3
 #: Rounds of expectation maximisation, and the weight of the vocabulary's own scores in them.
 ROUNDS, PRIOR = 1, 500.0
-#: Up to so many characters plain numbers hold a word's probabilities; beyond, logarithms do.
-PLAIN = 48
+#: Up to so many characters, and down to such a probability, plain numbers hold a word's sums; beyond, logarithms do.
+PLAIN, LEAST = 48, 1e-200
 MARK = "▁"
 
 
@@ -97,6 +97,9 @@ class Lattice:
                     forward[j] += here * p
                     edges.append((i, j, p, piece))
         whole = forward[n]
+        if whole < LEAST:
+            self._expected_long(text, into)
+            return
         for i, j, p, piece in reversed(edges):
             rest = p * backward[j]
             backward[i] += rest
