@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .significance import equal_bins, mutual_information
+
 
 def matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) for each pair a before b: all pairs in one aggregate."""
@@ -77,3 +79,43 @@ def breakdown(df: DataFrame, a: str, b: str, t: str, recent: int) -> DataFrame:
 def variance_topk(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     one = df.agg(*[F.var_samp(x).alias(x) for x in columns])
     return one.unpivot([], columns, "name", "variance").orderBy(F.desc("variance"), "name").limit(k)
+
+
+def long_form(df: DataFrame, columns: list[str], keep: list[str], name: str = "feature", value: str = "x") -> DataFrame:
+    """(keep, name, value): one row for each of ``columns``, as doubles."""
+    each = F.array(*[F.struct(F.lit(n).alias(name), F.col(n).cast("double").alias(value)) for n in columns])
+    return df.select(*keep, F.explode(each).alias("__e")).select(*keep, f"__e.{name}", f"__e.{value}")
+
+
+def rolling_stability(df: DataFrame, columns: list[str], t: str, key: str = "k", least: float = 0.3) -> DataFrame:
+    """(key, feature, window, score, stable): 1 / (1 + mean rolling deviation over the mean rolling mean), windows of a tenth of the rows, 5 at least.
+
+    Missing values become the median; a mean that is not positive scores 0; keys of fewer than 20 rows have no score and
+    stay stable. Windows come from running sums, each row's given to the window it ends and to the one it leaves: one
+    aggregate by position, whatever the window's length. The median holds a key's distinct values in one task: give it bars.
+    """
+    rows = long_form(df, columns, [key, t])
+    size = rows.groupBy(key, "feature").agg(F.count("*").alias("n"), F.median("x").alias("__md"), F.avg("x").alias("__m"))
+    size = size.withColumn("window", F.greatest(F.lit(5), F.floor(F.col("n") / 10)).cast("int")).withColumnsRenamed({key: "__k", "feature": "__f"})
+    o = Window.partitionBy(key, "feature").orderBy(t)
+    x = F.coalesce("x", "__md") - F.col("__m")
+    rows = rows.join(size, F.col(key).eqNullSafe(F.col("__k")) & (F.col("feature") == F.col("__f"))).withColumn("__x", x)
+    rows = rows.withColumns({"__i": F.row_number().over(o), "__s": F.sum("__x").over(o.rowsBetween(Window.unboundedPreceding, 0)), "__q": F.sum(F.col("__x") * F.col("__x")).over(o.rowsBetween(Window.unboundedPreceding, 0))})
+    w = F.col("window")
+    ends = F.array(F.struct(F.col("__i").alias("p"), F.lit(1).alias("d")), F.struct((F.col("__i") + w).alias("p"), F.lit(-1).alias("d")))
+    at = rows.withColumn("__e", F.explode(ends)).where((F.col("__e.p") >= w) & (F.col("__e.p") <= F.col("n")))
+    sums = at.groupBy(key, "feature", "n", "window", "__m", "__e.p").agg(F.sum(F.col("__e.d") * F.col("__s")).alias("__s"), F.sum(F.col("__e.d") * F.col("__q")).alias("__q"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("__q") - F.col("__s") * F.col("__s") / w) / (w - 1)))
+    means = sums.groupBy(key, "feature", "n", "window").agg(F.avg(F.col("__s") / w + F.col("__m")).alias("__mean"), F.avg(spread).alias("__std"))
+    score = F.when((F.col("__std") > 0) & (F.col("__mean") > 0), 1 / (1 + F.col("__std") / F.col("__mean"))).otherwise(0.0)
+    known = means.withColumn("score", F.when(F.col("n") >= 20, score))
+    found = size.select(F.col("__k").alias(key), F.col("__f").alias("feature"), "window").join(known.select(F.col(key).alias("__k"), F.col("feature").alias("__f"), "score"), F.col(key).eqNullSafe(F.col("__k")) & (F.col("feature") == F.col("__f")), "left")
+    return found.select(key, "feature", "window", "score", (F.col("score").isNull() | (F.col("score") > least)).alias("stable"))
+
+
+def most_informative(df: DataFrame, features: list[str], target: str, keep: int, bins: int = 10, key: str = "k") -> DataFrame:
+    """(key, feature, mi, rank): the ``keep`` features whose ``bins`` equal parts tell most (nats) of the target's; equal ones by name."""
+    rows = long_form(equal_bins(df, target, bins, [key], "__y"), features, [key, "__y"])
+    mi = mutual_information(equal_bins(rows, "x", bins, [key, "feature"], "__b"), "__b", "__y", [key, "feature"])
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("mi"), "feature"))
+    return mi.withColumn("rank", rank).where(F.col("rank") <= keep)

@@ -50,3 +50,27 @@ def macro(df: DataFrame, rates: str, dollar: str, equity: str, score: str, o: Wi
         "rates_trend": sma(rates, o, 7), "rates_acceleration": full(F.avg("__d").over(frame), "__d", frame, 3), "dollar_momentum": c(dollar) - sma(dollar, o, 14),
         "risk_on_off": F.when(c(equity) > 0.1, 1).when(c(equity) < -0.1, -1).otherwise(0), "regime_change": known(F.abs(change(score, o)) > 0.2),
     }).drop("__d")
+
+
+def stress(level: Column, credit: Column, currency: Column) -> Column:
+    """Market stress: .5 of the volatility level from 15 (calm) to 45, .3 of credit and .2 of currency stress; 0.3 stands for an unknown level."""
+    level = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (level - 15) / 30)), F.lit(0.3))
+    return level * 0.5 + credit * 0.3 + currency * 0.2
+
+
+def bias(score: Column, bound: float) -> Column:
+    """BULLISH above the bound, BEARISH below its negative, else (unknown scores too) NEUTRAL."""
+    return F.when(score > bound, "BULLISH").when(score < -bound, "BEARISH").otherwise("NEUTRAL")
+
+
+def correlation_regime(strong: Column) -> Column:
+    """By the number of strong correlations."""
+    return F.when(strong >= 3, "HIGH_CORRELATION").when(strong <= 1, "LOW_CORRELATION").otherwise("NORMAL")
+
+
+def interactions(rsi: str = "rsi", band: str = "bb_position", mood: str = "sentiment", whale: str = "whale", momentum: str = "momentum", macro: str = "macro", atr: str = "atr") -> dict[str, Column]:
+    """Named interactions of technical, mood, on-chain and macro columns."""
+    return {
+        "rsi_bb_combo": c(rsi) * c(band), "oversold_squeeze": known((c(rsi) < 30) & (c(band) < 0.2)), "sentiment_rsi_divergence": c(mood) - c(rsi) / 100,
+        "whale_momentum_sync": c(whale) * F.signum(c(momentum)), "macro_volatility_interaction": c(macro) * c(atr),
+    }

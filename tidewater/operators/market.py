@@ -9,6 +9,8 @@ from ..functions.columns import c, clip, ratio
 
 # Trade sizes from which a bucket begins.
 SIZE_BUCKETS = ((10.0, "retail"), (25.0, "small"), (40.0, "medium"))
+# Depths of a book, in percent of the mid price.
+DEPTHS = (0.1, 0.5, 1.0, 2.0, 5.0)
 
 
 def vwap(price: str = "price", size: str = "size") -> Column:
@@ -93,3 +95,36 @@ def pairwise_spread(df: DataFrame, name: str, x: str, least: float) -> DataFrame
     a = df.select(F.col(name).alias("a"), F.col(x).alias("x"))
     b = df.select(F.col(name).alias("b"), F.col(x).alias("y"))
     return a.join(F.broadcast(b), (F.col("a") < F.col("b")) & (F.abs(F.col("x") - F.col("y")) > least)).select("a", "b", (F.col("x") - F.col("y")).alias("spread"))
+
+
+def book_depth(levels: DataFrame, by: str, ask: str = "ask", price: str = "price", size: str = "size", steps: tuple[float, ...] = DEPTHS, top: int = 20) -> DataFrame:
+    """(by, best_bid, best_ask, mid, bid_i, ask_i, imbalance_i for the i-th step, volume_imbalance, liquidity) of books of levels.
+
+    A step is a percentage of the mid price: the depth reaches that far below the best bid and above the
+    best ask. ``volume_imbalance`` takes the ``top`` levels of each side (of equal prices the larger first);
+    ``liquidity`` is the depth at 1 % in hundreds, 1 at most. Aggregates only: a book of any number of levels
+    is summed before the shuffle. Books without a side are left out; a null name is a book as well.
+    """
+    p, s, is_ask = F.col(price), F.col(size), F.col(ask)
+    best = levels.groupBy(F.col(by).alias("__b")).agg(F.max(F.when(~is_ask, p)).alias("best_bid"), F.min(F.when(is_ask, p)).alias("best_ask"))
+    best = best.where("best_bid IS NOT NULL AND best_ask IS NOT NULL").withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
+    both = levels.select(by, ask, price, size).join(best, F.col(by).eqNullSafe(F.col("__b")))
+    total = lambda keep: F.coalesce(F.sum(F.when(keep, s)), F.lit(0.0))
+    sums = [
+        total(~is_ask & (p >= F.col("best_bid") - F.col("mid") * (x / 100))).alias(f"bid_{i}") for i, x in enumerate(steps)
+    ] + [total(is_ask & (p <= F.col("best_ask") + F.col("mid") * (x / 100))).alias(f"ask_{i}") for i, x in enumerate(steps)]
+    one = total(~is_ask & (p >= F.col("best_bid") - F.col("mid") * 0.01)) + total(is_ask & (p <= F.col("best_ask") + F.col("mid") * 0.01))
+    depth = both.groupBy(by, "best_bid", "best_ask", "mid").agg(*sums, F.least(F.lit(1.0), one / 100).alias("liquidity"))
+    share = lambda b, a: (b - a) / F.greatest(b + a, F.lit(1.0))
+    depth = depth.withColumns({f"imbalance_{i}": share(F.col(f"bid_{i}"), F.col(f"ask_{i}")) for i in range(len(steps))})
+    rank = F.row_number().over(Window.partitionBy(by, ask).orderBy(F.when(is_ask, p).otherwise(-p), F.desc(size)))
+    first = levels.select(by, ask, price, size).withColumn("__r", rank).where(F.col("__r") <= top)
+    sides = first.groupBy(F.col(by).alias("__b")).agg(share(total(~is_ask), total(is_ask)).alias("volume_imbalance"))
+    return depth.join(sides, F.col(by).eqNullSafe(F.col("__b")), "left").drop("__b")
+
+
+def market_quality(liquidity: Column, spread_bps: Column, volume: Column, stability: Column, absorption: Column) -> Column:
+    """.3 liquidity, .25 efficiency (narrow spread, volume of a thousand), .25 stability and .2 absorption; unknown parts count 0."""
+    efficiency = (F.greatest(F.lit(0.0), 1 - spread_bps / 50) + F.least(F.lit(1.0), volume / 1000)) / 2
+    part = lambda x: F.coalesce(x, F.lit(0.0))
+    return 0.3 * part(liquidity) + 0.25 * part(efficiency) + 0.25 * part(stability) + 0.2 * part(absorption)

@@ -1,6 +1,6 @@
 """All named queries and their SQL twins."""
 
-from . import decisions, features, indicators, market, models, regimes, series  # noqa: F401  registers the queries
+from . import decisions, features, indicators, market, models, regimes, selection, series  # noqa: F401  registers the queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
