@@ -48,3 +48,47 @@ def test_constant_short_and_empty_series(spark):
         assert risk.tail_value_at_risk(df, "x", ["k"]).count() == 0
         mi = significance.mutual_information(significance.equal_bins(df, "x", 5, ["k"], "b"), "b", "b", ["k"])
         assert all(r["mi"] == pytest.approx(0.0) for r in mi.collect())
+
+
+def test_selection_and_augmentation_on_awkward_rows(spark):
+    """Empty tables, keys of one row, null keys and values, constant columns."""
+    from pyspark.sql import functions as F
+
+    from tidewater.operators import augment, correlation, market
+    from tidewater.sources.tables import by_time
+
+    schema = "k string, t int, x double, y double, extra string"
+    rows = [("a", i, 5.0, float(i) if i % 4 else None, "e") for i in range(25)] + [("b", 0, None, 1.0, None), (None, 0, 1.0, 2.0, None), (None, 1, 3.0, 2.0, None)]
+    for given in ([], rows):
+        df = spark.createDataFrame(given, schema)
+        stable = {(r["k"], r["feature"]): r for r in correlation.rolling_stability(df, ["x", "y"], "t").collect()}
+        informative = correlation.most_informative(df, ["y"], "x", 2).collect()
+        noisy = augment.noise(df, ["x", "y"], F.col("t")).collect()
+        wide = augment.magnitude(df, ["x", "y"], by_time(), 2.0).collect()
+        warped = augment.time_warp(df, ["x", "y"], "t").collect()
+        assert len(noisy) == len(wide) == len(given)
+        if not given:
+            assert not stable and not informative and not warped
+            continue
+        assert set(stable) == {(k, f) for k in ("a", "b", None) for f in ("x", "y")}
+        assert stable["a", "x"]["score"] == 0.0 and not stable["a", "x"]["stable"]  # a constant has no deviation
+        assert stable["b", "x"]["score"] is None and stable["b", "x"]["stable"]
+        assert all(r["x"] == 5.0 for r in noisy if r["k"] == "a") and sum(r["y"] is None for r in noisy) == 7
+        assert sorted(r["x"] for r in wide if r["k"] is None) == [0.0, 4.0]
+        assert [r["j"] for r in sorted((r for r in warped if r["k"] == "a"), key=lambda r: r["j"])] == list(range(22))
+        assert len([r for r in warped if r["k"] == "b"]) == 1 and len([r for r in warped if r["k"] is None]) == 2
+
+    books = spark.createDataFrame([("a", True, 10.0, 3.0), ("a", False, 9.0, 1.0), ("b", True, 1.0, 1.0), (None, True, 2.0, None), (None, False, 2.0, 4.0)], "k string, ask boolean, price double, size double")
+    got = {r["k"]: r for r in market.book_depth(books, "k").collect()}
+    assert set(got) == {"a", None} and got["a"]["bid_0"] == 1.0 and got["a"]["ask_0"] == 3.0 and got[None]["imbalance_4"] == 1.0
+    assert market.book_depth(books.limit(0), "k").count() == 0
+
+
+def test_noise_is_the_same_in_any_partitioning(spark):
+    from pyspark.sql import functions as F
+
+    from tidewater.operators import augment
+
+    df = spark.range(500).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").alias("t"), F.col("id").cast("double").alias("x"))
+    one, two = (sorted(tuple(r) for r in augment.noise(df.repartition(n), ["x"], F.col("t"), seed=3).select("t", F.round("x", 6)).collect()) for n in (1, 7))
+    assert one == two and one != sorted((t, float(t)) for t in range(500))
