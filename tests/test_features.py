@@ -92,3 +92,21 @@ def test_noise_is_the_same_in_any_partitioning(spark):
     df = spark.range(500).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").alias("t"), F.col("id").cast("double").alias("x"))
     one, two = (sorted(tuple(r) for r in augment.noise(df.repartition(n), ["x"], F.col("t"), seed=3).select("t", F.round("x", 6)).collect()) for n in (1, 7))
     assert one == two and one != sorted((t, float(t)) for t in range(500))
+
+
+def test_simulated_paths_equal_brute_force(spark):
+    import zlib
+
+    import numpy as np
+
+    from tidewater.operators import kernels
+
+    stats = spark.createDataFrame([("a", 0.01, 0.1), ("b", None, 0.2)], "k string, m double, s double")
+    got = {(r["k"], r["path"], r["step"]): r["value"] for r in kernels.simulated_paths(stats, "k", "m", "s", paths=300, steps=4).collect()}
+    assert len(got) == 2 * 300 * 4 and all(v is None or np.isnan(v) for (k, _, _), v in got.items() if k == "b")
+    for path in (0, 7, 299):
+        value = 1.0
+        for step, z in enumerate(np.random.default_rng([42, path, zlib.crc32(b"a")]).standard_normal(4), 1):
+            value *= 1 + 0.01 + 0.1 * z
+            assert abs(got["a", path, step] - value) < 1e-12
+    assert kernels.simulated_paths(stats.limit(0), "k", "m", "s", 5, 5).count() == 0

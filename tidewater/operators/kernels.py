@@ -293,17 +293,20 @@ def support_resistance(x: np.ndarray, distance: int = 12, within: float = 0.02,
     return out
 
 
-def simulated_paths(stats: DataFrame, key: str, mean: str, dev: str, paths: int, steps: int, seed: int = 42) -> DataFrame:
-    """(key, path, step, value): growth paths of normal returns, generated by tasks from row numbers and a seed."""
+def simulated_paths(stats: DataFrame, key: str, mean: str, dev: str, paths: int = 10_000, steps: int = 168, seed: int = 42) -> DataFrame:
+    """(key, path, step, value): growth paths of normal returns, generated by tasks from path numbers, key and seed.
+
+    A path is the same in every run and task; unknown means or deviations give null values. Tasks send 256 paths at a time.
+    """
     grid = stats.select(key, mean, dev).withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).repartition(key, "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, m, s, p in zip(pdf[key], pdf[mean], pdf[dev], pdf["path"]):
-                rng = np.random.default_rng([seed, p, zlib.crc32(str(k).encode())])
-                out.append(pd.DataFrame({key: k, "path": p, "step": np.arange(1, steps + 1), "value": np.cumprod(1 + rng.normal(m, s, steps))}))
-            if out:
-                yield pd.concat(out)
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                pdf = whole.iloc[at : at + 256]
+                draws = np.stack([np.random.default_rng([seed, p, zlib.crc32(str(k).encode())]).standard_normal(steps) for k, p in zip(pdf[key], pdf["path"])])
+                growth = np.cumprod(1 + pdf[mean].to_numpy(float)[:, None] + pdf[dev].to_numpy(float)[:, None] * draws, axis=1)
+                each = {key: pdf[key].to_numpy().repeat(steps), "path": pdf["path"].to_numpy().repeat(steps), "step": np.tile(np.arange(1, steps + 1), len(pdf)), "value": growth.ravel()}
+                yield pd.DataFrame(each)
 
     return grid.mapInPandas(run, f"{key} string, path int, step int, value double")

@@ -105,6 +105,6 @@ def kalman_level(spark: SparkSession, d: str) -> DataFrame:
 @query("mc_paths")
 def mc_paths(spark: SparkSession, d: str) -> DataFrame:
     stats = tb.daily(spark, d).select("k", (pct_change("close", by_time()) / 100).alias("r")).groupBy("k").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
-    paths = kernels.simulated_paths(stats, "k", "m", "s", paths=200, steps=30)
-    last = paths.where("step = 30").groupBy("k")
+    paths = kernels.simulated_paths(stats, "k", "m", "s")
+    last = paths.where("step = 168").groupBy("k")
     return last.agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.05)).alias("p05"), F.percentile("value", F.lit(0.95)).alias("p95"))
