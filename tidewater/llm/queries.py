@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, lattice, near_dup, packing, perplexity, pii, quality, toxicity
+from . import bpe, collocations, fingerprint, language, lattice, near_dup, packing, perplexity, pii, quality, toxicity
 from .common import documents, labels
 
 #: Vocabulary files are parameters; these are the ones the queries take.
@@ -59,6 +59,10 @@ def op10_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
 
 
+def op11_weighted_automata_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), min_count=100, longest=5, top=2000).drop("words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_disclosure_sanitisation": op1_disclosure_sanitisation,
     "op2_multi_index_near_duplicates": op2_multi_index_near_duplicates,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
     "op9_prefix_hash_fingerprints": op9_prefix_hash_fingerprints,
     "op10_bpe_forced_boundary": op10_bpe_forced_boundary,
+    "op11_weighted_automata_collocations": op11_weighted_automata_collocations,
 }
 
 #: Where SQL can express an operator: all pairs through an inverted index, components by recursion.
@@ -86,5 +91,23 @@ e AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE
 l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.other FROM r JOIN l ON l.a = r.doc_id)
 SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept FROM s JOIN r USING (doc_id) GROUP BY s.doc_id
+""",
+    "op11_weighted_automata_collocations": r"""
+WITH w AS (
+  SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS _(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE k >= 2),
+b AS (SELECT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND x.k < y.k AND 100 * y.a >= 100 * x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') GROUP BY ALL),
+s AS (SELECT lang, phrase, a, k, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS lp, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c ANTI JOIN b USING (lang, phrase))),
+o AS (SELECT s.lang, s.phrase, s.a, s.j, x.a AS l, y.a AS r, t.n, (1000::HUGEINT * s.a * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM s JOIN t USING (lang) JOIN f x ON x.lang = s.lang AND x.phrase = lp JOIN f y ON y.lang = s.lang AND y.phrase = rp),
+m AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM m QUALIFY rank <= 2000
 """,
 }
