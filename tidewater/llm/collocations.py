@@ -44,7 +44,7 @@ PIECES = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Bits of each filter (16 MB), whatever the corpus.
 FILTER_BITS = 27
 #: Text bytes of a shard.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 #: Text bytes of the corpus for each range that hashes and prefixes are dealt in.
 RANGE_BYTES = 12 << 20
 #: Parts that the paths of one first (or last) word are dealt in.
@@ -98,16 +98,27 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 TALLY = "slot long, lang string, n long, hashes binary, counts binary"
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as compressed bytes, those of equal weight together."""
+    raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return pa.compress(raw, "zstd", asbytes=True) if raw else b""
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    raw = pa.decompress(data, 4 * size, "zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def tallies(hashes: np.ndarray, range_bits: int) -> dict[str, list]:
-    """Sorted hashes with their counts, cut by hash range."""
-    found, counts = np.unique(hashes, return_counts=True)
-    slot = (found >> np.uint64(64 - range_bits)).astype(np.int64)
-    slots, firsts = np.unique(slot, return_index=True)
-    ends = np.append(firsts[1:], len(found))
-    out: dict[str, list] = {"slot": slots.tolist(), "lang": [None] * len(slots), "n": [0] * len(slots), "hashes": [], "counts": []}
+    """Counts of the hashes' first 32 + ``range_bits`` bits, cut by hash range: sorted, as steps, with their counts."""
+    found, counts = np.unique(hashes >> np.uint64(32 - range_bits), return_counts=True)
+    slots, firsts = np.unique((found >> np.uint64(32)).astype(np.int64), return_index=True)
+    ends = np.append(firsts, len(found))[1:]
+    rest = found & np.uint64(0xFFFFFFFF)
+    out: dict[str, list] = {"slot": slots.tolist(), "lang": [None] * len(slots), "n": (ends - firsts).tolist(), "hashes": [], "counts": []}
     for a, b in zip(firsts, ends, strict=True):
-        out["hashes"].append(found[a:b].tobytes())
-        out["counts"].append(counts[a:b].astype(np.uint32).tobytes())
+        out["hashes"].append(packed(np.diff(rest[a:b], prepend=np.uint64(0))))
+        out["counts"].append(packed(counts[a:b]))
     return out
 
 
@@ -123,19 +134,20 @@ def reached(tallied: DataFrame, range_bits: int, min_count: int) -> np.ndarray:
 
     def bits(group: pa.Table) -> pa.Table:
         slot = group["slot"][0].as_py()
-        hashes = np.frombuffer(b"".join(group["hashes"].to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint32)
+        n, steps, counts = (group[c].to_pylist() for c in ("n", "hashes", "counts"))
+        hashes = np.concatenate([np.cumsum(unpacked(x, k), dtype=np.uint64) for x, k in zip(steps, n, strict=True)])
+        counts = np.concatenate([unpacked(x, k) for x, k in zip(counts, n, strict=True)])
         order = np.argsort(hashes)
         hashes, sums = hashes[order], np.cumsum(counts[order], dtype=np.int64)
         last = np.append(np.flatnonzero(hashes[1:] != hashes[:-1]), len(hashes) - 1)
         total = np.diff(sums[last], prepend=0)
-        at = (hashes[last[total >= min_count]] >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - slot * width
+        at = (hashes[last[total >= min_count]] >> np.uint64(32 + range_bits - FILTER_BITS)).astype(np.int64)
         flags = np.zeros(width, bool)
         flags[at] = True
         return pa.table({"slot": [slot], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    dealt = tallied.where("slot >= 0").select("slot", "hashes", "counts")
+    dealt = tallied.where("slot >= 0").select("slot", "n", "hashes", "counts")
     for row in dealt.groupBy("slot").applyInArrow(bits, "slot long, bits binary").collect():
         out[row["slot"] * width // 8 : (row["slot"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
@@ -143,7 +155,7 @@ def reached(tallied: DataFrame, range_bits: int, min_count: int) -> np.ndarray:
 
 # -- the transducers ----------------------------------------------------------------------
 #: A piece of a transducer: its languages and words, and for each level the states' parents, words and weights.
-PIECE = "slot long, langs array<binary>, words array<binary>, sizes array<int>, arcs binary"
+PIECE = "slot long, langs array<binary>, n_words long, words binary, sizes array<int>, arcs binary"
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,26 +233,28 @@ def build(shard: Shard, word_bits: np.ndarray, pair_bits: np.ndarray, longest: i
             parts.append((up, word[some], np.where(own[some] == slot, weight[some], 0)))
             before = some
         used = np.unique(np.concatenate([x[1] for x in parts]))
-        arcs = [x.astype(np.int32) for up, word, weight in parts for x in (up, np.searchsorted(used, word), weight)]
-        yield {"slot": slot, "langs": [x.encode() for x in shard.langs], "words": [names[j] for j in used], "sizes": [len(x[0]) for x in parts], "arcs": b"".join(x.tobytes() for x in arcs)}
+        # parents ascend, so their steps are small; no word holds the line end that parts them
+        arcs = [x for up, word, weight in parts for x in (np.diff(up, prepend=0), np.searchsorted(used, word), weight)]
+        text = b"\n".join(names[j] for j in used)
+        yield {"slot": slot, "langs": [x.encode() for x in shard.langs], "n_words": len(text), "words": pa.compress(text, "zstd", asbytes=True), "sizes": [len(x[0]) for x in parts], "arcs": packed(np.concatenate(arcs))}
 
 
 def united(pieces: pa.Table, min_count: int) -> pa.Table:
     """One transducer of all pieces of a prefix range, weights summed; its paths of weight ``min_count`` and more."""
 
-    def numbers(column: str) -> tuple[pa.Array, list[np.ndarray]]:
-        flat = pieces[column].combine_chunks()
-        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-        coded = flat.flatten().dictionary_encode()
-        rank = np.empty(len(coded.dictionary), np.int64)
+    def numbers(lists: list[list[bytes]]) -> tuple[pa.Array, list[np.ndarray]]:
+        """The sorted distinct entries, and the numbers of each list's."""
+        coded = pa.array([x for held in lists for x in held], pa.binary()).dictionary_encode()
         order = pc.array_sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        lengths = flat.value_lengths().to_numpy(zero_copy_only=False)
-        return coded.dictionary.take(pa.array(order)), np.split(rank[coded.indices.to_numpy()], lengths.cumsum()[:-1])
+        return coded.dictionary.take(pa.array(order)), np.split(rank[coded.indices.to_numpy()], np.cumsum([len(x) for x in lists])[:-1])
 
-    langs, lang_of = numbers("langs")
-    names, word_of = numbers("words")
-    sizes, arcs = pieces["sizes"].to_pylist(), [np.frombuffer(x, np.int32) for x in pieces["arcs"].to_pylist()]
+    langs, lang_of = numbers(pieces["langs"].to_pylist())
+    texts = zip(pieces["words"].to_pylist(), pieces["n_words"].to_pylist(), strict=True)
+    names, word_of = numbers([pa.decompress(x, n, "zstd", asbytes=True).split(b"\n") for x, n in texts])
+    sizes = pieces["sizes"].to_pylist()
+    arcs = [unpacked(x, 3 * sum(size)).astype(np.int64) for x, size in zip(pieces["arcs"].to_pylist(), sizes, strict=True)]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     place: list[np.ndarray] = lang_of  # of each piece, where its states of the level before are in the union
     offset = [0] * len(arcs)
@@ -250,7 +264,7 @@ def united(pieces: pa.Table, min_count: int) -> pa.Table:
             n = size[k] if k < len(size) else 0
             up, word, weight = (flat[offset[i] + j * n : offset[i] + (j + 1) * n] for j in range(3))
             offset[i] += 3 * n
-            keys.append(place[i][up] * len(names) + word_of[i][word])
+            keys.append(place[i][up.cumsum()] * len(names) + word_of[i][word])
             weights.append(weight)
             cuts.append(n)
         found, state = distinct(np.concatenate(keys))
@@ -301,7 +315,7 @@ def frequent_phrases(df: DataFrame, min_count: int, longest: int, text_col: str,
         for shard in shards(batches):
             rows = list(build(shard, word_bits.value, pair_bits.value, longest, range_bits))
             if rows:
-                kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
+                kinds = (pa.int64(), pa.list_(pa.binary()), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary())
                 names = list(rows[0])
                 yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], kind) for x, kind in zip(names, kinds, strict=True)], names)
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, collocations, fingerprint, language, lattice, near_dup, packing, perplexity, pii, quality, toxicity
-from .common import documents, labels
+from . import bpe, collocations, decontamination, fingerprint, language, lattice, near_dup, packing, perplexity, pii, quality, search, toxicity
+from .common import benchmark, documents, labels
 
 #: Vocabulary files are parameters; these are the ones the queries take.
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -63,6 +64,16 @@ def op11_weighted_automata_collocations(spark: SparkSession, sf_dir: str) -> Dat
     return collocations.collocations(documents(spark, sf_dir), min_count=100, longest=5, top=2000).drop("words")
 
 
+def op12_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_overlaps(documents(spark, sf_dir), benchmark(spark, sf_dir), window=10)
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_reversed_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(documents(spark, sf_dir), benchmark(spark, sf_dir), top=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_disclosure_sanitisation": op1_disclosure_sanitisation,
     "op2_multi_index_near_duplicates": op2_multi_index_near_duplicates,
@@ -75,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_prefix_hash_fingerprints": op9_prefix_hash_fingerprints,
     "op10_bpe_forced_boundary": op10_bpe_forced_boundary,
     "op11_weighted_automata_collocations": op11_weighted_automata_collocations,
+    "op12_suffix_automaton_decontamination": op12_suffix_automaton_decontamination,
+    "op13_reversed_lexical_search": op13_reversed_lexical_search,
 }
 
 #: Where SQL can express an operator: all pairs through an inverted index, components by recursion.
@@ -109,5 +122,29 @@ o AS (SELECT s.lang, s.phrase, s.a, s.j, x.a AS l, y.a AS r, t.n, (1000::HUGEINT
 m AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
 FROM m QUALIFY rank <= 2000
+""",
+    "op12_suffix_automaton_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM (
+  SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+g AS (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM (
+  SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM v) WHERE len(w) >= k)),
+m AS (SELECT r, p, g.k, item_id FROM g JOIN v ON g.k = v.k AND g.s = v.s),
+h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM m) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+""",
+    "op13_reversed_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS x, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS y, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark),
+q AS (SELECT y, item_id, t, count(*) AS c FROM i GROUP BY ALL),
+u AS (SELECT x, t, count(*) AS tf FROM (SELECT x, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+g AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+f AS (SELECT t, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM u, g GROUP BY t, n),
+m AS (SELECT x, doc_id, 100 - 25 + (25 * len(w) * n) // l AS m FROM d, g WHERE len(w) > 0),
+s AS (SELECT y, item_id, doc_id, x, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM u JOIN q USING (t) JOIN f USING (t) JOIN m USING (x) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY y ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
 """,
 }

@@ -148,6 +148,14 @@ def lowered(data: np.ndarray, start: int, end: int) -> bytes:
     return LOWER[data[start:end]].tobytes()
 
 
+def word_lists(texts: list[str], kinds: np.ndarray = ALPHANUMERIC) -> list[list[bytes]]:
+    """The lowered words of each of some texts."""
+    words = find_words(pa.array(texts, pa.string()), kinds)
+    flat = [lowered(words.data, a, b) for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
+    ends = words.counts.cumsum().tolist()
+    return [flat[b - n : b] for b, n in zip(ends, words.counts.tolist(), strict=True)]
+
+
 def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether each word, lowered, equals ``size`` bytes of ``other`` from ``at``. Work goes by word length."""
     length = end - start
@@ -171,8 +179,7 @@ class Vocabulary:
         size = np.array([len(w) for w in self.words], np.int64)
         end = size.cumsum()
         self.at, self.size = end - size, size
-        found = [find_words(pa.array([w.decode()]), np.zeros(256, np.uint8)).hash[0] for w in self.words]
-        hashes = np.array(found, np.uint64)
+        hashes = find_words(pa.array([w.decode() for w in self.words], pa.string()), np.zeros(256, np.uint8)).hash
         self.order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[self.order]
         # a table of twice the size by the leading bits says quickly that a word isn't there
