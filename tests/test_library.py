@@ -156,6 +156,13 @@ def test_file_sources(spark, tmp_path):
     (folder / "price_daily.csv").write_text("ts,value\n2024-01-01 00:00:00,9\n")
     got = files.indicator_files(spark, str(tmp_path)).collect()
     assert [(r["value"], r["category"], r["indicator"]) for r in got] == [(1.5, "market", "price")]
+    for other in ("macro", "on chain"):
+        (tmp_path / other).mkdir()
+        (tmp_path / other / "rate_hourly.csv").write_text("ts,value\n2024-01-01 00:00:00,2.5\n")
+    one = files.indicator_files(spark, str(tmp_path)).where("category = 'on chain'")
+    assert [(r["value"], r["category"], r["indicator"]) for r in one.collect()] == [(2.5, "on chain", "rate")]
+    plan = one._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(category" in plan
     for day in (1, 2, 3):
         (folder / f"btc_analysis_2024-01-0{day}_12-00-00.json").write_text('{"x": %d}' % day)
     snaps = tmp_path / "snaps"

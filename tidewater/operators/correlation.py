@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.columns import ratio
+from ..functions.distributions import t_p
 from .significance import equal_bins, mutual_information
 
 
@@ -40,8 +42,9 @@ RANGES = 256
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson and Spearman (average ranks) of two columns over the rows that have both.
+    """Pearson and Spearman (average ranks) of two columns over the rows that have both, with two-sided p-values.
 
+    ``correlation`` is the one of the smaller p-value (Spearman's if equal), ``strength`` its size in words.
     Ranks come from counts by value, in ranges of about equal numbers of values: a running sum
     within each range, and before it the sum of the ranges below (one row a range).
     """
@@ -56,7 +59,12 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
         return counts.withColumn("__w", within).join(F.broadcast(below), "__p").select(x, (F.col("__b") + F.col("__w") + (F.col("__n") + 1) / 2).alias(out))
 
     ranked = both.join(ranks(a, "__ra"), a).join(ranks(b, "__rb"), b)
-    return ranked.agg(F.corr(a, b).alias("pearson"), F.corr("__ra", "__rb").alias("spearman"), F.count("*").alias("n"))
+    found = ranked.agg(F.corr(a, b).alias("pearson"), F.corr("__ra", "__rb").alias("spearman"), F.count("*").alias("n"))
+    free = F.col("n") - 2
+    found = found.withColumns({f"{r}_p": t_p(F.col(r) * F.sqrt(ratio(free, 1 - F.col(r) * F.col(r))), free) for r in ("pearson", "spearman")})
+    found = found.withColumn("correlation", F.when(F.col("pearson_p") < F.col("spearman_p"), F.col("pearson")).otherwise(F.col("spearman")))
+    size = F.abs("correlation")  # fixed values: the bounds of the strengths
+    return found.withColumn("strength", F.when(size >= 0.7, "strong").when(size >= 0.4, "moderate").when(size.isNotNull(), "weak"))
 
 
 def autocorrelation(df: DataFrame, x: str, o: WindowSpec, lags: list[int], key: str = "k") -> DataFrame:

@@ -113,3 +113,30 @@ def local_line(df: DataFrame, x: str, o: WindowSpec, share: float = 0.3, key: st
     slope = weighted("__p1", "__p2") / F.nullif(weighted("__q1", "__q2"), F.lit(0.0))
     df = df.withColumn("trend", F.coalesce(slope * F.col("__i"), c(x)))
     return df.drop(*[n for n in df.columns if n.startswith("__")])
+
+
+def knn_windows(df: DataFrame, x: str, o: WindowSpec, window: int = 48, k: int = 5, block: int = 512, key: str = "k", t: str = "t") -> DataFrame:
+    """(key, t, filled): x, a missing one replaced by the mean of the ``k`` rows that end the most similar windows.
+
+    Similar: the Euclidean distance over the places that both windows of ``window`` rows have, scaled up to the whole
+    window (ties: the earlier row). Only rows that end a whole window are filled; where no window shares a place with the
+    row's, the mean of all windows' last values is taken, and a key without any stays null. The rows to fill meet the
+    others in blocks of ``block`` rows, of which each sends on its ``k`` best.
+    """
+    held = F.collect_list(F.struct(F.col(x).cast("double").alias("x"))).over(o.rowsBetween(-(window - 1), 0))
+    d = df.select(key, t, F.col(x).cast("double").alias("__x"), F.row_number().over(o).alias("__i"), held.alias("__v"))
+    ends = d.where(F.size("__v") == window).select(key, t, "__x", F.floor(F.col("__i") / block).alias("__block"), F.transform("__v", lambda s: s["x"]).alias("__v"))
+    donors = ends.where("__x IS NOT NULL")
+    wanted = ends.where("__x IS NULL").select(key, F.col(t).alias("__t"), F.col("__v").alias("__w"))
+    gap = F.zip_with("__v", "__w", lambda a, b: (a - b) * (a - b))
+    both = F.filter(gap, lambda g: g.isNotNull())
+    near = F.struct(F.round(F.aggregate(both, F.lit(0.0), lambda s, g: s + g) * window / F.size(both), 9).alias("d"), F.col(t).alias("at"), F.col("__x").alias("x"))
+    best = lambda rows: F.slice(F.array_sort(rows), 1, k)
+    pairs = donors.join(wanted, key).where(F.exists(gap, lambda g: g.isNotNull()))
+    some = pairs.groupBy(key, "__t", "__block").agg(best(F.collect_list(near)).alias("__n"))
+    top = some.groupBy(key, "__t").agg(best(F.flatten(F.collect_list("__n"))).alias("__n"))
+    mean = F.aggregate("__n", F.lit(0.0), lambda s, r: s + r["x"]) / F.size("__n")
+    usual = donors.groupBy(key).agg(F.avg("__x").alias("__m"))
+    found = wanted.select(key, "__t").join(top.select(key, "__t", mean.alias("__f")), [key, "__t"], "left").join(usual, key, "left")
+    found = found.select(key, F.col("__t").alias(t), F.coalesce("__f", "__m").alias("__fill"))
+    return d.select(key, t, "__x").join(found, [key, t], "left").select(key, t, F.coalesce("__x", "__fill").alias("filled"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, clip, ratio
+from ..functions.columns import c, clip, ratio, so_far
+from ..functions.linear import dot, moments, solve
 
 
 def due(df: DataFrame, now: Column, t: str = "t", hours: str = "horizon") -> DataFrame:
@@ -146,3 +147,98 @@ def adaptive_folds(df: DataFrame, x: str, o: WindowSpec, least: int = 500, most:
     size = F.when(wild, max(12, test // 2)).otherwise(test)
     fold = ((F.col("__i") - least) / step).cast("int") + 1
     return df.select(key, fold.alias("fold"), "volatility", (F.col("__i") - train).alias("train_start"), F.col("__i").alias("train_stop"), F.least(F.col("__i") + size, F.col("__n")).alias("test_stop"))
+
+
+def fitted_at(df: DataFrame, x: str, features: list[str], o: WindowSpec, horizon: int, ridge: float = 1.0, history: int = 168, every: int = 1, key: str = "k", t: str = "t") -> DataFrame:
+    """(key, t, n, predicted, actual, ape, direction_correct): at each row a ridge regression of what was known then.
+
+    The target is the change of x over the next ``horizon`` rows. At row s the pairs are those whose outcome has
+    come by s, so their features lie ``horizon`` rows back at least: running sums of products hold the normal equations of
+    every row, and each row solves its own small system, with no fit before it repeated and no later row seen. Rows with
+    under ``history`` rows before them, or without an outcome yet, give none; ``every`` keeps each so-manieth row. Null
+    features leave a pair out, and a row whose own features are null predicts null.
+    """
+    level = {f"__{j}": c(f).cast("double") for j, f in enumerate(features)}
+    d = df.select(key, t, c(x).alias("__x"), F.row_number().over(o).alias("__i"), *[v.alias(n) for n, v in level.items()])
+    names = list(level)
+    past = {f"__p{n}": F.lag(n, horizon).over(o) for n in names}
+    d = d.withColumns(past | {"__y": ratio("__x", F.lag("__x", horizon).over(o)) - 1, "actual": F.lead("__x", horizon).over(o)})
+    known = F.col("__y").isNotNull()
+    for n in past:
+        known = known & F.col(n).isNotNull()
+    columns = [F.when(known, v) for v in (F.lit(1.0), *map(F.col, past))]
+    seen = so_far(o)
+    xx, xy, _ = moments(columns, F.when(known, F.col("__y")), lambda v: F.sum(v).over(seen))
+    d = d.withColumns({"__xx": xx, "__xy": xy, "n": F.count(F.when(known, 1)).over(seen)})
+    d = d.where((F.col("__i") > history) & (F.col("__i") % every == 0) & (F.col("n") > len(names) + 1) & F.col("actual").isNotNull())
+    b, _ = solve(F.col("__xx"), F.col("__xy"), ridge)
+    d = d.withColumn("__b", b)
+    change = dot(F.col("__b"), F.array(F.lit(1.0), *map(F.col, names)))
+    d = d.withColumn("predicted", F.col("__x") * (1 + change))
+    right = (F.col("predicted") > F.col("__x")) == (F.col("actual") > F.col("__x"))
+    return d.select(key, t, "n", "predicted", "actual", ratio(F.abs(F.col("predicted") - F.col("actual")), "actual").alias("ape"), right.alias("direction_correct"))
+
+
+def fold_scores(df: DataFrame, target: str, features: list[str], key: str = "k") -> DataFrame:
+    """(key, fold, part, mae, rmse, r2, direction_accuracy) of a least-squares fit on each fold's training part.
+
+    ``df`` has (fold, part) as ``walk_forward`` gives them. One aggregate fits all folds, one scores both parts. Rows with a
+    null don't count; folds whose fit is singular score null.
+    """
+    d = df.dropna(subset=[target, *features])
+    columns = [F.lit(1.0), *[c(f).cast("double") for f in features]]
+    xx, xy, _ = moments(columns, c(target).cast("double"))
+    sums = d.where("part = 'train'").groupBy(key, "fold").agg(xx.alias("__xx"), xy.alias("__xy"))
+    b, _ = solve(F.col("__xx"), F.col("__xy"))
+    fits = sums.select(key, "fold", b.alias("__b"))
+    scored = d.join(fits, [key, "fold"]).withColumn("__p", dot(F.col("__b"), F.array(*columns)))
+    y, e = c(target), c(target) - F.col("__p")
+    right = (F.col("__p") > 0) == (y > 0)
+    r2 = 1 - ratio(F.sum(e * e), F.var_pop(y) * F.count(y))
+    return scored.groupBy(key, "fold", "part").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), r2.alias("r2"), F.avg(right.cast("double")).alias("direction_accuracy"))
+
+
+def fold_summary(scores: DataFrame, key: str = "k") -> DataFrame:
+    """(key, metric, folds, train_mean, train_std, test_mean, test_std, overfitting): each metric over the folds.
+
+    Deviations have ddof 0. Overfitting is what training has over testing where more is better (r2, direction), and
+    the reverse for errors.
+    """
+    metrics = ["mae", "rmse", "r2", "direction_accuracy"]
+    long = scores.unpivot([key, "fold", "part"], metrics, "metric", "value")
+    of = lambda f, part: f(F.when(F.col("part") == part, F.col("value")))
+    s = long.groupBy(key, "metric").agg(F.countDistinct("fold").alias("folds"), *[of(f, part).alias(f"{part}_{name}") for part in ("train", "test") for name, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    gap = F.col("train_mean") - F.col("test_mean")
+    return s.withColumn("overfitting", F.when(F.col("metric").isin("r2", "direction_accuracy"), gap).otherwise(-gap))
+
+
+def indicator_prediction(df: DataFrame, rules: dict[str, tuple[float, float, float, float]], by: list[str]) -> DataFrame:
+    """(by, change, timeframe, confidence, triggers) from indicators beyond their thresholds, weighted by confidence.
+
+    ``df`` has (by, name, value); a rule is (threshold, correlation, price impact, lag in hours). An indicator beyond its
+    threshold moves the price by correlation x impact x value / threshold, with a confidence of 100 |correlation|.
+    Groups in which none is beyond give zeros and no triggers.
+    """
+    table = F.create_map(*[x for name, v in rules.items() for x in (F.lit(name), F.array(*map(F.lit, map(float, v))))])
+    d = df.withColumn("__r", F.try_element_at(table, F.col("name")))
+    threshold, correlation, impact, lag = (F.get("__r", F.lit(j)) for j in range(4))
+    beyond = F.abs("value") > threshold
+    weight = F.when(beyond, F.abs(correlation) * 100)
+    change = correlation * impact * F.col("value") / threshold
+    trigger = F.when(beyond, F.concat("name", F.lit("="), F.format_string("%.2f", F.col("value").cast("double"))))
+    s = d.groupBy(*by).agg(F.sum(weight).alias("__w"), F.sum(change * weight).alias("__c"), F.sum(lag * weight).alias("__l"), F.count(weight).alias("__n"), F.array_sort(F.collect_list(trigger)).alias("triggers"))
+    zero = lambda v: F.coalesce(v, F.lit(0.0))
+    return s.select(*by, zero(ratio("__c", "__w")).alias("change"), F.floor(zero(ratio("__l", "__w"))).cast("int").alias("timeframe"), F.least(zero(ratio("__w", F.col("__n").cast("double"))), F.lit(100.0)).alias("confidence"), "triggers")
+
+
+def confidence_ensemble(df: DataFrame, weights: dict[str, float], by: list[str]) -> DataFrame:
+    """(by, predicted_change, timeframe_hours, confidence) of methods' predictions, each weighing its weight times its confidence.
+
+    ``df`` has (by, method, change, timeframe, confidence); methods without confidence or weight don't count; where none does,
+    the change is 0 over 6 hours without confidence.
+    """
+    table = F.create_map(*[x for name, v in weights.items() for x in (F.lit(name), F.lit(float(v)))])
+    w = F.when(F.col("confidence") > 0, F.try_element_at(table, F.col("method")) * F.col("confidence") / 100)
+    s = df.groupBy(*by).agg(F.sum(w).alias("__w"), *[F.sum(F.col(n) * w).alias(f"__{n}") for n in ("change", "timeframe", "confidence")])
+    part = lambda n, other: F.coalesce(ratio(f"__{n}", "__w"), F.lit(other))
+    return s.select(*by, part("change", 0.0).alias("predicted_change"), F.floor(part("timeframe", 6.0)).cast("int").alias("timeframe_hours"), part("confidence", 0.0).alias("confidence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import c, change, pct_change, ratio, rolling, rows, sma
@@ -104,3 +104,46 @@ def pattern_similarity(current: dict[str, Column], pattern: dict[str, Column]) -
     each = [F.when(pattern[n] != 0, F.greatest(F.lit(0.0), 1 - F.abs(current[n] - pattern[n]) / F.abs(pattern[n]))) for n in current if n in pattern]
     known = F.filter(F.array(*each), lambda v: v.isNotNull())
     return F.coalesce(ratio(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known)), F.lit(0.0))
+
+
+#: The weights of the parts of the risk, and the levels' bounds.
+RISK_WEIGHTS = {"sudden": 0.30, "pattern": 0.25, "anomaly": 0.20, "trend": 0.15, "correlation": 0.10}
+RISK_LEVELS = (("CRITICAL", 0.8), ("WARNING", 0.6), ("INFO", 0.4))
+
+
+def composite_risk(df: DataFrame, x: str, volume: str, other: str, o: WindowSpec, falls: dict[str, tuple[str, float, float]], key: str = "k", t: str = "t", history: int = 30) -> DataFrame:
+    """(key, t, sudden, pattern, anomaly, trend, correlation, score, level), each part 0 to 1, beyond ``history`` rows.
+
+    sudden: the move over five rows (full at 5 %), volume over the mean of the 30 rows before (full at fivefold; under it
+    the part is negative) and a jump of ``other`` beyond 3 (full at 10), by 0.4, 0.25 and 0.15. pattern: likeness to the
+    nearest of ``falls`` (which change, "day" or "week", its size, its severity) times its severity. anomaly: the return's
+    distance from the mean of 50 rows in deviations (full at 6). trend: means of 5 and 10 rows against that of 20, and 100
+    times the mean absolute acceleration of log prices (full at 0.1). correlation: of log returns with the changes of
+    ``other``, the last ten rows against all before (full at a change of 0.5). What can't be worked out counts 0.
+    """
+    lag = lambda v, n=1: F.lag(v, n).over(o)
+    move = lambda n: ratio(x, lag(x, n)) - 1
+    frame = lambda k: o.rowsBetween(-(k - 1), 0)
+    capped = lambda v: F.coalesce(F.least(v, F.lit(1.0)), F.lit(0.0))
+    nz = lambda v: F.nullif(c(v), F.lit(0.0))
+    d = df.withColumns({"__r": move(1), "__lr": F.ln(nz(x) / nz(lag(x))), "__od": c(other) - lag(other), "__five": move(5), "day": move(24), "week": move(168), "__i": F.row_number().over(o)})
+    d = d.withColumn("__acc", F.col("__lr") - lag("__lr"))
+    both = F.col("__lr").isNotNull() & F.col("__od").isNotNull()
+
+    def correlation_over(w: WindowSpec) -> Column:
+        a, b = F.when(both, F.col("__lr")), F.when(both, F.col("__od"))
+        return ratio(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w))
+
+    d = d.withColumns({"__v": F.avg(volume).over(o.rowsBetween(-30, -1)), **{f"__m{k}": F.avg(x).over(frame(k)) for k in (5, 10, 20)}, "__a5": F.avg(F.abs("__acc")).over(frame(5)), "__mr": F.avg("__r").over(frame(50)), "__sr": F.stddev_samp("__r").over(frame(50)), "__cn": correlation_over(frame(10)), "__co": correlation_over(o.rowsBetween(Window.unboundedPreceding, -10))})
+    jump = F.abs("__od")
+    sudden = 0.4 * capped(F.abs("__five") / 0.05) + 0.25 * capped((ratio(volume, "__v") - 1) / 4) + 0.15 * F.when(jump > 3, capped(jump / 10)).otherwise(0.0)
+    near = [F.struct(F.greatest(F.lit(0.0), 1 - F.abs(F.col(part) - value) / abs(value)).alias("like"), F.lit(-i).alias("i"), F.lit(severity).alias("severity")) for i, (part, value, severity) in enumerate(falls.values())]
+    best = F.array_max(F.filter(F.array(*near), lambda s: s["like"].isNotNull()))
+    trend = F.abs(ratio("__m5", "__m20") - 1) + F.abs(ratio("__m10", "__m20") - 1) + 100 * F.col("__a5")
+    parts = {"sudden": sudden, "pattern": F.coalesce(best["like"] * best["severity"], F.lit(0.0)), "anomaly": capped(F.abs(ratio(F.col("__r") - F.col("__mr"), "__sr")) / 6), "trend": capped(trend / 0.1), "correlation": capped(F.abs(F.col("__cn") - F.col("__co")) / 0.5)}
+    d = d.where(F.col("__i") > history).withColumns(parts)
+    d = d.select(key, t, *parts, weighted_score(RISK_WEIGHTS).alias("score"))
+    level = F
+    for name, bound in RISK_LEVELS:
+        level = level.when(F.round("score", 9) >= bound, name)
+    return d.withColumn("level", level.otherwise("LOW"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import c, clip
+from ..functions.distributions import normal_cdf, normal_quantile
 
 
 def weighted_mean(x: str, w: str) -> Column:
@@ -81,11 +82,11 @@ def poisson_weights(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return np.searchsorted(_POISSON, (h >> np.uint64(11)) / 2.0**53, "right").astype(float)
 
 
-def bootstrap_means(df: DataFrame, x: str, by: str, row_id: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(by, low, high): percentile interval of the mean by the Poisson bootstrap.
+def bootstrap_replicates(df: DataFrame, x: str, by: str, row_id: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(k, b, m): the mean of each replicate of the Poisson bootstrap.
 
     Each row weighs a Poisson(1) count in each replicate, drawn from a hash of its ``row_id``, so the
-    interval does not depend on the partitioning, and tasks only add up ``replicates`` sums for each group.
+    replicates do not depend on the partitioning, and tasks only add up ``replicates`` sums for each group.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,5 +102,42 @@ def bootstrap_means(df: DataFrame, x: str, by: str, row_id: str, replicates: int
 
     rows = df.select(F.col(by).cast("string").alias("k"), F.xxhash64(row_id).alias("i"), c(x).cast("double").alias("v"))
     parts = rows.mapInPandas(run, "k string, b int, s double, w double")
-    means = parts.groupBy("k", "b").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    return parts.groupBy("k", "b").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+
+
+def bootstrap_means(df: DataFrame, x: str, by: str, row_id: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(by, low, high): percentile interval of the mean by the Poisson bootstrap."""
+    means = bootstrap_replicates(df, x, by, row_id, replicates, seed)
     return means.groupBy("k").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).withColumnRenamed("k", by)
+
+
+def _quantile_of(held: Column, share: Column) -> Column:
+    """The quantile of a sorted array, between its places in proportion."""
+    at = share * (F.size(held) - 1)
+    low = F.floor(at).cast("int")
+    a, b = F.get(held, low), F.get(held, F.least(low + 1, F.size(held) - 1))
+    return a + (b - a) * (at - low)
+
+
+def bca_means(df: DataFrame, x: str, by: str, row_id: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(by, mean, bias, acceleration, low, high): bias-corrected, accelerated interval of the mean.
+
+    The bias is the normal quantile of the share of replicates below the mean. The means without one row each differ
+    from theirs by the row's deviation over n - 1, so the jackknife's acceleration is the sum of cubed deviations over six
+    times the sum of squares to the power 1.5: two sums, no replicates. A key of constant x has its mean as both bounds.
+    """
+    means = bootstrap_replicates(df, x, by, row_id, replicates, seed).where("m IS NOT NULL")
+    rows = df.select(F.col(by).cast("string").alias("k"), c(x).cast("double").alias("v")).where("v IS NOT NULL")
+    one = rows.groupBy("k").agg(F.avg("v").alias("mean"), F.count("v").alias("n"), F.var_pop("v").alias("v2"), F.skewness("v").alias("g"))
+    # sums of squares and cubes about the mean, from the aggregate's central moments
+    acceleration = F.coalesce(F.col("g") / (6 * F.sqrt("n")), F.lit(0.0))
+    found = means.join(one, "k").groupBy("k").agg(F.first("mean").alias("mean"), F.first(acceleration).alias("acceleration"), F.avg((F.col("m") < F.col("mean")).cast("double")).alias("below"), F.array_sort(F.collect_list("m")).alias("held"))
+    edge = F.lit(0.5 / replicates)  # all or no replicates below: half a replicate's share
+    found = found.withColumn("bias", normal_quantile(F.greatest(edge, F.least(1 - edge, F.col("below")))))
+
+    def bound(share: float) -> Column:
+        z = F.col("bias") + normal_quantile(F.lit(share))
+        return _quantile_of(F.col("held"), normal_cdf(F.col("bias") + z / (1 - F.col("acceleration") * z)))
+
+    tail = (1 - level) / 2
+    return found.select(F.col("k").alias(by), "mean", "bias", "acceleration", bound(tail).alias("low"), bound(1 - tail).alias("high"))

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import c, ratio, running
+from ..functions.distributions import chi2_p, f_p, f_p_two_sided, normal_p, t_p
 
 #: Terms of the Kolmogorov distribution's series.
 TERMS = 20
 
 
 def effect_sizes(df: DataFrame, x: str, group: str, by: list[str]) -> DataFrame:
-    """Cohen's d (pooled), Hedges' g and Glass's delta of group 1 against group 0, with a label."""
+    """Cohen's d (pooled), Hedges' g and Glass's delta of group 1 against group 0, with a label; t with its two-sided p-value."""
     one, two = F.when(F.col(group) == 1, c(x)), F.when(F.col(group) == 0, c(x))
     found = df.groupBy(*by).agg(F.count(one).alias("n1"), F.count(two).alias("n0"), F.avg(one).alias("m1"), F.avg(two).alias("m0"), F.var_samp(one).alias("v1"), F.var_samp(two).alias("v0"))
     free = F.col("n1") + F.col("n0") - 2
@@ -22,18 +23,24 @@ def effect_sizes(df: DataFrame, x: str, group: str, by: list[str]) -> DataFrame:
     found = found.withColumn("glass_delta", ratio(gap, F.sqrt("v0"))).withColumn("t_stat", ratio(gap, pooled * F.sqrt(1 / F.col("n1") + 1 / F.col("n0"))))
     size = F.abs("cohen_d")
     label = F.when(size.isNull(), None).when(size < 0.2, "negligible").when(size < 0.5, "small").when(size < 0.8, "medium").otherwise("large")
-    return found.select(*by, "n1", "n0", "cohen_d", "hedges_g", "glass_delta", "t_stat", label.alias("label"))
+    return found.select(*by, "n1", "n0", "cohen_d", "hedges_g", "glass_delta", "t_stat", t_p("t_stat", free).alias("t_p"), label.alias("label"))
 
 
 def rank_sum(df: DataFrame, x: str, group: str, by: list[str]) -> DataFrame:
-    """z of the rank-sum test (average ranks, no tie correction of the variance) by key."""
-    values = df.where(c(x).isNotNull())
-    o = Window.partitionBy(*by).orderBy(x)
-    rank = F.rank().over(o) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
-    found = values.withColumn("__r", rank).groupBy(*by).agg(F.sum(F.when(F.col(group) == 1, F.col("__r"))).alias("__w"), F.count_if(F.col(group) == 1).alias("__a"), F.count_if(F.col(group) == 0).alias("__b"))
+    """z of the rank-sum test and its two-sided p-value by key: average ranks, the variance corrected for ties.
+
+    Values are counted first, so ranks come from a running count over a key's distinct values.
+    """
+    values = df.where(c(x).isNotNull()).groupBy(*by, x).agg(F.count_if(F.col(group) == 1).alias("__1"), F.count_if(F.col(group) == 0).alias("__0"))
+    tied = F.col("__1") + F.col("__0")
+    values = values.withColumn("__t", tied).withColumn("__r", running("sum", "__t", Window.partitionBy(*by).orderBy(x)) - (F.col("__t") - 1) / 2)
+    t = F.col("__t").cast("double")
+    found = values.groupBy(*by).agg(F.sum(F.col("__1") * F.col("__r")).alias("__w"), F.sum("__1").alias("__a"), F.sum("__0").alias("__b"), F.sum(t * t * t - t).alias("__ties"))
     a, b = F.col("__a"), F.col("__b")
-    z = ratio(F.col("__w") - a * (a + b + 1) / 2, F.sqrt(a * b * (a + b + 1) / 12))
-    return found.select(*by, z.alias("rank_sum_z"))
+    n = a + b
+    spread = a * b / 12 * (n + 1 - ratio("__ties", n * (n - 1)))
+    z = ratio(F.col("__w") - a * (n + 1) / 2, F.sqrt(spread))
+    return found.select(*by, z.alias("rank_sum_z")).withColumn("rank_sum_p", normal_p("rank_sum_z"))
 
 
 def kolmogorov_smirnov(df: DataFrame, x: str, group: str, by: list[str]) -> DataFrame:
@@ -59,7 +66,8 @@ def adjusted(df: DataFrame, p: str, by: str) -> DataFrame:
 
 
 def variance_change(df: DataFrame, x: str, o: WindowSpec, least: int, key: str = "k") -> DataFrame:
-    """Adds f_stat, the variance (ddof 0) from a row on over that before it, where both parts have ``least`` rows.
+    """Adds f_stat, the variance (ddof 0) from a row on over that before it, where both parts have ``least`` rows, and its
+    two-sided p-value; a change point is where that is under 0.01.
 
     Running sums of the values' deviations from the key's mean and of their squares give both variances in one pass.
     """
@@ -71,17 +79,18 @@ def variance_change(df: DataFrame, x: str, o: WindowSpec, least: int, key: str =
     before = F.col("__q") / n - (F.col("__s") / n) * (F.col("__s") / n)
     after = (F.col("__v") * F.col("__n") - F.col("__q")) / m - (F.col("__s") / m) * (F.col("__s") / m)
     f = F.when((n >= least) & (m > least), F.when(before > 0, after / before).otherwise(1.0))
-    return df.withColumn("f_stat", f).drop("__k", "__m", "__n", "__v", "__d", "__i", "__s", "__q")
+    df = df.withColumn("f_stat", f).withColumn("f_p", F.when(F.col("f_stat").isNotNull(), f_p_two_sided("f_stat", m - 1, n - 1)))
+    return df.withColumn("change_point", F.coalesce(F.col("f_p") < 0.01, F.lit(False))).drop("__k", "__m", "__n", "__v", "__d", "__i", "__s", "__q")
 
 
 def f_regression(df: DataFrame, target: str, features: list[str], by: list[str]) -> DataFrame:
-    """(by, feature, f): F of the regression of ``target`` on each feature alone."""
+    """(by, feature, f, p): F of the regression of ``target`` on each feature alone, with its p-value."""
     pairs = [(n, F.col(n).isNotNull() & F.col(target).isNotNull()) for n in features]
     one = df.groupBy(*by).agg(*[F.corr(F.when(ok, c(n)), F.when(ok, c(target))).alias(f"__r_{n}") for n, ok in pairs], *[F.count_if(ok).alias(f"__n_{n}") for n, ok in pairs])
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"__r_{n}").alias("r"), F.col(f"__n_{n}").alias("n")) for n in features]))
     flat = one.select(*by, rows.alias("__x")).select(*by, "__x.*")
     r2: Column = F.col("r") * F.col("r")
-    return flat.select(*by, "feature", ratio(r2 * (F.col("n") - 2), 1 - r2).alias("f"))
+    return flat.select(*by, "feature", "n", ratio(r2 * (F.col("n") - 2), 1 - r2).alias("f")).select(*by, "feature", "f", f_p("f", F.lit(1), F.col("n") - 2).alias("p"))
 
 
 def segment_stability(df: DataFrame, x: str, o: WindowSpec, segments: int, key: str = "k") -> DataFrame:
@@ -99,7 +108,7 @@ def correlation(a: str, b: str) -> Column:
 
 
 def granger(df: DataFrame, x: str, y: str, o: WindowSpec, by: list[str]) -> DataFrame:
-    """(by, x_to_y, y_to_x): F of one lag of the cause, given one lag of the effect.
+    """(by, x_to_y, y_to_x, and their p-values): F of one lag of the cause, given one lag of the effect.
 
     With one restriction F is (n - 3) p^2 / (1 - p^2), p the partial correlation, so six correlations in one
     aggregate do for both directions. Rows where any of the four values is null don't count; null below three degrees.
@@ -115,7 +124,9 @@ def granger(df: DataFrame, x: str, y: str, o: WindowSpec, by: list[str]) -> Data
         p2 = ratio((a - b * both) * (a - b * both), (1 - b * b) * (1 - both * both))
         return F.when(F.col("__n") > 3, ratio((F.col("__n") - 3) * p2, 1 - p2))
 
-    return r.select(*by, f("__ya", "__yb").alias("x_to_y"), f("__xb", "__xa").alias("y_to_x"))
+    found = r.select(*by, "__n", f("__ya", "__yb").alias("x_to_y"), f("__xb", "__xa").alias("y_to_x"))
+    p = lambda name: f_p(name, F.lit(1), F.col("__n") - 3).alias(f"{name}_p")
+    return found.select(*by, "x_to_y", "y_to_x", p("x_to_y"), p("y_to_x"))
 
 
 def two_components(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -127,12 +138,12 @@ def two_components(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def arch_lm(df: DataFrame, r: str, o: WindowSpec, by: list[str]) -> DataFrame:
-    """(by, n, lm): n times R^2 of squared centred returns on those before them."""
+    """(by, n, lm, p): n times R^2 of squared centred returns on those before them."""
     o_key = Window.partitionBy(*by)
     d = df.where(c(r).isNotNull()).withColumn("__e", c(r) - F.avg(r).over(o_key)).withColumn("__q", F.col("__e") * F.col("__e"))
     d = d.withColumn("__l", F.lag("__q").over(o)).where("__l IS NOT NULL")
     rho = correlation("__q", "__l")
-    return d.groupBy(*by).agg(F.count("*").alias("n"), (F.count("*") * rho * rho).alias("lm"))
+    return d.groupBy(*by).agg(F.count("*").alias("n"), (F.count("*") * rho * rho).alias("lm")).withColumn("p", chi2_p("lm", F.lit(1)))
 
 
 def equal_variance(df: DataFrame, x: str, group: str, by: list[str]) -> DataFrame:
@@ -153,11 +164,13 @@ def equal_variance(df: DataFrame, x: str, group: str, by: list[str]) -> DataFram
     pooled = ((n1 - 1) * F.col("v1") + (n0 - 1) * F.col("v0")) / F.nullif(free, F.lit(0))
     spread = free * F.ln(pooled) - (n1 - 1) * F.ln("v1") - (n0 - 1) * F.ln("v0")
     bartlett = spread / (1 + (1 / F.nullif(n1 - 1, F.lit(0)) + 1 / F.nullif(n0 - 1, F.lit(0)) - 1 / F.nullif(free, F.lit(0))) / 3)
-    return s.select(*by, levene.alias("levene"), bartlett.alias("bartlett"), ratio("v1", "v0").alias("f_ratio"))
+    found = s.select(*by, levene.alias("levene"), bartlett.alias("bartlett"), ratio("v1", "v0").alias("f_ratio"), "n1", "n0")
+    p = {"levene_p": f_p("levene", F.lit(1), free), "bartlett_p": chi2_p("bartlett", F.lit(1)), "f_ratio_p": f_p_two_sided("f_ratio", n1 - 1, n0 - 1)}
+    return found.select(*by, "levene", "bartlett", "f_ratio", *[v.alias(name) for name, v in p.items()])
 
 
 def ljung_box(df: DataFrame, x: str, o: WindowSpec, lags: int, by: list[str]) -> DataFrame:
-    """(by, n, q): n (n + 2) times the sum over lags of the squared autocorrelation over n - lag."""
+    """(by, n, q, p): n (n + 2) times the sum over lags of the squared autocorrelation over n - lag."""
     d = df.where(c(x).isNotNull()).withColumn("__d", c(x) - F.avg(x).over(Window.partitionBy(*by)))
     d = d.select(*by, "__d", *[F.lag("__d", j).over(o).alias(f"__{j}") for j in range(1, lags + 1)])
     s = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("__d") * F.col("__d")).alias("__v"), *[F.sum(F.col("__d") * F.col(f"__{j}")).alias(f"__c{j}") for j in range(1, lags + 1)])
@@ -165,7 +178,7 @@ def ljung_box(df: DataFrame, x: str, o: WindowSpec, lags: int, by: list[str]) ->
     for j in range(1, lags + 1):
         rho = ratio(F.col(f"__c{j}"), "__v")
         total = total + F.coalesce(rho * rho / F.nullif(n - j, F.lit(0)), F.lit(0.0))
-    return s.select(*by, "n", (n * (n + 2) * total).alias("q"))
+    return s.select(*by, "n", (n * (n + 2) * total).alias("q")).withColumn("p", chi2_p("q", F.lit(lags)))
 
 
 def equal_bins(df: DataFrame, x: str, bins: int, by: list[str], name: str) -> DataFrame:

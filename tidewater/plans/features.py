@@ -10,7 +10,7 @@ from ..sources import tables as tb
 from ..sources.tables import by_time
 from .indicators import B, full_sql, rs, windows
 from .regimes import HALVES, RET, halves, returns
-from .registry import W, query, rounded
+from .registry import W, chi2_p_sql, f_p2_sql, f_p_sql, query, rounded
 
 _SPIKE = lambda x, bound: f"CASE WHEN {x} > {bound} THEN 1.0::DOUBLE ELSE 0.0 END"
 _CHANGE = lambda x, n=1: f"{x} / nullif(lag({x}, {n}) OVER ({W}), 0) - 1"
@@ -52,8 +52,9 @@ def _granger_sql(effect: str, own: str, cause: str) -> str:
     return f"({full_r2} - ({b}) ** 2) * (count(*) - 3) / nullif(1 - {full_r2}, 0)"
 
 
-@query("granger", B + f""", l AS (SELECT k, close AS x, volume AS y, lag(close) OVER ({W}) AS xl, lag(volume) OVER ({W}) AS yl FROM bars), c AS (SELECT * FROM l WHERE xl IS NOT NULL)
-SELECT k, {rs(_granger_sql('y', 'yl', 'xl'))} AS x_to_y, {rs(_granger_sql('x', 'xl', 'yl'))} AS y_to_x FROM c GROUP BY k HAVING count(*) > 3""")
+@query("granger", B + f""", l AS (SELECT k, close AS x, volume AS y, lag(close) OVER ({W}) AS xl, lag(volume) OVER ({W}) AS yl FROM bars), c AS (SELECT * FROM l WHERE xl IS NOT NULL),
+  f AS (SELECT k, count(*) AS n, {_granger_sql('y', 'yl', 'xl')} AS a, {_granger_sql('x', 'xl', 'yl')} AS b FROM c GROUP BY k HAVING count(*) > 3)
+SELECT k, {rs('a')} AS x_to_y, {rs('b')} AS y_to_x, {rs(f_p_sql('a', '1', 'n - 3'))} AS x_to_y_p, {rs(f_p_sql('b', '1', 'n - 3'))} AS y_to_x_p FROM f""")
 def granger(spark: SparkSession, d: str) -> DataFrame:
     """Price and volume, each as the cause of the other."""
     return rounded(significance.granger(tb.hourly(spark, d), "close", "volume", by_time(), ["k"]))
@@ -64,21 +65,23 @@ def two_components(spark: SparkSession, d: str) -> DataFrame:
     return rounded(significance.two_components(tb.hourly(spark, d), "close", "volume", ["k"]))
 
 
-@query("arch_lm", B + f""", {RET}, q AS (SELECT k, t, (r - avg(r) OVER (PARTITION BY k)) ** 2 AS q FROM r WHERE r IS NOT NULL), l AS (SELECT k, q, lag(q) OVER ({W}) AS l FROM q) SELECT k, count(*) AS n, {rs('count(*) * regr_r2(q, l)')} AS lm FROM l WHERE l IS NOT NULL GROUP BY 1""")
+@query("arch_lm", B + f""", {RET}, q AS (SELECT k, t, (r - avg(r) OVER (PARTITION BY k)) ** 2 AS q FROM r WHERE r IS NOT NULL), l AS (SELECT k, q, lag(q) OVER ({W}) AS l FROM q),
+  s AS (SELECT k, count(*) AS n, count(*) * regr_r2(q, l) AS lm FROM l WHERE l IS NOT NULL GROUP BY 1) SELECT k, n, {rs('lm')} AS lm, {rs(chi2_p_sql('lm', 1))} AS p FROM s""")
 def arch_lm(spark: SparkSession, d: str) -> DataFrame:
     return rounded(significance.arch_lm(returns(spark, d), "r", by_time(), ["k"]))
 
 
 @query("equal_variance", B + f""", {RET}, {HALVES}, m AS (SELECT k, g, median(r) AS md FROM h GROUP BY 1, 2), z AS (SELECT h.k, h.g, r, abs(r - md) AS z FROM h JOIN m USING (k, g)),
-  a AS (SELECT k, count(*) AS n, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0, var_samp(r) FILTER (g = 1) AS v1, var_samp(r) FILTER (g = 0) AS v0, var_pop(z) * count(*) AS total, var_pop(z) FILTER (g = 1) * count(*) FILTER (g = 1) + var_pop(z) FILTER (g = 0) * count(*) FILTER (g = 0) AS inner_ FROM z GROUP BY 1)
-SELECT k, {rs('(n - 2) * (total - inner_) / inner_')} AS levene, {rs('((n - 2) * ln(((n1 - 1) * v1 + (n0 - 1) * v0) / (n - 2)) - (n1 - 1) * ln(v1) - (n0 - 1) * ln(v0)) / (1 + (1.0 / (n1 - 1) + 1.0 / (n0 - 1) - 1.0 / (n - 2)) / 3)')} AS bartlett, {rs('v1 / nullif(v0, 0)')} AS f_ratio FROM a""")
+  a AS (SELECT k, count(*) AS n, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0, var_samp(r) FILTER (g = 1) AS v1, var_samp(r) FILTER (g = 0) AS v0, var_pop(z) * count(*) AS total, var_pop(z) FILTER (g = 1) * count(*) FILTER (g = 1) + var_pop(z) FILTER (g = 0) * count(*) FILTER (g = 0) AS inner_ FROM z GROUP BY 1),
+  s AS (SELECT k, n1, n0, (n - 2) * (total - inner_) / inner_ AS le, ((n - 2) * ln(((n1 - 1) * v1 + (n0 - 1) * v0) / (n - 2)) - (n1 - 1) * ln(v1) - (n0 - 1) * ln(v0)) / (1 + (1.0 / (n1 - 1) + 1.0 / (n0 - 1) - 1.0 / (n - 2)) / 3) AS ba, v1 / nullif(v0, 0) AS f, n FROM a)
+SELECT k, {rs('le')} AS levene, {rs('ba')} AS bartlett, {rs('f')} AS f_ratio, {rs(f_p_sql('le', '1', 'n - 2'))} AS levene_p, {rs(chi2_p_sql('ba', 1))} AS bartlett_p, {rs(f_p2_sql('f', 'n1 - 1', 'n0 - 1'))} AS f_ratio_p FROM s""")
 def equal_variance(spark: SparkSession, d: str) -> DataFrame:
     """The returns of the second half of each key's bars against the first."""
     return rounded(significance.equal_variance(halves(spark, d), "r", "g", ["k"]))
 
 
 @query("ljung_box", B + f""", {RET}, c AS (SELECT k, t, r - avg(r) OVER (PARTITION BY k) AS d FROM r WHERE r IS NOT NULL), i AS (SELECT *, row_number() OVER ({W}) AS i FROM c), n AS (SELECT k, count(*) AS n, sum(d * d) AS v FROM c GROUP BY 1),
-  g AS (SELECT a.k, b.i - a.i AS lag, sum(a.d * b.d) AS c FROM i a JOIN i b ON a.k = b.k AND b.i - a.i BETWEEN 1 AND 10 GROUP BY 1, 2) SELECT k, n, {rs('n * (n + 2) * sum((c / v) ** 2 / (n - lag))')} AS q FROM g JOIN n USING (k) GROUP BY k, n""")
+  g AS (SELECT a.k, b.i - a.i AS lag, sum(a.d * b.d) AS c FROM i a JOIN i b ON a.k = b.k AND b.i - a.i BETWEEN 1 AND 10 GROUP BY 1, 2), q AS (SELECT k, n, n * (n + 2) * sum((c / v) ** 2 / (n - lag)) AS q FROM g JOIN n USING (k) GROUP BY k, n) SELECT k, n, {rs('q')} AS q, {rs(chi2_p_sql('q', 10))} AS p FROM q""")
 def ljung_box(spark: SparkSession, d: str) -> DataFrame:
     return rounded(significance.ljung_box(returns(spark, d), "r", by_time(), 10, ["k"]))
 

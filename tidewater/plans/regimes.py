@@ -11,7 +11,7 @@ from ..operators import indicators as ind
 from ..sources import tables as tb
 from ..sources.tables import by_time
 from .indicators import B, full_sql, rs, windows
-from .registry import W, query, r6, rounded
+from .registry import W, chi2_p_sql, f_p2_sql, f_p_sql, query, r6, rounded, t_p_sql
 
 _R = f"(close / nullif(lag(close) OVER ({W}), 0) - 1)"
 RET = f"r AS (SELECT *, {_R} AS r, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY k) AS n FROM bars)"
@@ -147,14 +147,15 @@ def halves(spark: SparkSession, d: str) -> DataFrame:
 
 @query("effect_sizes", B + f""", {RET}, {HALVES}, a AS (SELECT k, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0, avg(r) FILTER (g = 1) AS m1, avg(r) FILTER (g = 0) AS m0, var_samp(r) FILTER (g = 1) AS v1, var_samp(r) FILTER (g = 0) AS v0 FROM h GROUP BY 1),
   e AS (SELECT *, sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS p FROM a), c AS (SELECT *, (m1 - m0) / nullif(p, 0) AS d FROM e)
-SELECT k, n1, n0, {rs('d')} AS cohen_d, {rs('d * (1 - 3.0 / (4 * (n1 + n0 - 2) - 1))')} AS hedges_g, {rs('(m1 - m0) / nullif(sqrt(v0), 0)')} AS glass_delta, {rs('(m1 - m0) / nullif(p * sqrt(1.0 / n1 + 1.0 / n0), 0)')} AS t_stat,
+SELECT k, n1, n0, {rs('d')} AS cohen_d, {rs('d * (1 - 3.0 / (4 * (n1 + n0 - 2) - 1))')} AS hedges_g, {rs('(m1 - m0) / nullif(sqrt(v0), 0)')} AS glass_delta, {rs('(m1 - m0) / nullif(p * sqrt(1.0 / n1 + 1.0 / n0), 0)')} AS t_stat, {rs(t_p_sql('(m1 - m0) / nullif(p * sqrt(1.0 / n1 + 1.0 / n0), 0)', 'n1 + n0 - 2'))} AS t_p,
   CASE WHEN d IS NULL THEN NULL WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS label FROM c""")
 def effect_sizes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(significance.effect_sizes(halves(spark, d), "r", "g", ["k"]))
 
 
 @query("rank_sum", B + f""", {RET}, {HALVES}, q AS (SELECT k, g, rank() OVER (PARTITION BY k ORDER BY r) + (count(*) OVER (PARTITION BY k, r) - 1) / 2.0 AS rk FROM h),
-  a AS (SELECT k, sum(rk) FILTER (g = 1) AS w, count(*) FILTER (g = 1) AS a, count(*) FILTER (g = 0) AS b FROM q GROUP BY 1) SELECT k, {rs('(w - a * (a + b + 1) / 2.0) / sqrt(a * b * (a + b + 1) / 12.0)')} AS rank_sum_z FROM a""")
+  a AS (SELECT k, sum(rk) FILTER (g = 1) AS w, count(*) FILTER (g = 1) AS a, count(*) FILTER (g = 0) AS b FROM q GROUP BY 1), t AS (SELECT k, sum(c ** 3 - c) AS ties FROM (SELECT k, r, count(*)::DOUBLE AS c FROM h GROUP BY 1, 2) GROUP BY 1),
+  z AS (SELECT k, (w - a * (a + b + 1) / 2.0) / sqrt(a * b / 12.0 * (a + b + 1 - ties / ((a + b) * (a + b - 1.0)))) AS z FROM a JOIN t USING (k)) SELECT k, {rs('z')} AS rank_sum_z, {rs(chi2_p_sql('z * z', 1))} AS rank_sum_p FROM z""")
 def rank_sum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(significance.rank_sum(halves(spark, d), "r", "g", ["k"]))
 
@@ -168,8 +169,9 @@ def ks_tests(spark: SparkSession, d: str) -> DataFrame:
     return rounded(significance.adjusted(significance.kolmogorov_smirnov(halves(spark, d), "r", "g", ["k"]), "p", "k"))
 
 
-@query("variance_change", B + f""", {RET}, v AS (SELECT k, t, r, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY k) AS n, var_pop(r) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, var_pop(r) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM r WHERE r IS NOT NULL)
-SELECT k, t, {rs('CASE WHEN i >= 30 AND n - i > 30 THEN CASE WHEN b > 0 THEN a / b ELSE 1 END END')} AS f_stat FROM v""")
+@query("variance_change", B + f""", {RET}, v AS (SELECT k, t, r, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY k) AS n, var_pop(r) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, var_pop(r) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM r WHERE r IS NOT NULL),
+  f AS (SELECT k, t, i, n, CASE WHEN i >= 30 AND n - i > 30 THEN CASE WHEN b > 0 THEN a / b ELSE 1 END END AS f FROM v), p AS (SELECT k, t, f, CASE WHEN f IS NOT NULL THEN {f_p2_sql('f', 'n - i - 1', 'i - 1')} END AS p FROM f)
+SELECT k, t, {rs('f')} AS f_stat, {rs('p')} AS f_p, coalesce(p < 0.01, false) AS change_point FROM p""")
 def variance_change(spark: SparkSession, d: str) -> DataFrame:
     return rounded(significance.variance_change(returns(spark, d).select("k", "t", "r"), "r", by_time(), 30).drop("r"))
 
@@ -177,7 +179,7 @@ def variance_change(spark: SparkSession, d: str) -> DataFrame:
 _FEATURES = f"f AS (SELECT k, t, lead(r) OVER ({W}) AS y, r, lag(r) OVER ({W}) AS lag_1, {full_sql('stddev_samp(r)', 'r', 24)} AS vol, {full_sql('avg(r)', 'r', 6)} AS momentum FROM r {windows(6, 24)})"
 
 
-@query("f_regression", B + f", {RET}, {_FEATURES}, u AS (" + " UNION ALL ".join(f"SELECT k, '{n}' AS feature, corr({n}, y) AS c, count(*) FILTER ({n} IS NOT NULL AND y IS NOT NULL) AS n FROM f GROUP BY k" for n in ("r", "lag_1", "vol", "momentum")) + f") SELECT k, feature, {rs('c * c * (n - 2) / nullif(1 - c * c, 0)')} AS f FROM u")
+@query("f_regression", B + f", {RET}, {_FEATURES}, u AS (" + " UNION ALL ".join(f"SELECT k, '{n}' AS feature, corr({n}, y) AS c, count(*) FILTER ({n} IS NOT NULL AND y IS NOT NULL) AS n FROM f GROUP BY k" for n in ("r", "lag_1", "vol", "momentum")) + f"), v AS (SELECT k, feature, n, c * c * (n - 2) / nullif(1 - c * c, 0) AS f FROM u) SELECT k, feature, {rs('f')} AS f, {rs(f_p_sql('f', '1', 'n - 2'))} AS p FROM v")
 def f_regression(spark: SparkSession, d: str) -> DataFrame:
     o = by_time()
     df = returns(spark, d).select("k", "t", F.lead("r").over(o).alias("y"), "r", F.lag("r").over(o).alias("lag_1"), rolling("std", "r", o, 24).alias("vol"), sma("r", o, 6).alias("momentum"))
@@ -197,25 +199,32 @@ def blocking_folds(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("k", "fold", "part").agg(F.count("*").alias("n"), F.min("t").alias("start"), F.max("t").alias("stop"))
 
 
-@query("fold_summary", B + f""", {RET}, s AS (SELECT k, i % 5 AS fold, avg(abs(r)) FILTER (i % 2 = 0) AS train, avg(abs(r)) FILTER (i % 2 = 1) AS test FROM r WHERE r IS NOT NULL GROUP BY 1, 2)
-SELECT k, count(*) AS folds, {rs('avg(test)')} AS mean, {rs('stddev_samp(test)')} AS std, {rs('avg(test) - avg(train)')} AS overfit_gap FROM s GROUP BY 1""")
+_FOLDS = f"""x AS (SELECT k, row_number() OVER ({W}) - 1 AS i, r, lead(r) OVER ({W}) AS y, count(*) OVER (PARTITION BY k) AS n FROM r), f AS (SELECT k, i, r, y, unnest(generate_series(0, (n - 125) // 20)) AS fold FROM x WHERE n >= 125),
+  p AS (SELECT k, fold, r, y, CASE WHEN i - 20 * fold < 100 THEN 'train' ELSE 'test' END AS part FROM f WHERE r IS NOT NULL AND y IS NOT NULL AND (i - 20 * fold BETWEEN 0 AND 99 OR i - 20 * fold BETWEEN 105 AND 124)),
+  c AS (SELECT k, fold, regr_slope(y, r) AS b, regr_intercept(y, r) AS a FROM p WHERE part = 'train' GROUP BY 1, 2), e AS (SELECT k, fold, part, y, a + b * r AS p FROM p JOIN c USING (k, fold)),
+  s AS (SELECT k, fold, part, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse, 1 - sum((y - p) ** 2) / nullif(var_pop(y) * count(*), 0) AS r2, avg(CASE WHEN (p > 0) = (y > 0) THEN 1.0 ELSE 0.0 END) AS direction_accuracy FROM e GROUP BY 1, 2, 3),
+  l AS (UNPIVOT s ON mae, rmse, r2, direction_accuracy INTO NAME metric VALUE v),
+  m AS (SELECT k, metric, count(DISTINCT fold) AS folds, avg(v) FILTER (part = 'train') AS am, stddev_pop(v) FILTER (part = 'train') AS asd, avg(v) FILTER (part = 'test') AS bm, stddev_pop(v) FILTER (part = 'test') AS bsd FROM l GROUP BY 1, 2)"""
+
+
+@query("fold_summary", B + f""", {RET}, {_FOLDS} SELECT k, metric, folds, {rs('am')} AS train_mean, {rs('asd')} AS train_std, {rs('bm')} AS test_mean, {rs('bsd')} AS test_std, {rs("CASE WHEN metric IN ('r2', 'direction_accuracy') THEN am - bm ELSE bm - am END")} AS overfitting FROM m""")
 def fold_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Mean, spread and train-test gap of a metric (mean absolute return) over folds."""
-    i = F.row_number().over(by_time())
-    df = returns(spark, d).withColumn("i", i).where("r IS NOT NULL").withColumn("fold", F.col("i") % 5)
-    size = F.abs("r")
-    s = df.groupBy("k", "fold").agg(F.avg(F.when(F.col("i") % 2 == 0, size)).alias("train"), F.avg(F.when(F.col("i") % 2 == 1, size)).alias("test"))
-    return rounded(s.groupBy("k").agg(F.count("*").alias("folds"), F.avg("test").alias("mean"), F.stddev_samp("test").alias("std"), (F.avg("test") - F.avg("train")).alias("overfit_gap")))
+    """The next return fitted on each walk-forward fold's past, scored on both parts."""
+    o = by_time()
+    df = predictions.walk_forward(returns(spark, d).withColumn("y", F.lead("r").over(o)).select("k", "t", "r", "y"), o, train=100, test=20, gap=5)
+    return rounded(predictions.fold_summary(predictions.fold_scores(df, "y", ["r"])))
 
 
-@query("time_travel", B + f""", {RET}, m AS (SELECT k, t, i, close, avg(r) OVER ({W}) AS m, count(r) OVER ({W}) AS c, lead(close, 24) OVER ({W}) AS actual FROM r)
-SELECT k, t, {rs('close * (1 + 24 * m)')} AS predicted, {rs('actual')} AS actual, {rs('abs(close * (1 + 24 * m) - actual) / nullif(actual, 0)')} AS ape, (m > 0) = (actual > close) AS direction_correct FROM m WHERE i % 10 = 0 AND c >= 48 AND actual IS NOT NULL""")
+@query("time_travel", B + f""", {RET}, f AS (SELECT k, t, i, close, close / nullif(lag(close, 24) OVER ({W}), 0) - 1 AS u, {full_sql('close / nullif(avg(close)', 'close', 24).replace('OVER w24 END', 'OVER w24, 0) - 1 END')} AS v, lead(close, 24) OVER ({W}) AS actual, lead(close, 24) OVER ({W}) / nullif(close, 0) - 1 AS y FROM r {windows(24)}),
+  q AS (SELECT * FROM f WHERE u IS NOT NULL AND v IS NOT NULL AND y IS NOT NULL), s AS (SELECT a.k, a.t, a.close, a.u, a.v, a.actual, count(*) AS n, avg(q.u) AS mu, avg(q.v) AS mv, avg(q.y) AS my, var_pop(q.u) * count(*) + 0.001 AS uu, var_pop(q.v) * count(*) + 0.001 AS vv, covar_pop(q.u, q.v) * count(*) AS uv, covar_pop(q.u, q.y) * count(*) AS uy, covar_pop(q.v, q.y) * count(*) AS vy
+    FROM f a JOIN q ON q.k = a.k AND q.i + 24 <= a.i WHERE a.i > 96 AND a.i % 10 = 0 AND a.actual IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) > 3),
+  b AS (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS bu, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS bv FROM s), p AS (SELECT *, close * (1 + my + bu * (u - mu) + bv * (v - mv)) AS predicted FROM b)
+SELECT k, t, n, {rs('predicted')} AS predicted, {rs('actual')} AS actual, {rs('abs(predicted - actual) / nullif(actual, 0)')} AS ape, (predicted > close) = (actual > close) AS direction_correct FROM p""")
 def time_travel(spark: SparkSession, d: str) -> DataFrame:
-    """At every tenth bar, a forecast from what was known then (the mean return so far) against the close 24 bars on."""
+    """At every tenth bar a ridge regression fitted on what was known then, against the close 24 bars on."""
     o = by_time()
-    df = returns(spark, d).withColumns({"i": F.row_number().over(o), "m": running("avg", "r", o), "c": F.count("r").over(so_far(o)), "actual": F.lead("close", 24).over(o)})
-    df = df.where("i % 10 = 0 AND c >= 48 AND actual IS NOT NULL").withColumn("predicted", F.col("close") * (1 + 24 * F.col("m")))
-    return rounded(df.select("k", "t", "predicted", "actual", ratio(F.abs(F.col("predicted") - F.col("actual")), "actual").alias("ape"), ((F.col("m") > 0) == (F.col("actual") > F.col("close"))).alias("direction_correct")))
+    df = tb.hourly(spark, d).withColumns({"momentum": pct_change("close", o, 24), "level": ratio("close", sma("close", o, 24)) - 1})
+    return rounded(predictions.fitted_at(df, "close", ["momentum", "level"], o, horizon=24, ridge=0.001, history=96, every=10))
 
 
 @query("ratios_365", B + f""", {RET}, a AS (SELECT k, avg(r) * 365 AS ret, stddev_pop(r) * sqrt(365.0) AS vol, sqrt(avg(r * r) FILTER (r < 0)) * sqrt(365.0) AS down FROM r GROUP BY 1) SELECT k, {rs('ret')} AS annual_return, {rs('vol')} AS annual_vol, {rs('ret / nullif(vol, 0)')} AS sharpe, {rs('ret / nullif(down, 0)')} AS sortino FROM a""")
@@ -264,19 +273,27 @@ def metric_history(spark: SparkSession, d: str) -> DataFrame:
     return df.select("k", "t", r6(F.when(F.col("n") >= 10, ratio(gap, "s"))).alias("z"), F.coalesce((F.col("n") >= 10) & (F.abs(gap) > 2 * F.col("s")), F.lit(False)).alias("anomaly"))
 
 
-@query("risk_score", B + f""", {RET}, m AS (SELECT k, t, r, {full_sql('stddev_samp(r)', 'r', 24)} AS s, {full_sql('avg(r)', 'r', 24)} AS a, {full_sql('avg(close)', 'close', 6)} AS f, {full_sql('avg(close)', 'close', 24)} AS l FROM r {windows(6, 24)}),
-  p AS (SELECT k, t, least(abs(r) / nullif(3 * s, 0), 1) AS sudden, CASE WHEN abs(r - a) > 2 * s THEN 1.0 ELSE 0.0 END AS anomaly, least(10 * abs(f - l) / nullif(l, 0), 1) AS trend FROM m WHERE s IS NOT NULL AND l IS NOT NULL),
-  x AS (SELECT k, t, 0.30 * coalesce(sudden, 0) + 0.20 * anomaly + 0.15 * coalesce(trend, 0) AS s FROM p) SELECT k, t, {rs('s')} AS score, CASE WHEN round(s, 9) >= 0.8 THEN 'CRITICAL' WHEN round(s, 9) >= 0.6 THEN 'WARNING' WHEN round(s, 9) >= 0.4 THEN 'INFO' ELSE 'LOW' END AS level FROM x""")
+#: The day's and the week's change of two past falls, and how severe they were.
+FALLS = {"day_fall": ("day", -0.50, 1.0), "week_fall": ("week", -0.40, 0.8)}
+_LIKE_FALL = {name: f"greatest(0, 1 - abs({part} - ({value})) / {abs(value)})" for name, (part, value, _) in FALLS.items()}
+
+
+@query("risk_score", B + f""", o AS (SELECT date_trunc('hour', ts) AS t, avg(value) AS other FROM events WHERE event_type = 'view' GROUP BY 1), j AS (SELECT k, bars.t, close, volume, last_value(other IGNORE NULLS) OVER (PARTITION BY k ORDER BY bars.t) AS other FROM bars LEFT JOIN o ON o.t = bars.t),
+  b AS (SELECT *, close / nullif(lag(close) OVER ({W}), 0) - 1 AS r, ln(nullif(close, 0) / nullif(lag(close) OVER ({W}), 0)) AS lr, other - lag(other) OVER ({W}) AS od FROM j),
+  c AS (SELECT *, lr - lag(lr) OVER ({W}) AS acc, close / nullif(lag(close, 5) OVER ({W}), 0) - 1 AS five, close / nullif(lag(close, 24) OVER ({W}), 0) - 1 AS day, close / nullif(lag(close, 168) OVER ({W}), 0) - 1 AS week, count(*) OVER ({W}) AS i FROM b),
+  w AS (SELECT k, t, i, close, volume, five, od, r, day, week, avg(volume) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS v30, avg(close) OVER w5 AS m5, avg(close) OVER w10 AS m10, avg(close) OVER w20 AS m20, avg(abs(acc)) OVER w5 AS a5,
+    avg(r) OVER w50 AS mr, stddev_samp(r) OVER w50 AS sr, corr(lr, od) OVER w10 AS cn, corr(lr, od) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 10 PRECEDING) AS co FROM c {windows(5, 10, 20, 50)}),
+  p AS (SELECT k, t, 0.4 * coalesce(least(abs(five) / 0.05, 1), 0) + 0.25 * coalesce(least((volume / nullif(v30, 0) - 1) / 4, 1), 0) + 0.15 * CASE WHEN abs(od) > 3 THEN least(abs(od) / 10, 1) ELSE 0 END AS sudden,
+    coalesce(CASE WHEN {_LIKE_FALL['day_fall']} >= coalesce({_LIKE_FALL['week_fall']}, 0) THEN {_LIKE_FALL['day_fall']} * 1.0 ELSE {_LIKE_FALL['week_fall']} * 0.8 END, 0) AS pattern,
+    coalesce(least(abs((r - mr) / nullif(sr, 0)) / 6, 1), 0) AS anomaly, coalesce(least((abs(m5 / nullif(m20, 0) - 1) + abs(m10 / nullif(m20, 0) - 1) + 100 * a5) / 0.1, 1), 0) AS trend,
+    coalesce(least(abs(CASE WHEN isnan(cn) THEN NULL ELSE cn END - CASE WHEN isnan(co) THEN NULL ELSE co END) / 0.5, 1), 0) AS correlation FROM w WHERE i > 30),
+  x AS (SELECT *, 0.30 * sudden + 0.25 * pattern + 0.20 * anomaly + 0.15 * trend + 0.10 * correlation AS s FROM p)
+SELECT k, t, {rs('sudden')} AS sudden, {rs('pattern')} AS pattern, {rs('anomaly')} AS anomaly, {rs('trend')} AS trend, {rs('correlation')} AS correlation, {rs('s')} AS score, CASE WHEN round(s, 9) >= 0.8 THEN 'CRITICAL' WHEN round(s, 9) >= 0.6 THEN 'WARNING' WHEN round(s, 9) >= 0.4 THEN 'INFO' ELSE 'LOW' END AS level FROM x""")
 def risk_score(spark: SparkSession, d: str) -> DataFrame:
-    """Sudden change, anomaly and trend change by weight, with a level."""
-    o = by_time()
-    df = returns(spark, d).withColumns({"s": rolling("std", "r", o, 24), "a": sma("r", o, 24), "f": sma("close", o, 6), "l": sma("close", o, 24)}).where("s IS NOT NULL AND l IS NOT NULL")
-    parts = {"sudden": F.least(ratio(F.abs("r"), 3 * F.col("s")), F.lit(1.0)), "anomaly": F.when(F.abs(F.col("r") - F.col("a")) > 2 * F.col("s"), 1.0).otherwise(0.0), "trend": F.least(ratio(10 * F.abs(F.col("f") - F.col("l")), "l"), F.lit(1.0))}
-    # fixed values: the parts' weights and the levels' bounds
-    total = regimes.weighted_score({"sudden": 0.30, "anomaly": 0.20, "trend": 0.15})
-    df = df.withColumns(parts).select("k", "t", total.alias("s"))
-    at = F.round("s", 9)
-    return df.select("k", "t", r6("s").alias("score"), F.when(at >= 0.8, "CRITICAL").when(at >= 0.6, "WARNING").when(at >= 0.4, "INFO").otherwise("LOW").alias("level"))
+    """All five components of the closes' risk by weight, the mean view of the hour in the macro series' place."""
+    other = tb.events(spark, d).where("event_type = 'view'").groupBy(F.date_trunc("hour", "ts").alias("t")).agg(F.avg("value").alias("other"))
+    df = tb.hourly(spark, d).join(other, "t", "left").withColumn("other", F.last("other", ignorenulls=True).over(so_far(by_time())))
+    return rounded(regimes.composite_risk(df, "close", "volume", "other", by_time(), FALLS))
 
 
 #: Named patterns: change in percent and range in percent of a day.

@@ -10,7 +10,7 @@ from ..operators import asof, correlation, fill, outliers, segments
 from ..sources import tables as tb
 from ..sources.tables import by_time
 from .indicators import B, D, full_sql, rs, windows
-from .registry import HOURLY, W, query, r6, rounded
+from .registry import HOURLY, W, query, r6, rounded, t_p_sql
 
 SPINE = """spine AS (SELECT k, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS t FROM (SELECT k, min(t) AS a, max(t) AS b FROM bars GROUP BY k)),
   g AS (SELECT spine.k, spine.t, close AS x FROM spine LEFT JOIN bars USING (k, t))"""
@@ -313,8 +313,9 @@ def corr_pairs(spark: SparkSession, d: str) -> DataFrame:
     return m.where("abs(r) > 0.01").orderBy(F.desc(F.abs("r")), "a", "b").limit(10)
 
 
-@query("spearman", f"""WITH {_WIDE}, x AS (SELECT click, view FROM w WHERE click IS NOT NULL AND view IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY click) + (count(*) OVER (PARTITION BY click) - 1) / 2.0 AS a, rank() OVER (ORDER BY view) + (count(*) OVER (PARTITION BY view) - 1) / 2.0 AS b, click, view FROM x)
-SELECT {rs('corr(click, view)')} AS pearson, {rs('corr(a, b)')} AS spearman, count(*) AS n FROM r""")
+@query("spearman", f"""WITH {_WIDE}, x AS (SELECT click, view FROM w WHERE click IS NOT NULL AND view IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY click) + (count(*) OVER (PARTITION BY click) - 1) / 2.0 AS a, rank() OVER (ORDER BY view) + (count(*) OVER (PARTITION BY view) - 1) / 2.0 AS b, click, view FROM x),
+  s AS (SELECT corr(click, view) AS p, corr(a, b) AS s, count(*) AS n FROM r), q AS (SELECT *, {t_p_sql('p * sqrt((n - 2) / (1 - p * p))', 'n - 2')} AS pp, {t_p_sql('s * sqrt((n - 2) / (1 - s * s))', 'n - 2')} AS sp FROM s), o AS (SELECT *, CASE WHEN pp < sp THEN p ELSE s END AS c FROM q)
+SELECT {rs('p')} AS pearson, {rs('s')} AS spearman, n, {rs('pp')} AS pearson_p, {rs('sp')} AS spearman_p, {rs('c')} AS correlation, CASE WHEN abs(c) >= 0.7 THEN 'strong' WHEN abs(c) >= 0.4 THEN 'moderate' ELSE 'weak' END AS strength FROM o""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
     return rounded(correlation.spearman(wide(spark, d), "click", "view"))
 

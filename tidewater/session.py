@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from functools import cache
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +27,16 @@ def build_session(app: str = "tidewater", master: str | None = None, shuffle_par
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tidewater-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share; a temporary one in local mode only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (at or _own_dir()).rstrip("/")

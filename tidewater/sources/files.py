@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -18,13 +20,27 @@ def csv_series(spark: SparkSession, path: str, schema: str = schemas.INDICATOR_S
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def categories(spark: SparkSession, root: str) -> dict[str, str]:
+    """The folders right under ``root`` by name: one listing of one level."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return {s.getPath().getName(): s.getPath().toString() for s in found if s.isDirectory() and s.getPath().getName()[0] not in "._"}
+
+
 def indicator_files(spark: SparkSession, root: str, suffix: str = "_hourly.csv", contains: str | None = None, schema: str = schemas.INDICATOR_SERIES) -> DataFrame:
-    """(ts, value, category, indicator) from ``root/category/name_hourly.csv``; file name filters prune files, not rows."""
-    pattern = f"*{contains or ''}*{suffix}" if contains else f"*{suffix}"
-    df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root)
-    name = F.col("_metadata.file_name")
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    return df.select("*", F.element_at(parts, -2).alias("category"), F.regexp_replace(name, suffix.replace(".", r"\.") + "$", "").alias("indicator"))
+    """(ts, value, category, indicator) from ``root/category/name_hourly.csv``; file name filters prune files, not rows.
+
+    The categories' folders become partitions of an external table, so a filter on ``category`` is a partition filter: the
+    folders of other categories are neither listed nor read. The folders right under ``root`` are listed when this is called.
+    """
+    table = f"indicator_files_{uuid.uuid4().hex}"
+    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    spark.sql(f"CREATE TABLE {table} ({schema}, category string) USING csv OPTIONS (header 'true') PARTITIONED BY (category) LOCATION {quoted(root)}")
+    if folders := categories(spark, root):
+        spark.sql(f"ALTER TABLE {table} ADD " + " ".join(f"PARTITION (category = {quoted(name)}) LOCATION {quoted(at)}" for name, at in folders.items()))
+    name = F.col("_metadata.file_name")  # a filter on it picks files before they are read
+    wanted = name.endswith(suffix) & (name.contains(contains) if contains else F.lit(True))
+    return spark.read.table(table).where(wanted).select("*", F.regexp_replace(name, suffix.replace(".", r"\.") + "$", "").alias("indicator"))
 
 
 def json_snapshots(spark: SparkSession, root: str, last: int = 168, prefix: str = "btc_analysis_") -> DataFrame:

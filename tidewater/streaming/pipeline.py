@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..session import shared_dir
 from .parse import errors, parse
 
 
@@ -78,3 +80,24 @@ def run(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], Non
     if table is not None:
         return writer.toTable(table)
     return writer.format("parquet").start(path)
+
+
+def joined(trades: DataFrame, quotes: DataFrame, within: str = "10 minutes", late: str = "30 minutes", key: str = "k", how: str = "inner") -> DataFrame:
+    """Each trade with the quotes of its key in the ``within`` before it (or at its time): two-sided state, bounded by both watermarks.
+
+    ``trades`` has (key, ts, price), ``quotes`` (key, ts, quote). Rows of either side later than ``late`` are dropped. The time
+    bound tells Spark when a row can meet no more partner, so state goes once the other side's watermark has passed. With
+    ``how`` "leftOuter" a trade without a quote comes out, with nulls, when its time is over. Works on batches alike.
+    """
+    a = trades.select(F.col(key).alias("k"), F.col("ts").alias("trade_ts"), "price").withWatermark("trade_ts", late)
+    b = quotes.select(F.col(key).alias("k"), F.col("ts").alias("quote_ts"), "quote").withWatermark("quote_ts", late)
+    near = (F.col("a.k") == F.col("b.k")) & (F.col("quote_ts") <= F.col("trade_ts")) & (F.col("quote_ts") >= F.col("trade_ts") - F.expr(f"interval {within}"))
+    return a.alias("a").join(b.alias("b"), near, how).select("a.k", "trade_ts", "price", "quote_ts", "quote")
+
+
+def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is, into a folder of its own in the shared one, and gives what came out as a table."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/tidewater-streams/{uuid.uuid4().hex}"
+    run(stream, f"{at}/checkpoint", path=f"{at}/rows", mode=mode).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
