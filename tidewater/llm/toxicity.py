@@ -20,6 +20,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +35,10 @@ from .quality import labelled, sampled
 
 #: Labelled rows the model is fitted on at most.
 MAX_TRAIN = 20_000
-#: What a mined voter needs: toxic documents that hold it, and lift times the root of their number.
-MIN_SUPPORT, MIN_STRENGTH = 3, 10.0
+#: What a mined voter needs: toxic documents that hold it, and a log ratio of its shares of toxic and clean documents.
+MIN_SUPPORT, MIN_LIFT = 3, 1.5
+#: The share of mined voters that may be in by chance.
+FALSE_VOTERS = 0.05
 #: Lengths of word beginnings that can be voters.
 BEGINNINGS = (4, 5, 6)
 #: How often the training label is right.
@@ -59,11 +62,36 @@ def tokens(words: Counter[str]) -> set[str]:
     return out
 
 
-def mined(texts: DataFrame, least: float = MIN_STRENGTH) -> list[str]:
-    """Tokens that stand in toxic texts far more often than in others. ``texts``: (id, y, text).
-
-    Tasks count their own rows first; tokens of strength ``least`` or more reach the driver. The sample
-    bounds them: each needs MIN_SUPPORT of its toxic documents.
+def chance(bad: int, good: int, share: float) -> float:
+    """How likely a token of ``bad`` + ``good`` documents has ``bad`` toxic ones or more, if ``share`` of all documents are."""
+    n = bad + good
+    whole, yes, no = math.lgamma(n + 1), math.log(share), math.log1p(-share)
+    return min(1.0, math.fsum(math.exp(whole - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * yes + (n - x) * no) for x in range(bad, n + 1)))
+
+
+def apart(ranked: list[str]) -> list[str]:
+    """The tokens of which none before is the beginning, or begins with theirs: nested ones vote together, the first speaks for all."""
+    kept: list[str] = []
+    stems: set[str] = set()  # of the kept ones
+    inner: set[str] = set()  # beginnings of the kept ones
+    for token in ranked:
+        stem = token.rstrip("*")
+        if stem not in inner and not any(stem[:k] + "*" in stems for k in range(1, len(stem) + 1)) and token not in stems:
+            kept.append(token)
+            stems.add(token)
+            if token.endswith("*"):
+                inner.update(stem[:k] for k in range(1, len(stem) + 1))
+            else:
+                inner.update(stem[:k] for k in BEGINNINGS if k < len(stem))
+    return kept
+
+
+def mined(texts: DataFrame, rate: float = FALSE_VOTERS) -> list[str]:
+    """Tokens that stand in toxic texts more often than in others. ``texts``: (id, y, text).
+
+    Of all tokens in MIN_SUPPORT toxic documents those stay that chance explains too badly, at a false-discovery rate of
+    ``rate`` (Benjamini and Hochberg's step-up over exact binomial tails), however many they are; of nested ones the least
+    likely (whole words first). Tasks count their own rows first; the sample bounds what reaches the driver.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,8 +108,11 @@ def mined(texts: DataFrame, least: float = MIN_STRENGTH) -> list[str]:
         return []
     counts = texts.select("y", "text").mapInPandas(run, "token string, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     lift = F.log((F.col("bad") + 0.5) / total["bad"]) - F.log((F.col("good") + 0.5) / total["good"])
-    ranked = counts.where(f"bad >= {MIN_SUPPORT}").withColumn("rank", lift * F.sqrt("bad")).where((lift > 1.5) & (F.col("rank") >= least))
-    return [r["token"] for r in ranked.orderBy(F.desc("rank"), "token").collect()]
+    tested = materialise(counts.where(f"bad >= {MIN_SUPPORT}").withColumn("lift", lift))
+    n, share = tested.count(), total["bad"] / (total["bad"] + total["good"])
+    rows = sorted((chance(r["bad"], r["good"], share), -r["bad"], r["token"].endswith("*"), r["token"]) for r in tested.where(F.col("lift") > MIN_LIFT).collect())
+    kept = max((i + 1 for i, (p, *_) in enumerate(rows) if p <= rate * (i + 1) / n), default=0)
+    return apart([token for *_, token in rows[:kept]])
 
 
 class Voters:
@@ -106,57 +137,109 @@ class Voters:
         return sorted(found), hits
 
 
-#: Rows of the vote matrix that are turned into numbers at once.
-ROWS = 1024
-
-
-def _blocks(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """The rows of ``x`` as floats, some at a time: the whole stays a matrix of bytes."""
-    for at in range(0, len(x), ROWS):
-        yield slice(at, at + ROWS), x[at : at + ROWS].astype(float)
-
-
-def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Posterior probability of toxic for each row of ``votes`` (0 and 1); ``y`` votes along with LABEL_TRUST."""
+#: Pairs of votes that are counted at once.
+PAIRS = 2_000_000
+
+
+class Votes:
+    """A vote matrix of zeros and ones by its ones: (row, voter), sorted by row."""
+
+    def __init__(self, on: list[list[int]], width: int):
+        self.n, self.width = len(on), width
+        size = np.array([len(x) for x in on], np.int64)
+        self.start = np.append(0, size.cumsum())
+        self.row = np.repeat(np.arange(self.n), size)
+        self.voter = np.concatenate([np.asarray(x, np.int64) for x in on]) if len(self.row) else np.zeros(0, np.int64)
+
+    def of_rows(self, weight: np.ndarray) -> np.ndarray:
+        """The voters' weights summed for each row."""
+        return np.bincount(self.row, weight[self.voter], self.n)
+
+    def of_voters(self, value: np.ndarray) -> np.ndarray:
+        """The rows' values summed for each voter."""
+        return np.bincount(self.voter, value[self.row], self.width)
+
+    def together(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(j, k, rows) of each pair of voters j < k that some row has both of."""
+        size = np.diff(self.start)
+        ends = (size * (size - 1) // 2).cumsum()
+        keys, counts, low = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while low < self.n:
+            done = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+            part = [keys]
+            for k in np.unique(size[low:high]):
+                if k > 1:
+                    rows = low + np.flatnonzero(size[low:high] == k)
+                    held = np.sort(self.voter[self.start[rows, None] + np.arange(k)], axis=1)
+                    a, b = np.triu_indices(int(k), 1)
+                    part.append((held[:, a] * self.width + held[:, b]).ravel())
+            weight = np.concatenate([counts, np.ones(sum(map(len, part[1:])), np.int64)])
+            keys, at = np.unique(np.concatenate(part), return_inverse=True)
+            counts = np.bincount(at, weight, len(keys)).astype(np.int64)
+            low = high
+        return keys // self.width, keys % self.width, counts
+
+
+def label_model(votes: Votes, y: np.ndarray, rounds: int = 15) -> np.ndarray:
+    """Posterior probability of toxic for each row of ``votes``; ``y`` votes along with LABEL_TRUST."""
     n = len(y)
     trust = np.log(LABEL_TRUST / (1 - LABEL_TRUST)) * (2 * y - 1)
     q = np.where(y > 0, LABEL_TRUST, 1 - LABEL_TRUST)
-    together = sum((v.T @ v for _, v in _blocks(votes)), np.zeros((votes.shape[1],) * 2))
+    one, two, both = votes.together()
+    alone = votes.of_voters(np.ones(n))
     for _ in range(rounds):
         prior = (q.sum() + 1) / (n + 2)
         sides = np.stack([q, 1 - q])
-        seen = sum((sides[:, at] @ v for at, v in _blocks(votes)), np.zeros((2, votes.shape[1])))
+        seen = np.stack([votes.of_voters(side) for side in sides])
         # how often each voter votes for toxic texts, and for clean ones
         on, off = np.clip((seen + 0.1) / (sides.sum(1)[:, None] + 1.0), 1e-5, 1 - 1e-5)
-        # correlation of the voters that the class does not explain: products of what is left of the votes, from sums
+        # correlation of voters that vote together beyond what the class explains: products of what is left of the votes, from sums
         expected = np.stack([on, off])
-        cross = seen.T @ expected
-        rest = together - cross - cross.T + expected.T @ (sides @ sides.T) @ expected
-        spread = np.sqrt(np.maximum(np.diag(rest), 0)) + 1e-9
-        correlation = np.abs(rest / np.outer(spread, spread))
-        weight = 1.0 / np.where(correlation > 0.2, correlation, 0).sum(1).clip(1.0)
+        mixed = (sides @ sides.T) @ expected
+
+        def rest(j: np.ndarray, k: np.ndarray, count: np.ndarray, seen=seen, expected=expected, mixed=mixed) -> np.ndarray:
+            return count - (seen[:, j] * expected[:, k]).sum(0) - (seen[:, k] * expected[:, j]).sum(0) + (expected[:, j] * mixed[:, k]).sum(0)
+
+        every = np.arange(votes.width)
+        spread = np.sqrt(np.maximum(rest(every, every, alone), 0)) + 1e-9
+        correlation = np.abs(rest(one, two, both) / (spread[one] * spread[two]))
+        correlation[correlation <= 0.2] = 0
+        shared = 1.0 + np.bincount(one, correlation, votes.width) + np.bincount(two, correlation, votes.width)
+        weight = 1.0 / shared
         yes, no = weight * np.log(on / off), weight * np.log((1 - on) / (1 - off))
-        spoken = np.concatenate([v @ (yes - no) for _, v in _blocks(votes)])
-        logit = np.log(prior / (1 - prior)) + spoken + no.sum() + trust
+        logit = np.log(prior / (1 - prior)) + votes.of_rows(yes - no) + no.sum() + trust
         q = 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
     return q
 
 
-def linear_classifier(votes: np.ndarray, hits: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights of a logistic regression on soft labels q: one a voter, one for ``hits``, the intercept."""
-    size = votes.shape[1] + 2
+def linear_classifier(votes: Votes, hits: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights of a logistic regression on soft labels q: one a voter, one for ``hits``, the intercept.
+
+    Newton's steps, each solved by conjugate gradients, so no matrix of voters by voters is built.
+    """
+    size = votes.width + 2
     w = np.zeros(size)
     w[-1] = np.log((q.sum() + 1) / (len(q) - q.sum() + 1))
     penalty = np.full(size, ridge)
     penalty[-1] = 1e-6
+    forth = lambda v: votes.of_rows(v[:-2]) + hits * v[-2] + v[-1]
+    back = lambda r: np.concatenate([votes.of_voters(r), [hits @ r, r.sum()]])
     for _ in range(rounds):
-        h, g = np.diag(penalty), -penalty * w
-        for at, v in _blocks(votes):
-            x = np.hstack([v, hits[at, None], np.ones((len(v), 1))])
-            p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-            h += (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
-            g += x.T @ (q[at] - p)
-        step = np.linalg.solve(h, g)
+        p = 1.0 / (1.0 + np.exp(-np.clip(forth(w), -30, 30)))
+        curve = p * (1 - p) + 1e-6
+        scale = penalty + np.concatenate([votes.of_voters(curve), [(hits * hits) @ curve, curve.sum()]])
+        step, left = np.zeros(size), back(q - p) - penalty * w
+        least = 1e-20 * (left @ (left / scale))
+        ahead, now = left / scale, left @ (left / scale)
+        for _ in range(4 * size):
+            if now <= least:
+                break
+            bent = back(curve * forth(ahead)) + penalty * ahead
+            far = now / (ahead @ bent)
+            step, left = step + far * ahead, left - far * bent
+            before, now = now, left @ (left / scale)
+            ahead = left / scale + now / before * ahead
         w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
     return w
 
@@ -188,11 +271,9 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, i
     rows = texts.mapInPandas(vote, "id long, y double, on array<int>, hits long").toPandas().sort_values(["id", "hits"])
     if not len(rows):
         return ToxicityModel(voters, np.concatenate([np.full(len(SEED), 2.0), np.zeros(voters.n - len(SEED)), [2.0, -3.0]]))
-    x = np.zeros((len(rows), voters.n), np.uint8)
-    for i, on in enumerate(rows.pop("on")):
-        x[i, list(on)] = 1
-    q = label_model(x, rows["y"].to_numpy(float))
-    return ToxicityModel(voters, linear_classifier(x, np.log1p(rows["hits"].to_numpy(float)), q))
+    votes = Votes(rows.pop("on").tolist(), voters.n)
+    q = label_model(votes, rows["y"].to_numpy(float))
+    return ToxicityModel(voters, linear_classifier(votes, np.log1p(rows["hits"].to_numpy(float)), q))
 
 
 def toxicity_score(model: ToxicityModel, text: Column) -> Column:
