@@ -5,6 +5,9 @@ Every function takes and returns Columns and stays inside the JVM.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -128,3 +131,50 @@ def running_product(growth: ColumnLike, order: WindowSpec) -> Column:
 def islands(start: Column, order: WindowSpec) -> Column:
     """Number of the run a row is in, given a flag for rows that start one."""
     return F.sum(start.cast("int")).over(so_far(order))
+
+
+def rolling_central_moment(x: ColumnLike, order: WindowSpec, k: int, power: int) -> Column:
+    """The mean of the window's deviations to a power of 3 or 4."""
+    f = rows(order, k)
+    spread = F.stddev_pop(c(x)).over(f)
+    shape = F.skewness(c(x)).over(f) if power == 3 else F.kurtosis(c(x)).over(f) + 3
+    return full(F.when(spread > 0, shape * F.pow(spread, F.lit(power))).otherwise(0.0), x, f, k)
+
+
+def median_filter(x: ColumnLike, order: WindowSpec, k: int = 5) -> Column:
+    """The median of k rows around each; at the ends the nearest rows stand again, mirrored."""
+    half = k // 2
+    held = _mirrored(x, order, half)
+    return F.when(c(x).isNotNull(), F.get(F.array_sort(held), F.lit(half)))
+
+
+def gaussian_filter(x: ColumnLike, order: WindowSpec, sigma: float = 1.0, reach: float = 4.0) -> Column:
+    """The mean of the rows around each by a bell of ``sigma`` rows, cut off at ``reach`` sigmas; the ends are mirrored."""
+    half = int(reach * sigma + 0.5)
+    taps = [math.exp(-0.5 * (j / sigma) ** 2) for j in range(-half, half + 1)]
+    weights = F.array(*[F.lit(t / sum(taps)) for t in taps])
+    held = _mirrored(x, order, half)
+    return F.when(c(x).isNotNull(), F.aggregate(F.zip_with(held, weights, lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v))
+
+
+def let(f: Callable[..., Column], *values: Column) -> Column:
+    """f of the values, each worked out once however often f uses it."""
+    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(bound), lambda s: f(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
+def _mirrored(x: ColumnLike, order: WindowSpec, half: int) -> Column:
+    """The rows from ``half`` before to ``half`` after; what is beyond an end is read back from it, the end row twice."""
+    before = [F.lag(c(x), j).over(order) for j in range(half, 0, -1)]
+    after = [F.lead(c(x), j).over(order) for j in range(1, half + 1)]
+    number = F.row_number().over(order)
+    count = F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+    def read(row: Column, i: Column, n: Column) -> Column:
+        def place(j: Column) -> Column:  # row p of the series (from 0) stands at p - i + 1 + half
+            p = F.pmod(i - 1 + j - half, 2 * n)
+            return F.when(p < n, p).otherwise(2 * n - 1 - p) - i + 1 + half
+
+        return F.transform(F.sequence(F.lit(0), F.lit(2 * half)), lambda j: F.get(row, place(j).cast("int")))
+
+    return let(read, F.array(*before, c(x), *after), number, count)

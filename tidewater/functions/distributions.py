@@ -9,23 +9,16 @@ of range give null.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import ColumnLike, c
+from .columns import ColumnLike, c, let
 
 MOST_TERMS = 20_000
 _TINY = 1e-300
 
 
-def let(f: Callable[..., Column], *values: Column) -> Column:
-    """f of the values, each worked out once however often f uses it."""
-    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
-    return F.get(F.transform(F.array(bound), lambda s: f(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
-
-
 def _held(x: Column) -> Column:
     """x, kept away from zero for a continued fraction's divisions."""
     return F.when(F.abs(x) < _TINY, F.lit(_TINY)).otherwise(x)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import ColumnLike, c
-from .distributions import let
+from .columns import ColumnLike, c, let
 
 
 def moments(columns: list[Column], y: Column, aggregate=F.sum) -> tuple[Column, Column, Column]:

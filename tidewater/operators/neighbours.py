@@ -132,3 +132,35 @@ def zero_one(df: DataFrame, x: str, o: WindowSpec, t: str = "t", phase: float =
     p, q = F.sum(F.col("__d") * F.cos("__a")).over(so_far), F.sum(F.col("__d") * F.sin("__a")).over(so_far)
     m = d.select(key, ((p * p + q * q) / F.col("__n")).alias("__m"))
     return m.groupBy(key).agg(F.least(F.greatest(F.avg("__m"), F.lit(0.0)), F.lit(1.0)).alias("zero_one"))
+
+
+def _log_shares(df: DataFrame, x: str, o: WindowSpec, m: int, radius: float, key: str) -> DataFrame:
+    """(key, phi, pairs): the mean log share of vectors near each vector (itself among them), and the pairs."""
+    v = delay_vectors(df, x, o, m, key)
+    pairs = neighbour_pairs(v, "i", "v", m, radius, [key], "max")
+    near = pairs.select(key, F.explode(F.array("a", "b")).alias("i")).groupBy(key, "i").agg(F.count("*").alias("__c"))
+    share = (1 + F.coalesce("__c", F.lit(0))) / F.col("n")
+    each = v.select(key, "i", "n").join(near, [key, "i"], "left")
+    return each.groupBy(key).agg(F.avg(F.ln(share)).alias("phi"), (F.sum(F.coalesce("__c", F.lit(0))) / 2).alias("pairs"))
+
+
+def pair_entropies(df: DataFrame, x: str, o: WindowSpec, m: int = 2, radius: float = 0.2, key: str = "k") -> DataFrame:
+    """(key, approximate, sample): how much less likely stretches of m values that are near stay near for one more.
+
+    Approximate entropy is the difference of the mean log shares, sample entropy the log ratio of the pairs (null where
+    no pair of the longer ones is near). Two joins, no matrix.
+    """
+    short, long = _log_shares(df, x, o, m, radius, key), _log_shares(df, x, o, m + 1, radius, key)
+    both = short.select(key, F.col("phi").alias("__p"), F.col("pairs").alias("__b")).join(long.select(key, "phi", "pairs"), key)
+    return both.select(key, (F.col("__p") - F.col("phi")).alias("approximate"), (-F.ln(F.nullif(F.col("pairs"), F.lit(0.0)) / F.nullif(F.col("__b"), F.lit(0.0)))).alias("sample"))
+
+
+def multiscale_entropy(df: DataFrame, x: str, o: WindowSpec, scales: list[int], m: int = 2, radius: float = 0.2, key: str = "k") -> DataFrame:
+    """(key, scale, sample): sample entropy of the means of each ``scale`` rows in a row; an incomplete last group is left out."""
+    out = None
+    rows = df.where(c(x).isNotNull()).select(key, c(x).alias("__x"), (F.row_number().over(o) - 1).alias("__i"))
+    for scale in scales:
+        coarse = rows.groupBy(key, F.floor(F.col("__i") / scale).alias("__i")).agg(F.avg("__x").alias("__x"), F.count("*").alias("__n")).where(F.col("__n") == scale)
+        one = pair_entropies(coarse, "__x", Window.partitionBy(key).orderBy("__i"), m, radius, key).select(key, F.lit(scale).alias("scale"), "sample")
+        out = one if out is None else out.unionByName(one)
+    return out

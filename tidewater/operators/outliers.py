@@ -40,11 +40,15 @@ def rolling_z(x: str, o: WindowSpec, k: int) -> Column:
 
 def vote(df: DataFrame, x: str, by: list[str], z: float, iqr: float, mad: float, majority: int = 2) -> DataFrame:
     """Votes of three detectors; where they reach ``majority`` the value is replaced by the group's median."""
-    df = with_modified_z(with_iqr_flag(with_z(df, x, by), x, by, iqr), x, by)
-    df = _stats(df, by, F.median(x).alias("__m"))
+    quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    df = _stats(df, by, F.avg(x).alias("__mu"), F.stddev_pop(x).alias("__sd"), quartiles.alias("__q")).withColumns({"__m": F.get("__q", F.lit(1)), "__lo": F.get("__q", F.lit(0)), "__hi": F.get("__q", F.lit(2))})
+    df = _stats(df, by, F.median(F.abs(c(x) - F.col("__m"))).alias("__mad"))
+    reach = iqr * (F.col("__hi") - F.col("__lo"))
+    df = df.withColumns({"z": ratio(c(x) - F.col("__mu"), "__sd"), "iqr_flag": (c(x) < F.col("__lo") - reach) | (c(x) > F.col("__hi") + reach), "modified_z": ratio(0.6745 * (c(x) - F.col("__m")), "__mad")})
     on = lambda b: F.coalesce(b, F.lit(False)).cast("int")
     df = df.withColumn("votes", on(F.abs("z") > z) + on(F.col("iqr_flag")) + on(F.abs("modified_z") > mad))
-    return df.withColumn("cleaned", F.when(F.col("votes") >= majority, F.col("__m")).otherwise(c(x))).drop("__m")
+    df = df.withColumn("cleaned", F.when(F.col("votes") >= majority, F.col("__m")).otherwise(c(x)))
+    return df.drop("__mu", "__sd", "__q", "__m", "__lo", "__hi", "__mad")
 
 
 def winsorize(df: DataFrame, x: str, by: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, ratio, sample_kurtosis, sample_skewness
+from ..functions.columns import c, ratio, sample_kurtosis, sample_skewness, so_far
 
 # Standard normal quantile and density at the confidence levels.
 NORMAL = {90: (1.2815515655446004, 0.17549833193248685), 95: (1.6448536269514722, 0.10313564037537128), 99: (2.3263478740408408, 0.026652142203457633)}
@@ -94,3 +94,41 @@ def tail_value_at_risk(df: DataFrame, r: str, by: list[str], confidence: float =
     grown = F.pow(F.lit((1 - confidence) / share), -F.col("shape"))
     s = s.withColumn("var", F.col("threshold") - F.col("scale") * (grown - 1) / F.nullif(F.col("shape"), F.lit(0.0)))
     return s.select(*by, "threshold", "shape", "scale", "var", (F.col("var") - F.col("scale") / F.nullif(1 - F.col("shape"), F.lit(0.0)) * grown).alias("cvar"))
+
+
+def drawdown_report(df: DataFrame, r: str, o: WindowSpec, key: str = "k", t: str = "t") -> DataFrame:
+    """(key, n, max_drawdown, start, trough, recovery, periods, frequency, underwater, mean_length) of the growth of returns.
+
+    ``start`` is the peak before the deepest point, ``recovery`` the first row after it at that peak's height again (null
+    if none is). A drawdown is a run of rows under the peak so far; ``frequency`` is their number over the rows,
+    ``underwater`` the share of the rows in one. Null returns stand still.
+    """
+    wealth = F.exp(F.sum(F.log1p(F.coalesce(c(r), F.lit(0.0)))).over(so_far(o)))
+    d = df.select(key, t, wealth.alias("__w"))
+    d = d.withColumn("__p", F.greatest(F.max("__w").over(so_far(o)), F.lit(1.0)))
+    d = d.withColumn("__d", F.when(F.col("__w") < F.col("__p") * (1 - 1e-12), F.col("__w") / F.col("__p") - 1).otherwise(0.0))
+    under = F.col("__d") < 0
+    begins = under & (F.coalesce(F.lag("__d").over(o), F.lit(0.0)) >= 0)
+    d = d.withColumns({"__b": begins.cast("int"), "__top": F.when(~under, F.col(t))}).withColumn("__top", F.last("__top", ignorenulls=True).over(so_far(o)))
+    # the deepest row, with its peak; the first of equal ones
+    worst = d.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("__d", t, "__top", "__p")).alias("__x"), F.sum("__b").alias("periods"), F.avg(under.cast("double")).alias("underwater"), F.sum(under.cast("int")).alias("__u"))
+    after = d.join(worst.select(F.col(key).alias("__k"), "__x"), F.col(key) == F.col("__k")).where((F.col(t) > F.col(f"__x.{t}")) & (F.col("__w") >= F.col("__x.__p") * (1 - 1e-12)))
+    back = after.groupBy(key).agg(F.min(t).alias("recovery"))
+    found = worst.join(back, key, "left")
+    fell = F.col("__x.__d") < 0
+    return found.select(key, "n", F.col("__x.__d").alias("max_drawdown"), F.when(fell, F.col("__x.__top")).alias("start"), F.when(fell, F.col(f"__x.{t}")).alias("trough"), F.when(fell, F.col("recovery")).alias("recovery"), "periods", (F.col("periods") / F.col("n")).alias("frequency"), "underwater", (F.col("__u") / F.nullif(F.col("periods"), F.lit(0))).alias("mean_length"))
+
+
+def reward_ratios(df: DataFrame, r: str, by: list[str], periods: int = 252, free: float = 0.0, beta: float = 1.0, level: int = 95) -> DataFrame:
+    """(by, treynor, return_to_var): the annual return's excess over beta, and the return over the annual value at risk."""
+    cut = df.groupBy(*by).agg(F.percentile(r, F.lit(1 - level / 100)).alias("__v"), (F.avg(r) * periods).alias("__a"))
+    return cut.select(*by, ((F.col("__a") - free) / beta).alias("treynor"), ratio(F.col("__a"), F.abs("__v") * math.sqrt(periods)).alias("return_to_var"))
+
+
+def tail_dependence(df: DataFrame, r: str, o: WindowSpec, key: str = "k", share: float = 0.05) -> DataFrame:
+    """(key, lower, upper): of the rows after one beyond the ``share`` quantile of their key, how many are beyond it, too."""
+    cuts = df.groupBy(F.col(key).alias("__k")).agg(F.percentile(r, F.array(F.lit(share), F.lit(1 - share))).alias("__q"))
+    d = df.select(key, c(r).alias("__r"), F.lag(r).over(o).alias("__l")).where("__r IS NOT NULL AND __l IS NOT NULL").join(cuts, F.col(key) == F.col("__k"))
+    low, high = F.get("__q", F.lit(0)), F.get("__q", F.lit(1))
+    after = lambda before, now: ratio(F.count_if(before & now), F.count_if(before))
+    return d.groupBy(key).agg(after(F.col("__l") < low, F.col("__r") < low).alias("lower"), after(F.col("__l") > high, F.col("__r") > high).alias("upper"))

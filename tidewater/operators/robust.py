@@ -141,3 +141,20 @@ def bca_means(df: DataFrame, x: str, by: str, row_id: str, replicates: int = 100
 
     tail = (1 - level) / 2
     return found.select(F.col("k").alias(by), "mean", "bias", "acceleration", bound(tail).alias("low"), bound(1 - tail).alias("high"))
+
+
+def weighted_trimmed_mean(df: DataFrame, x: str, w: str, by: list[str], share: float = 0.1) -> DataFrame:
+    """(by, trimmed_mean): the weighted mean without the int(n * share) rows of least and greatest x (ties by weight)."""
+    part = Window.partitionBy(*by)
+    rows = df.where(c(x).isNotNull() & c(w).isNotNull()).select(*by, c(x).alias("__x"), c(w).alias("__w"))
+    rows = rows.withColumn("__i", F.row_number().over(part.orderBy("__x", "__w"))).withColumn("__n", F.count("*").over(part))
+    cut = F.floor(F.col("__n") * share)
+    kept = rows.where((F.col("__i") > cut) & (F.col("__i") <= F.col("__n") - cut))
+    return kept.groupBy(*by).agg((F.sum(F.col("__x") * F.col("__w")) / F.nullif(F.sum("__w"), F.lit(0.0))).alias("trimmed_mean"))
+
+
+def combined_estimate(df: DataFrame, x: str, w: str, by: list[str]) -> DataFrame:
+    """(by, weighted_median, trimmed_mean, winsorised_mean, huber_mean, combined): four robust estimators and their mean."""
+    found = weighted_median(df, x, w, by).join(weighted_trimmed_mean(df, x, w, by), by).join(winsorised_mean(df, x, by), by).join(huber_mean(df, x, by), by)
+    names = ["weighted_median", "trimmed_mean", "winsorised_mean", "huber_mean"]
+    return found.select(*by, *names, (sum(F.col(n) for n in names) / len(names)).alias("combined"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import c, ratio, running
 from ..functions.distributions import chi2_p, f_p, f_p_two_sided, normal_p, t_p
+from ..functions.linear import dot, moments, solve
 
 #: Terms of the Kolmogorov distribution's series.
 TERMS = 20
@@ -205,3 +206,56 @@ def likeness(df: DataFrame, columns: list[str], group: str, by: list[str]) -> Da
     near = lambda n, v: F.greatest(F.lit(0.0), 1 - F.abs(F.col(f"__{v}0_{n}") - F.col(f"__{v}1_{n}")) / (F.abs(F.col(f"__{v}0_{n}")) + 1e-8))
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), ((near(n, "m") + near(n, "s")) / 2).alias("similarity")) for n in columns]))
     return s.select(*by, rows.alias("__x")).select(*by, "__x.*")
+
+
+def normality(df: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """(by, n, jarque_bera, jarque_bera_p, dagostino, dagostino_p) from skewness and kurtosis, in one aggregate.
+
+    D'Agostino's statistic adds the squares of the normalised skewness and kurtosis (Anscombe's for the latter). Null under
+    eight rows or without spread.
+    """
+    s = df.where(c(x).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.skewness(x).alias("__g1"), F.kurtosis(x).alias("__g2"), F.stddev_pop(x).alias("__s"))
+    n = F.col("n").cast("double")
+    ok = (F.col("n") >= 8) & (F.col("__s") > 0)
+    y = F.col("__g1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    s = s.withColumn("__w2", F.when(ok, F.sqrt(2 * (beta - 1)) - 1)).withColumn("__y", F.when(ok, y))
+    scale = F.col("__y") / F.sqrt(2 / (F.col("__w2") - 1))
+    z1 = F.ln(scale + F.sqrt(scale * scale + 1)) / F.sqrt(F.ln(F.sqrt("__w2")))
+    mean = 3 * (n - 1) / (n + 1)
+    spread = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    s = s.withColumn("__a", F.when(ok, 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))))
+    part = (1 - 2 / F.col("__a")) / (1 + (F.col("__g2") + 3 - mean) / F.sqrt(spread) * F.sqrt(2 / (F.col("__a") - 4)))
+    z2 = (1 - 2 / (9 * F.col("__a")) - F.cbrt(part)) / F.sqrt(2 / (9 * F.col("__a")))
+    jb = F.when(ok, n / 6 * (F.col("__g1") * F.col("__g1") + F.col("__g2") * F.col("__g2") / 4))
+    s = s.select(*by, "n", jb.alias("jarque_bera"), (z1 * z1 + z2 * z2).alias("dagostino"))
+    p = lambda name: chi2_p(name, F.lit(2)).alias(f"{name}_p")
+    return s.select(*by, "n", "jarque_bera", p("jarque_bera"), "dagostino", p("dagostino"))
+
+
+def curvature(df: DataFrame, x: str, o: WindowSpec, by: list[str], least: int = 30) -> DataFrame:
+    """(by, n, lm, p): squared residuals of x on x before it (through the origin) on that value, its square and its cube.
+
+    n times R^2 against chi-square of three degrees; R^2 is about the mean, as the regression has no constant it can be
+    negative, which tells nothing (p 1). Values are scaled to their greatest size, which changes no fit. Null under ``least`` rows.
+    """
+    size = F.max(F.abs(x)).over(Window.partitionBy(*by))
+    d = df.where(c(x).isNotNull()).select("*", ratio(x, size).alias("__y")).withColumn("__l", F.lag("__y").over(o)).where("__l IS NOT NULL AND __y IS NOT NULL")
+    slope = d.groupBy(*by).agg(ratio(F.sum(F.col("__y") * F.col("__l")), F.sum(F.col("__l") * F.col("__l"))).alias("__b"))
+    d = d.join(slope, by).withColumn("__e", (F.col("__y") - F.col("__b") * F.col("__l")) * (F.col("__y") - F.col("__b") * F.col("__l")))
+    lag = F.col("__l")
+    xx, xy, yy = moments([lag, lag * lag, lag * lag * lag], F.col("__e"))
+    s = d.groupBy(*by).agg(F.count("*").alias("n"), xx.alias("__xx"), xy.alias("__xy"), yy.alias("__yy"), (F.var_pop("__e") * F.count("*")).alias("__t"))
+    b, _ = solve(F.col("__xx"), F.col("__xy"))
+    s = s.withColumn("__c", b)
+    lm = F.col("n") * (1 - ratio(F.col("__yy") - dot(F.col("__c"), F.col("__xy")), "__t"))
+    return s.select(*by, "n", F.when(F.col("n") >= least - 1, lm).alias("lm")).withColumn("p", chi2_p(F.greatest("lm", F.lit(0.0)), F.lit(3)))
+
+
+def conditional_entropy(df: DataFrame, x: str, y: str, bins: int, by: list[str]) -> DataFrame:
+    """(by, conditional_entropy) in bits of y given x, both in ``bins`` parts of equal width: H(x, y) - H(x) from the cells' counts."""
+    d = equal_bins(equal_bins(df.where(c(x).isNotNull() & c(y).isNotNull()), x, bins, by, "__p"), y, bins, by, "__q")
+    cells = d.groupBy(*by, "__p", "__q").agg(F.count("*").alias("__c"))
+    cells = cells.withColumns({"__r": F.sum("__c").over(Window.partitionBy(*by, "__p")), "__n": F.sum("__c").over(Window.partitionBy(*by))})
+    return cells.groupBy(*by).agg((-F.sum(F.col("__c") / F.col("__n") * F.log2(F.col("__c") / F.col("__r")))).alias("conditional_entropy"))
