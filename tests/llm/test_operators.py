@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -336,9 +337,38 @@ def test_packing_is_gapless_complete_and_tight(spark):
 def test_the_plan_uses_each_piece_once():
     rng = np.random.default_rng(1)
     for counts in (rng.integers(0, 40, 64), np.eye(64, dtype=int)[40] * 9, np.zeros(64, int)):
-        runs = packing.solve(counts, 64)
-        assert (sum((c * n for c, n in runs), np.zeros(64, np.int64)) == counts).all()
-        assert all((c * np.arange(1, 65)).sum() <= 64 for c, _ in runs)
+        for runs in (packing.solve(counts, 64), packing.best_fit(counts, 64)):
+            used = Counter()
+            for c, n in runs:
+                used.update({k: m * n for k, m in c.items()})
+                assert n > 0 and sum(k * m for k, m in c.items()) <= 64
+            assert used == {i + 1: n for i, n in enumerate(counts) if n}
+
+
+def test_best_fit_by_counts_is_best_fit_by_pieces():
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        counts = rng.integers(0, 1 + trial % 9, 40) * (rng.random(40) < 0.4)
+        bins: list[list[int]] = []
+        for length in np.repeat(np.arange(40, 0, -1), counts[::-1]).tolist():
+            fits = [b for b in bins if sum(b) + length <= 40]
+            max(fits, key=sum).append(length) if fits else bins.append([length])
+        got = Counter()
+        for config, n in packing.best_fit(counts, 40):
+            got[sum(k * m for k, m in config.items())] += n
+        assert got == Counter(map(sum, bins))
+
+
+def test_long_pieces_are_packed_in_little_room():
+    rng = np.random.default_rng(6)
+    counts = np.zeros(2048, np.int64)
+    counts[1100:1900] = rng.multinomial(1_000_000, np.full(800, 1 / 800))
+    tracemalloc.start()
+    began = time.perf_counter()
+    runs = packing.solve(counts, 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for _, n in runs) == 1_000_000 and peak < 200e6 and time.perf_counter() - began < 60 and len(runs) < 10_000
 
 
 def test_mined_voters_do_not_depend_on_the_partitions(spark):

@@ -7,8 +7,8 @@ each way of filling a sequence so that every length is served - is solved by
 multiplicative weights: lengths that are served too little gain weight, and a knapsack
 dynamic program prices the best configurations under the weights. The fractional solution
 is rounded down as far as the counts allow, and the program is solved again for the lengths
-left over, until it places little more; best fit decreasing takes the rest, a few percent
-of the pieces unless most are too long to fill sequences. The plan is a list of runs "this configuration,
+left over, until it places little more; lengths that fill no sequence exactly get
+configurations with waste, and best fit decreasing takes the rest. The plan is a list of runs "this configuration,
 repeated n times", so its size does not follow the input; tasks look up the place of the
 r-th piece of a length in it.
 
@@ -64,11 +64,17 @@ def priced(weight: np.ndarray, capacity: int) -> np.ndarray:
     return best
 
 
-def configuration(first: int, best: np.ndarray, weight: np.ndarray, capacity: int) -> dict[int, int] | None:
-    """Length to copies: ``first`` and the best filling of the room beside it; None if that does not fill the sequence."""
+def configuration(first: int, best: np.ndarray, weight: np.ndarray, capacity: int, waste: bool = False) -> dict[int, int] | None:
+    """Length to copies: ``first`` and the best filling of the room beside it; None if that does not fill the sequence.
+
+    With ``waste`` room that no length is worth anything in stays empty.
+    """
     used, c = {first: 1}, capacity - first
     while c > 0:
         k = int((best[:c][::-1] + weight[:c]).argmax()) + 1
+        if waste and best[c - 1] >= best[c - k] + weight[k - 1]:
+            c -= 1
+            continue
         if weight[k - 1] == -np.inf:
             return None
         used[k] = used.get(k, 0) + 1
@@ -76,8 +82,8 @@ def configuration(first: int, best: np.ndarray, weight: np.ndarray, capacity: in
     return used
 
 
-def fractional(counts: np.ndarray, capacity: int, batches: int, step: float) -> list[tuple[dict[int, int], float]]:
-    """The configuration linear program by multiplicative weights: (configuration, how often), all of them full.
+def fractional(counts: np.ndarray, capacity: int, batches: int, step: float, waste: bool = False) -> list[tuple[dict[int, int], float]]:
+    """The configuration linear program by multiplicative weights: (configuration, how often), all of them full unless ``waste``.
 
     Lengths are taken from the longest on, in ``batches``. A knapsack prices what the room beside a
     piece can hold, and the best configuration is used until something in it is served; weights then
@@ -92,7 +98,7 @@ def fractional(counts: np.ndarray, capacity: int, batches: int, step: float) ->
         best = priced(weight, capacity)
         for first in group.tolist():
             while need[first - 1] > 1e-9:
-                config = configuration(first, best, weight, capacity)
+                config = configuration(first, best, weight, capacity, waste)
                 if config is None:
                     break
                 often = min(need[k - 1] / n for k, n in config.items())
@@ -105,67 +111,95 @@ def fractional(counts: np.ndarray, capacity: int, batches: int, step: float) ->
     return out
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = 4, batches: int = 16, step: float = 1e-3) -> list[tuple[np.ndarray, int]]:
-    """Runs (configuration, repeats) that use every piece of the histogram ``counts`` exactly once.
+Runs = list[tuple[dict[int, int], int]]
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int = 4, batches: int = 16, step: float = 1e-3) -> Runs:
+    """Runs (length to copies, repeats) that use every piece of the histogram ``counts`` exactly once.
 
     ``rounds`` is how often at most the linear program is solved and rounded, ``batches`` the prices
-    worked out in each, ``step`` the learning rate of the weights.
+    worked out in each, ``step`` the learning rate of the weights. Full configurations come first; what has
+    none is put to the program once more with waste allowed, and to best fit alone, and the shorter plan stays.
     """
     left, runs = counts.astype(np.int64).copy(), []
-    sizes = np.arange(1, capacity + 1)
 
-    def place(config: dict[int, int], n: int) -> int:
+    def place(config: dict[int, int], n: int, into: Runs, left: np.ndarray) -> int:
         n = min(n, *[int(left[k - 1]) // m for k, m in config.items()])
         if n > 0:
-            used = np.zeros(capacity, np.int64)
             for k, m in config.items():
-                used[k - 1] = m
                 left[k - 1] -= m * n
-            runs.append((used, n))
+            into.append((config, n))
         return max(n, 0)
 
-    place({capacity: 1}, int(left[capacity - 1]))  # a piece of the whole capacity has only one configuration
+    place({capacity: 1}, int(left[capacity - 1]), runs, left)  # a piece of the whole capacity has only one configuration
     for round_ in range(rounds):
         before = int(left.sum())
         if not before:
             break
         for config, often in fractional(left, capacity, batches, step):
             # a share of one counts as one from the second round on, where the counts are small
-            place(config, int(often) if round_ == 0 else max(int(often), 1))
+            place(config, int(often) if round_ == 0 else max(int(often), 1), runs, left)
         if round_ and before - left.sum() < 0.02 * before:
             break
 
-    return runs + best_fit(left, capacity)
-
+    rest, loose = left.copy(), []
+    for config, often in fractional(left, capacity, batches, step, waste=True):
+        place(config, int(often), loose, rest)
+    plans = [loose + best_fit(rest, capacity), best_fit(left, capacity)]
+    return runs + min(plans, key=lambda plan: sum(n for _, n in plan))
 
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Best fit decreasing: each piece goes to the fullest sequence that has room."""
-    room: list[int] = []
-    bins: list[tuple[int, np.ndarray]] = []
-    for length in np.repeat(np.arange(capacity, 0, -1), counts[::-1]):
-        at = bisect.bisect_left(room, length)
-        if at < len(room):
-            left, config = bins.pop(at)
-            room.pop(at)
-        else:
-            left, config = capacity, np.zeros(capacity, np.int64)
-        config[length - 1] += 1
-        at = bisect.bisect_left(room, left - length)
-        room.insert(at, int(left - length))
-        bins.insert(at, (int(left - length), config))
-    return [(config, 1) for _, config in bins]
 
+def best_fit(counts: np.ndarray, capacity: int) -> Runs:
+    """Best fit decreasing: each piece goes to the fullest sequence that has room.
 
-def lookup(runs: list[tuple[np.ndarray, int]], capacity: int) -> dict[str, np.ndarray]:
+    Equal sequences are one entry with a count, so the work follows the lengths and not the pieces: of n pieces of a
+    length each of the fullest sequences that have room takes as many as fit, one after the other.
+    """
+    bins: dict[int, list[tuple[dict[int, int], int]]] = {}  # room left: sequences
+    rooms: list[int] = []  # in order
+
+    def put(config: dict[int, int], n: int, room: int) -> None:
+        if room not in bins:
+            bisect.insort(rooms, room)
+            bins[room] = []
+        bins[room].append((config, n))
+
+    for length in (np.flatnonzero(counts)[::-1] + 1).tolist():
+        n = int(counts[length - 1])
+        while n:
+            at = bisect.bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                config, there = bins[room].pop()
+                if not bins[room]:
+                    del bins[room]
+                    rooms.pop(at)
+            else:
+                room, config, there = capacity, {}, n  # new sequences
+            each = room // length
+            whole, rest = min(there, n // each), 0
+            if whole:
+                put(config | {length: config.get(length, 0) + each}, whole, room - each * length)
+            elif n:
+                rest = 1
+                put(config | {length: config.get(length, 0) + n}, 1, room - n * length)
+                whole, each = 0, n
+            n -= whole * each if whole else each
+            if config and there - whole - rest:
+                put(config, there - whole - rest, room)
+    return [run for room in rooms for run in bins[room]]
+
+
+def lookup(runs: Runs, capacity: int) -> dict[str, np.ndarray]:
     """The plan by length: for each run in which a length stands, the rank it begins at, the copies in each
     sequence, its first sequence and the place of its first copy; ``first[l]`` is where length l begins."""
     rows, sequence, rank = [], 0, np.zeros(capacity + 1, np.int64)
     for config, n in runs:
         place = 0
-        for i in np.flatnonzero(config)[::-1]:
-            rows.append((i + 1, rank[i + 1], config[i], sequence, place))
-            rank[i + 1] += config[i] * n
-            place += int(config[i] * (i + 1))
+        for length in sorted(config, reverse=True):
+            rows.append((length, rank[length], config[length], sequence, place))
+            rank[length] += config[length] * n
+            place += config[length] * length
         sequence += n
     rows.sort()
     table = np.array(rows, np.int64).reshape(-1, 5)
