@@ -92,3 +92,10 @@ def drop_iqr_rows(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFram
         a, b = bounds[x]
         df = df.where(F.col(x).isNull() | F.col(x).between(a - k * (b - a), b + k * (b - a)))
     return df
+
+
+def clip_beyond_tails(df: DataFrame, x: str, by: list[str], low: float = 0.01, high: float = 0.99, k: float = 1.5) -> DataFrame:
+    """x held within ``k`` times the gap of two far quantiles beyond them."""
+    df = _stats(df, by, F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    a, b = F.get("__q", F.lit(0)), F.get("__q", F.lit(1))
+    return df.withColumn(x, clip(x, a - k * (b - a), b + k * (b - a))).drop("__q")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import c, clip, ratio, so_far
@@ -242,3 +242,24 @@ def confidence_ensemble(df: DataFrame, weights: dict[str, float], by: list[str])
     s = df.groupBy(*by).agg(F.sum(w).alias("__w"), *[F.sum(F.col(n) * w).alias(f"__{n}") for n in ("change", "timeframe", "confidence")])
     part = lambda n, other: F.coalesce(ratio(f"__{n}", "__w"), F.lit(other))
     return s.select(*by, part("change", 0.0).alias("predicted_change"), F.floor(part("timeframe", 6.0)).cast("int").alias("timeframe_hours"), part("confidence", 0.0).alias("confidence"))
+
+
+def drift(df: DataFrame, columns: list[str], o: WindowSpec, window: int = 50, bound: float = 0.1) -> DataFrame:
+    """Adds, for each column, the absolute difference of the means of the window's halves, their mean and whether it exceeds ``bound``.
+
+    Null (and no drift) before the window is full.
+    """
+    half = window // 2
+    new, old = o.rowsBetween(-(half - 1), 0), o.rowsBetween(-(window - 1), -(window - half))
+    full = F.count(F.lit(1)).over(o.rowsBetween(-(window - 1), 0)) == window
+    parts = {f"{x}_drift": F.when(full, F.abs(F.avg(x).over(new) - F.avg(x).over(old))) for x in columns}
+    df = df.withColumns(parts)
+    df = df.withColumn("combined_drift", sum(F.col(n) for n in parts) / len(parts))
+    return df.withColumn("drifted", F.coalesce(F.col("combined_drift") > bound, F.lit(False)))
+
+
+def holdout(df: DataFrame, o: WindowSpec, train: float = 0.6, validation: float = 0.2, key: str = "k") -> DataFrame:
+    """Adds ``part``: each key's rows in order, cut after int(n train) and int(n (train + validation)) of them."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    i = F.row_number().over(o)
+    return df.withColumn("part", F.when(i <= F.floor(n * train), "train").when(i <= F.floor(n * (train + validation)), "validation").otherwise("test"))

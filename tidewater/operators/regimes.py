@@ -147,3 +147,28 @@ def composite_risk(df: DataFrame, x: str, volume: str, other: str, o: WindowSpec
     for name, bound in RISK_LEVELS:
         level = level.when(F.round("score", 9) >= bound, name)
     return d.withColumn("level", level.otherwise("LOW"))
+
+
+#: The upper bounds of the volatility classes.
+VOLATILITY_CLASSES = ((0.02, "very_low"), (0.05, "low"), (0.10, "medium"), (0.20, "high"))
+
+
+def volatility_class(v: Column | str) -> Column:
+    out = F.when(c(v).isNull(), None)
+    for bound, name in VOLATILITY_CLASSES:
+        out = out.when(c(v) < bound, name)
+    return out.otherwise("extreme")
+
+
+def volatility_persistence(df: DataFrame, r: str, o: WindowSpec, k: int = 5, least: int = 20, key: str = "k") -> DataFrame:
+    """(key, volatility, class, persistence): the deviation (ddof 0) of a key's returns with its class, and the first
+    autocorrelation of its deviations over ``k`` rows, moved to 0..1; 0.5 under ``least`` returns or without spread."""
+    d = df.where(c(r).isNotNull()).select(key, c(r).alias("__r"), rolling("std0", r, o, k).alias("__v"), F.row_number().over(o).alias("__i"))
+    d = d.withColumn("__l", F.lag("__v").over(Window.partitionBy(key).orderBy("__i")))
+    both = F.col("__v").isNotNull() & F.col("__l").isNotNull()
+    a, b = F.when(both, F.col("__v")), F.when(both, F.col("__l"))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    rho = F.when(spread > 1e-24, F.covar_pop(a, b) / spread)  # beneath are equal numbers with rounding
+    s = d.groupBy(key).agg(F.stddev_pop("__r").alias("volatility"), F.count("*").alias("__n"), rho.alias("__c"))
+    held = F.when(F.col("__n") < least, 0.5).otherwise(F.coalesce(F.least(F.greatest((F.col("__c") + 1) / 2, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)))
+    return s.select(key, "volatility", volatility_class("volatility").alias("class"), held.alias("persistence"))

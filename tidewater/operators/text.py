@@ -45,3 +45,17 @@ def flatten_numbers(df: DataFrame, json: str, keep: list[str]) -> DataFrame:
     nested = top.where(F.col("__v").startswith("{")).select(*keep, "__k", F.explode(inner).alias("__k2", "__v2")).select(*keep, F.concat_ws(".", "__k", "__k2").alias("path"), F.col("__v2").try_cast("double").alias("value"))
     flat = top.where(~F.col("__v").startswith("{")).select(*keep, F.col("__k").alias("path"), F.col("__v").try_cast("double").alias("value"))
     return flat.unionByName(nested).where("value IS NOT NULL")
+
+
+def matching(df: DataFrame, contains: dict[str, str | None] | None = None, equals: dict[str, object] | None = None, since: tuple[str, object] | None = None, limit: int | None = None) -> DataFrame:
+    """The rows for which all given conditions hold: columns that contain a text (without regard to case), columns that equal
+    a value, a column from a value on. None leaves a condition out; ``limit`` keeps a command log's first rows."""
+    for name, part in (contains or {}).items():
+        if part is not None:
+            df = df.where(F.contains(F.lower(name), F.lit(part.lower())))
+    for name, value in (equals or {}).items():
+        if value is not None:
+            df = df.where(F.col(name) == F.lit(value))
+    if since is not None:
+        df = df.where(F.col(since[0]) >= F.lit(since[1]))
+    return df if limit is None else df.limit(limit)

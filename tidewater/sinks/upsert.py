@@ -46,3 +46,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def latest_within(df: DataFrame, keys: list[str], at: str, now, seconds: int = 300) -> DataFrame:
+    """Each key's latest row, as long as it is no older than ``seconds`` at ``now`` (a column or a time): a cache with a time to live."""
+    moment = now if isinstance(now, Column) else F.lit(now)
+    rest = [x for x in df.columns if x not in keys]
+    last = df.groupBy(*keys).agg(F.max(F.struct(at, *[x for x in rest if x != at])).alias("__l")).select(*keys, "__l.*").select(*df.columns)
+    return last.where(F.unix_timestamp(at) >= F.unix_timestamp(moment) - seconds)
