@@ -63,8 +63,8 @@ def test_p_values_match_integrals(spark):
 def test_p_values_of_nothing_are_null(spark):
     null = F.lit(None).cast("double")
     one = F.lit(1.0)
-    got = spark.range(1).select(dist.t_p(null, one), dist.f_p(one, null, one), dist.chi2_p(null, one), dist.normal_quantile(null), dist.beta_cdf(F.lit(0.5), F.lit(0.0), one), dist.gamma_tail(F.lit(-1.0), one), dist.t_p(one, F.lit(0.0))).first()
-    assert list(got) == [None] * 7
+    got = spark.range(1).select(dist.t_p(null, one), dist.f_p(one, null, one), dist.chi2_p(null, one), dist.normal_quantile(null), dist.beta_cdf(F.lit(0.5), F.lit(0.0), one), dist.gamma_tail(F.lit(-1.0), one), dist.t_p(one, F.lit(0.0)), dist.f_p(null, one, one), dist.f_p_two_sided(null, one, one)).first()
+    assert list(got) == [None] * 9
     assert list(spark.range(1).select(dist.f_p(F.lit(float("inf")), one, one), dist.chi2_p(F.lit(float("inf")), one), dist.normal_quantile(F.lit(1.0))).first()) == [0.0, 0.0, float("inf")]
 
 

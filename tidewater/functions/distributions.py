@@ -98,7 +98,7 @@ def t_p(t: ColumnLike, df: ColumnLike) -> Column:
 
 def f_p(f: ColumnLike, d1: ColumnLike, d2: ColumnLike) -> Column:
     """Upper p-value of F."""
-    return let(lambda f, m, n: beta_cdf(n / (n + m * F.greatest(f, F.lit(0.0))), n / 2, m / 2), *[c(v).cast("double") for v in (f, d1, d2)])
+    return let(lambda f, m, n: beta_cdf(F.when(f > 0, n / (n + m * f)).when(f.isNotNull(), 1.0), n / 2, m / 2), *[c(v).cast("double") for v in (f, d1, d2)])
 
 
 def f_p_two_sided(f: ColumnLike, d1: ColumnLike, d2: ColumnLike) -> Column:

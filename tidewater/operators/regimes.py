@@ -124,7 +124,7 @@ def composite_risk(df: DataFrame, x: str, volume: str, other: str, o: WindowSpec
     lag = lambda v, n=1: F.lag(v, n).over(o)
     move = lambda n: ratio(x, lag(x, n)) - 1
     frame = lambda k: o.rowsBetween(-(k - 1), 0)
-    capped = lambda v: F.coalesce(F.least(v, F.lit(1.0)), F.lit(0.0))
+    capped = lambda v: F.least(F.coalesce(v, F.lit(0.0)), F.lit(1.0))
     nz = lambda v: F.nullif(c(v), F.lit(0.0))
     d = df.withColumns({"__r": move(1), "__lr": F.ln(nz(x) / nz(lag(x))), "__od": c(other) - lag(other), "__five": move(5), "day": move(24), "week": move(168), "__i": F.row_number().over(o)})
     d = d.withColumn("__acc", F.col("__lr") - lag("__lr"))
@@ -170,5 +170,5 @@ def volatility_persistence(df: DataFrame, r: str, o: WindowSpec, k: int = 5, lea
     spread = F.stddev_pop(a) * F.stddev_pop(b)
     rho = F.when(spread > 1e-24, F.covar_pop(a, b) / spread)  # beneath are equal numbers with rounding
     s = d.groupBy(key).agg(F.stddev_pop("__r").alias("volatility"), F.count("*").alias("__n"), rho.alias("__c"))
-    held = F.when(F.col("__n") < least, 0.5).otherwise(F.coalesce(F.least(F.greatest((F.col("__c") + 1) / 2, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)))
+    held = F.when((F.col("__n") < least) | F.col("__c").isNull(), 0.5).otherwise(F.least(F.greatest((F.col("__c") + 1) / 2, F.lit(0.0)), F.lit(1.0)))
     return s.select(key, "volatility", volatility_class("volatility").alias("class"), held.alias("persistence"))

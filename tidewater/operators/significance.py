@@ -250,7 +250,7 @@ def curvature(df: DataFrame, x: str, o: WindowSpec, by: list[str], least: int =
     b, _ = solve(F.col("__xx"), F.col("__xy"))
     s = s.withColumn("__c", b)
     lm = F.col("n") * (1 - ratio(F.col("__yy") - dot(F.col("__c"), F.col("__xy")), "__t"))
-    return s.select(*by, "n", F.when(F.col("n") >= least - 1, lm).alias("lm")).withColumn("p", chi2_p(F.greatest("lm", F.lit(0.0)), F.lit(3)))
+    return s.select(*by, "n", F.when(F.col("n") >= least - 1, lm).alias("lm")).withColumn("p", chi2_p(F.when(F.col("lm").isNotNull(), F.greatest("lm", F.lit(0.0))), F.lit(3)))
 
 
 def conditional_entropy(df: DataFrame, x: str, y: str, bins: int, by: list[str]) -> DataFrame:

@@ -283,10 +283,10 @@ _LIKE_FALL = {name: f"greatest(0, 1 - abs({part} - ({value})) / {abs(value)})" f
   c AS (SELECT *, lr - lag(lr) OVER ({W}) AS acc, close / nullif(lag(close, 5) OVER ({W}), 0) - 1 AS five, close / nullif(lag(close, 24) OVER ({W}), 0) - 1 AS day, close / nullif(lag(close, 168) OVER ({W}), 0) - 1 AS week, count(*) OVER ({W}) AS i FROM b),
   w AS (SELECT k, t, i, close, volume, five, od, r, day, week, avg(volume) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS v30, avg(close) OVER w5 AS m5, avg(close) OVER w10 AS m10, avg(close) OVER w20 AS m20, avg(abs(acc)) OVER w5 AS a5,
     avg(r) OVER w50 AS mr, stddev_samp(r) OVER w50 AS sr, corr(lr, od) OVER w10 AS cn, corr(lr, od) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 10 PRECEDING) AS co FROM c {windows(5, 10, 20, 50)}),
-  p AS (SELECT k, t, 0.4 * coalesce(least(abs(five) / 0.05, 1), 0) + 0.25 * coalesce(least((volume / nullif(v30, 0) - 1) / 4, 1), 0) + 0.15 * CASE WHEN abs(od) > 3 THEN least(abs(od) / 10, 1) ELSE 0 END AS sudden,
+  p AS (SELECT k, t, 0.4 * least(coalesce(abs(five) / 0.05, 0), 1) + 0.25 * least(coalesce((volume / nullif(v30, 0) - 1) / 4, 0), 1) + 0.15 * CASE WHEN abs(od) > 3 THEN least(abs(od) / 10, 1) ELSE 0 END AS sudden,
     coalesce(CASE WHEN {_LIKE_FALL['day_fall']} >= coalesce({_LIKE_FALL['week_fall']}, 0) THEN {_LIKE_FALL['day_fall']} * 1.0 ELSE {_LIKE_FALL['week_fall']} * 0.8 END, 0) AS pattern,
-    coalesce(least(abs((r - mr) / nullif(sr, 0)) / 6, 1), 0) AS anomaly, coalesce(least((abs(m5 / nullif(m20, 0) - 1) + abs(m10 / nullif(m20, 0) - 1) + 100 * a5) / 0.1, 1), 0) AS trend,
-    coalesce(least(abs(CASE WHEN isnan(cn) THEN NULL ELSE cn END - CASE WHEN isnan(co) THEN NULL ELSE co END) / 0.5, 1), 0) AS correlation FROM w WHERE i > 30),
+    least(coalesce(abs((r - mr) / nullif(sr, 0)) / 6, 0), 1) AS anomaly, least(coalesce((abs(m5 / nullif(m20, 0) - 1) + abs(m10 / nullif(m20, 0) - 1) + 100 * a5) / 0.1, 0), 1) AS trend,
+    least(coalesce(abs(CASE WHEN isnan(cn) THEN NULL ELSE cn END - CASE WHEN isnan(co) THEN NULL ELSE co END) / 0.5, 0), 1) AS correlation FROM w WHERE i > 30),
   x AS (SELECT *, 0.30 * sudden + 0.25 * pattern + 0.20 * anomaly + 0.15 * trend + 0.10 * correlation AS s FROM p)
 SELECT k, t, {rs('sudden')} AS sudden, {rs('pattern')} AS pattern, {rs('anomaly')} AS anomaly, {rs('trend')} AS trend, {rs('correlation')} AS correlation, {rs('s')} AS score, CASE WHEN round(s, 9) >= 0.8 THEN 'CRITICAL' WHEN round(s, 9) >= 0.6 THEN 'WARNING' WHEN round(s, 9) >= 0.4 THEN 'INFO' ELSE 'LOW' END AS level FROM x""")
 def risk_score(spark: SparkSession, d: str) -> DataFrame:

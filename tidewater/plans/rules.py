@@ -25,7 +25,7 @@ def tail_clip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("volatility_persistence", B + f""", {RET}, v AS (SELECT k, t, r, {full_sql('stddev_pop(r)', 'r', 5)} AS v FROM (SELECT * FROM r WHERE r IS NOT NULL) {windows(5)}), l AS (SELECT k, r, v, lag(v) OVER ({W}) AS l FROM v), s AS (SELECT k, stddev_pop(r) AS s, count(*) AS n, corr(v, l) AS c FROM l GROUP BY 1)
-SELECT k, {rs('s')} AS volatility, CASE WHEN s < 0.02 THEN 'very_low' WHEN s < 0.05 THEN 'low' WHEN s < 0.10 THEN 'medium' WHEN s < 0.20 THEN 'high' ELSE 'extreme' END AS class, {rs('CASE WHEN n < 20 THEN 0.5 ELSE coalesce(least(greatest((c + 1) / 2, 0), 1), 0.5) END')} AS persistence FROM s""")
+SELECT k, {rs('s')} AS volatility, CASE WHEN s < 0.02 THEN 'very_low' WHEN s < 0.05 THEN 'low' WHEN s < 0.10 THEN 'medium' WHEN s < 0.20 THEN 'high' ELSE 'extreme' END AS class, {rs('CASE WHEN n < 20 OR c IS NULL OR isnan(c) THEN 0.5 ELSE least(greatest((c + 1) / 2, 0), 1) END')} AS persistence FROM s""")
 def volatility_persistence(spark: SparkSession, d: str) -> DataFrame:
     return rounded(regimes.volatility_persistence(returns(spark, d), "r", by_time()))
 
