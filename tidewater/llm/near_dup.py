@@ -267,8 +267,16 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     keyed = _keyed(classes)
 
     lowest = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = keyed.join(lowest, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    links = _confirmed(_near(stars, classes), docs, shingle, percent)
+    stars = materialise(keyed.join(lowest, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct())
+    # each document meets the least of its buckets' lowest first, so that a large group is mostly one component
+    # before the other buckets are looked at: what they then still compare lies in two components
+    nearest = stars.groupBy("b").agg(F.min("a").alias("a"))
+    links = _confirmed(_near(nearest.select("a", "b"), classes), docs, shingle, percent)
+    early = materialise(components(links))
+    side = lambda x: early.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    apart = stars.join(nearest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = apart.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    links = links.union(_confirmed(_near(apart, classes), docs, shingle, percent))
     joined = materialise(components(links))
 
     grouped = keyed.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
