@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import alerts, correlation, ewm, fill, kernels, outliers, predictions, robust, text
+from tidewater.operators import alerts, asof, correlation, ewm, fill, kernels, outliers, predictions, robust, text
 from tidewater.sinks import upsert
 from tidewater.sources import files
 from tidewater.sources.polling import MarketHistory
@@ -43,6 +43,14 @@ def test_cooldown_counts_from_the_last_emitted_alert(spark):
     assert sorted((r["k"], r["t"].hour) for r in got.where("emitted").collect()) == [("a", 0), ("a", 6), ("a", 12), ("b", 1)]
 
 
+def test_interval_join_broadcasts_no_copies_of_intervals(spark):
+    spans = spark.createDataFrame([("a", at(0), at(30)), ("a", at(20), at(500)), ("b", at(5), at(6)), (None, at(0), at(9)), ("b", at(9), None)], "k string, s timestamp, e timestamp")
+    points = series(spark, [("a", h, float(h)) for h in (0, 24, 30, 499, 500)] + [("b", 5, 5.0), ("b", 6, 6.0), ("b", 9, 9.0), (None, 1, 1.0)])
+    got = asof.interval_join(points, spans, ["k"], "t", "s", "e", 3600)
+    assert sorted((r["k"], r["x"], (r["s"] - START).total_seconds() / 3600) for r in got.collect()) == [("a", 0, 0), ("a", 24, 0), ("a", 24, 20), ("a", 30, 20), ("a", 499, 20), ("b", 5, 5)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_interpolation_and_edges(spark):
     df = series(spark, [("a", 0, None), ("a", 1, 1.0), ("a", 2, None), ("a", 3, None), ("a", 4, 4.0), ("a", 5, None), ("b", 0, None)])
     got = {(r["k"], r["t"].hour): r["x"] for r in fill.interpolate(df, "x", by_time()).collect()}

@@ -38,8 +38,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, forward
 def interval_join(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, stop: str, bucket_seconds: int = 86_400) -> DataFrame:
     """Points joined with the intervals [start, stop) that hold them, by equal keys and time buckets.
 
-    An interval is entered in each bucket it touches, so the join stays an equi-join.
+    An interval is entered in each bucket it touches, so the join stays an equi-join. Spark's size estimate knows
+    nothing of these copies and would broadcast them all; both sides are shuffled and merged instead.
     """
     number = lambda x: F.floor(F.unix_timestamp(x) / bucket_seconds)
     spans = intervals.withColumn("__b", F.explode(F.sequence(number(start), number(stop))))
-    return points.withColumn("__b", number(at)).join(spans, [*by, "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("__b")
+    return points.withColumn("__b", number(at)).join(spans.hint("merge"), [*by, "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("__b")
