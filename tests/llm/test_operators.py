@@ -494,6 +494,20 @@ def test_lattice_adds_up_all_segmentations():
             assert set(found) == set(want) and all(found[x] == pytest.approx(want[x], abs=1e-12) for x in want)
 
 
+def test_lattice_sums_of_many_words_equal_those_of_each():
+    model, rng = lattice.lattice(tokenizer_path(PIECES)), random.Random(3)
+    found = ["a", "", "größe", "日本", "▁", "a▁b", "▁▁▁x", "\0", "\U0001f996" * 20, "x" * 47, "y" * 48, "z" * 300, "the", "the"]
+    found += ["".join(rng.choice("abcdefghiklmnorstuéß▁日") for _ in range(rng.randrange(1, 30))) for _ in range(500)]
+    got, want, none = {}, {}, {}
+    np.testing.assert_allclose(model.many(found, got), [model.log10(w) for w in found], rtol=1e-11)
+    for w in found:
+        model.expected(w, want)
+    assert {x for x, v in want.items() if v > 1e-300} <= set(got) <= set(want)
+    assert all(got[x] == pytest.approx(want[x], rel=1e-9, abs=1e-300) for x in got)
+    assert len(model.many([], none)) == 0 and none == {}
+    np.testing.assert_allclose(model.many(["q" * 60, "w"]), [model.log10("q" * 60), model.log10("w")])
+
+
 def test_lattice_learns_from_words_below_plain_numbers(spark):
     rare = "\U0001f996" * 20  # spelled by bytes only: its probability is no plain number
     model, found = lattice.lattice(tokenizer_path(PIECES)), {}

@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,7 +46,8 @@ MAX_HELD = 400_000
 BYTE_SHARE = 1e-3
 #: Rounds of expectation maximisation, and the weight of the vocabulary's own scores in them.
 ROUNDS, PRIOR = 1, 500.0
-#: Up to so many characters, and down to such a probability, plain numbers hold a word's sums; beyond, logarithms do.
+#: Up to so many characters, and down to such a probability, plain numbers hold a word's sums, of a batch's words side
+#: by side; beyond, logarithms do, word by word.
 PLAIN, LEAST = 48, 1e-200
 MARK = "▁"
 
@@ -72,6 +73,97 @@ class Lattice:
         self.log_p, self.byte = log_p, byte
         self.longest = max(map(len, log_p))
         self.p, self.byte_p = {piece: math.exp(v) for piece, v in log_p.items()}, math.exp(byte)
+        self.pieces = list(log_p)
+
+    @cached_property
+    def _trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces' prefixes as sorted keys (parent, character), their numbers, and the piece each number is (-1: none)."""
+        number, keys = {"": 0}, []
+        for piece in self.pieces:
+            for j in range(1, len(piece) + 1):
+                if piece[:j] not in number:
+                    number[piece[:j]] = len(number)
+                    keys.append(number[piece[: j - 1]] << 21 | ord(piece[j - 1]))
+        order = np.argsort(keys)
+        ends = np.full(len(number), -1, np.int64)
+        ends[[number[piece] for piece in self.pieces]] = np.arange(len(self.pieces))
+        return np.array(keys, np.int64)[order], order + 1, ends
+
+    def _edges(self, code: np.ndarray, left: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece) of all pieces in the joined characters ``code`` of many words.
+
+        ``left``: characters from here to the word's end; ``inner``: the marks inside a word, where no piece starts.
+        """
+        keys, child, ends = self._trie
+        at, state, out = np.flatnonzero(~inner), 0, []
+        for depth in range(self.longest):
+            key = state << 21 | code[at + depth]
+            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            ok = keys[found] == key
+            at, state = at[ok], child[found[ok]]
+            piece = ends[state]
+            whole = piece >= 0
+            out.append((at[whole], np.full(whole.sum(), depth + 1), piece[whole]))
+            on = left[at] > depth + 1
+            at, state = at[on], state[on]
+            if not len(at):
+                break
+        start, length, piece = map(np.concatenate, zip(*out))
+        return start, length, piece
+
+    def many(self, words: list[str], into: dict[str, float] | None = None) -> np.ndarray:
+        """``log10`` of each word and, if ``into`` is given, ``expected`` over all: the same sums, words side by side."""
+        out = np.empty(len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        alone = sizes > PLAIN
+        short = np.flatnonzero(~alone)
+        if len(short):
+            size = sizes[short]
+            code = np.frombuffer("".join([MARK + words[i] for i in short]).encode("utf-32-le"), np.uint32).astype(np.int64)
+            owner = np.repeat(np.arange(len(short)), size)
+            first = np.cumsum(size) - size
+            place = np.arange(len(code)) - first[owner]
+            n_bytes = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+            start, length, piece = self._edges(code, size[owner] - place, (code == ord(MARK)) & (place > 0))
+            p = np.array([self.p[x] for x in self.pieces])[piece]
+            # a word has a node before each character and one at its end; of a start, each edge has an end of its own
+            node = np.arange(len(code)) + owner
+            by_bytes = self.byte_p ** n_bytes.astype(float)
+            a, b = node[start], node[start] + length
+            steps = range(int(size.max()))
+            forward = np.zeros(len(code) + len(short))
+            forward[first + np.arange(len(short))] = 1.0
+            order, order_c = np.argsort(place[start], kind="stable"), np.argsort(place, kind="stable")
+            cut, cut_c = (np.searchsorted(x, np.arange(len(steps) + 1)) for x in (place[start][order], place[order_c]))
+            for i in steps:
+                c, e = order_c[cut_c[i] : cut_c[i + 1]], order[cut[i] : cut[i + 1]]
+                forward[node[c] + 1] += forward[node[c]] * by_bytes[c]
+                forward[b[e]] += forward[a[e]] * p[e]
+            last = first + np.arange(len(short)) + size
+            total = forward[last]
+            low = total < LEAST
+            alone[short[low]] = True
+            out[short] = np.log10(np.where(low, 1.0, total))
+        if into is not None and len(short):
+            backward = np.zeros(len(forward))
+            backward[last] = 1.0
+            stop = place[start] + length - 1  # the place of an edge's last character
+            order = np.argsort(stop, kind="stable")
+            cut = np.searchsorted(stop[order], np.arange(len(steps) + 1))
+            for i in reversed(steps):
+                c, e = order_c[cut_c[i] : cut_c[i + 1]], order[cut[i] : cut[i + 1]]
+                backward[node[c]] += by_bytes[c] * backward[node[c] + 1]
+                backward[a[e]] += p[e] * backward[b[e]]
+            share = np.where(low, 0.0, 1.0 / np.where(low, 1.0, total))
+            uses = np.bincount(piece, forward[a] * p * backward[b] * share[owner[start]], len(self.pieces))
+            for i in np.flatnonzero(uses):
+                into[self.pieces[i]] = into.get(self.pieces[i], 0.0) + float(uses[i])
+            into[""] = into.get("", 0.0) + float((forward[node] * by_bytes * backward[node + 1] * share[owner] * n_bytes).sum())
+        for i in np.flatnonzero(alone):
+            out[i] = self.log10(words[i])
+            if into is not None:
+                self.expected(words[i], into)
+        return out
 
     def expected(self, word: str, into: dict[str, float]) -> None:
         """Adds to ``into`` how often a segmentation drawn by its probability uses each piece ("": bytes)."""
@@ -166,10 +258,9 @@ def fitted(words: DataFrame, start: Lattice, rounds: int = ROUNDS, prior: float
         model = words.sparkSession.sparkContext.broadcast((now.log_p, now.byte))
 
         def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            run, sums = Lattice(*model.value).expected, {}
+            run, sums = Lattice(*model.value).many, {}
             for pdf in batches:
-                for w in pdf["word"]:
-                    run(w.decode(), sums)
+                run([w.decode() for w in pdf["word"]], sums)
             yield pd.DataFrame({"piece": list(sums), "n": list(sums.values())}).astype({"piece": object, "n": float})
 
         rows = words.where("c > 0").select("word").mapInPandas(uses, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
@@ -218,9 +309,9 @@ def score_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     held = docs.sparkSession.sparkContext.broadcast((model.log_p, model.byte))
 
     def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = Lattice(*held.value).log10
+        run = Lattice(*held.value).many
         for pdf in batches:
-            yield pdf.assign(l=[run(w.decode()) for w in pdf["word"]])
+            yield pdf.assign(l=run([w.decode() for w in pdf["word"]]))
 
     words = materialise(words.mapInPandas(spelled, "word binary, c long, l double"))
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()[0]
