@@ -237,6 +237,23 @@ def test_near_duplicates_match_brute_force(spark):
         assert got == brute_components(docs, size, 80)
 
 
+def test_near_copies_that_link_only_to_one_are_not_paired_with_each_other(spark, monkeypatch):
+    rng, compared = random.Random(31), []
+    base = words(rng, 200, 10**6).split()
+    docs = []
+    for i in range(150):  # 0.81 like the base, 0.66 like one another; the base's id is not the lowest
+        w = list(base)
+        for k in range(4):
+            w[rng.randrange(50 * k + 5, 50 * k + 45)] = f"e{i}x{k}"
+        docs.append((i, " ".join(w), "en"))
+    docs.append((999, " ".join(base), "en"))
+    near = near_dup._near
+    monkeypatch.setattr(near_dup, "_near", lambda pairs, classes: compared.append(pairs.count()) or near(pairs, classes))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(frame(spark, docs), 5, 80).collect()}
+    assert got == brute_components(docs, 5, 80)
+    assert sum(compared) < 10 * len(docs)
+
+
 def test_pigeonhole_keys_find_all_pairs_under_the_threshold():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 16, near_dup.SYMBOLS).astype(np.uint16)

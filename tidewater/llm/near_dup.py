@@ -266,11 +266,16 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     # the text of a class is that of its smallest document
     keyed = _keyed(classes)
 
-    lowest = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = materialise(keyed.join(lowest, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct())
-    # each document meets the least of its buckets' lowest first, so that a large group is mostly one component
-    # before the other buckets are looked at: what they then still compare lies in two components
-    nearest = stars.groupBy("b").agg(F.min("a").alias("a"))
+    # only buckets that several classes share matter; a class that shares many with many stands amid its group, and
+    # links to it are likelier than to any other: it represents its buckets, and each class meets the one of its
+    # buckets' representatives that stands most amid first. So a large group is mostly one component before the
+    # other buckets are looked at: what they then still compare lies in two components
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialise(keyed.select("key", "id").join(crowded, "key"))
+    ranked = shared.select("key", "id").join(shared.groupBy("id").agg(F.sum("c").alias("w")), "id")
+    central = ranked.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("o"))).alias("m"))
+    stars = materialise(shared.join(central, "key").select((-F.col("m.o")).alias("a"), F.col("id").alias("b"), "m.w").where("a <> b").distinct())
+    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("w", (-F.col("a")).alias("o"))).alias("a"))
     links = _confirmed(_near(nearest.select("a", "b"), classes), docs, shingle, percent)
     early = materialise(components(links))
     side = lambda x: early.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
