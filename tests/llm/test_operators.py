@@ -468,6 +468,19 @@ def test_kneser_ney_matches_brute_force(spark):
     assert perplexity.groups_of({"a": 5, "b": 6, "c": 1, "d": 20}, 11) == [["a", "b"], ["c"], ["d"]]
 
 
+def test_rare_characters_have_probabilities_of_their_own(spark):
+    """Two characters of one class: the class's probability is shared by their counts, so the texts' scores differ by just that."""
+    letters = [chr(0x4E00 + i) for i in range(perplexity.REAL)]
+    table = perplexity.symbol_table(np.array([ord(c) for c in letters], np.int64))
+    one = chr(0x5F00)
+    two = next(chr(c) for c in range(0x5F01, 0x9000) if table[c] == table[0x5F00])
+    body = " ".join("".join(letters) for _ in range(60))
+    docs = [(1, body + one, "zh"), (2, body + two, "zh"), (3, body + one, "zh"), (4, body + one, "zh"), (5, body, "zh"), (6, "", "zh"), (7, "plain words", None)]
+    got = {r["doc_id"]: r["log10_perplexity"] for r in perplexity.apply_rules(frame(spark, docs)).collect()}
+    assert (got[2] - got[1]) * (len(body) + 2) == pytest.approx(np.log10(3), rel=1e-3) and got[1] == got[3]
+    assert all(math.isfinite(x) for x in got.values())
+
+
 # -- 7: lattice -------------------------------------------------------------------------
 def test_lattice_adds_up_all_segmentations():
     model = lattice.lattice(tokenizer_path(PIECES))
