@@ -24,16 +24,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         sym = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # written, as it is read three times: the driver would hold and re-plan its joins as often
+        large = materialise(sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small-star: a node's smaller neighbours and itself meet at the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         after = materialise(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
         # done when the edges are stars whose centres have no smaller neighbour
-        open_ = after.join(after.select(F.col("u").alias("w")).distinct(), after["v"] == F.col("w"), "left_semi").limit(1).count()
-        many = after.groupBy("u").count().where("count > 1").limit(1).count()
+        ends = after.selectExpr("u AS node", "1 AS up", "0 AS down").union(after.selectExpr("v AS node", "0 AS up", "1 AS down"))
+        unsettled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").limit(1).count()
         current = after
-        if not open_ and not many:
+        if not unsettled:
             nodes = both.select(F.col("a").alias("node")).distinct()
             return nodes.join(current.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

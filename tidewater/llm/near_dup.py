@@ -242,6 +242,7 @@ def _linkable(ids: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     component holds; if those are fewer than ``percent`` of its set, no such link exists. They are
     counted by kind, that is by how many documents hold them (SHARED_BY). ``ids``: (id, component).
     """
+    ids = _checked(materialise(ids))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -249,7 +250,7 @@ def _linkable(ids: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 n = [len(s) for s in found]
                 yield pd.DataFrame({"id": np.repeat(ids, n), "n": np.repeat(n, n), "s": np.concatenate(found).view(np.int64)})
 
-    rows = _ids_of(docs, ids.select("id")).mapInPandas(each, "id long, n long, s long").join(_checked(ids), "id")
+    rows = docs.join(ids, "id", "left_semi").mapInPandas(each, "id long, n long, s long").join(ids, "id")
     kind = sum((F.col("d") > most).cast("int") for most in SHARED_BY)
     shared = rows.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("d")).where("x <> y").select("s", kind.alias("kind"))
     by_kind = [F.count_if(F.col("kind") == i).alias(f"c{i}") for i in range(len(SHARED_BY) + 1)]
@@ -281,13 +282,15 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     side = lambda x: early.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     apart = stars.join(nearest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
     apart = apart.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    links = links.union(_confirmed(_near(apart, classes), docs, shingle, percent))
-    joined = materialise(components(links))
+    later = _confirmed(_near(apart, classes), docs, shingle, percent)
+    links = links.union(later)
+    joined = early if later.isEmpty() else materialise(components(links))
 
     grouped = keyed.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = materialise(_of_many(grouped))
     linkable = materialise(_linkable(members.select("id", "component").distinct(), docs, shingle, percent))
-    members = _of_many(members.join(linkable.join(classes.select("id", "sig"), "id"), "id"))
+    # written before it meets itself: unwritten, its joins would stand four times in one plan, all of which the driver holds
+    members = materialise(_of_many(members.join(linkable, "id")).join(classes.select("id", "sig"), "id"))
     kinds = range(len(SHARED_BY) + 1)
     left = members.selectExpr("key", "place", "sig AS u", "id AS a", "component AS x", "n AS n_a", *[f"c{i} AS a{i}" for i in kinds], *[f"p{i} AS x{i}" for i in range(PLANES)])
     right = members.selectExpr("key", "sig AS v", "id AS b", "component AS y", "n AS n_b", *[f"c{i} AS b{i}" for i in kinds], *[f"p{i} AS y{i}" for i in range(PLANES)])
@@ -300,7 +303,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     more = _confirmed(_near(cross, classes), docs, shingle, percent)
 
     # a document of a class stands in its class's component
-    roots = components(links.union(more)).withColumnRenamed("node", "id")
+    roots = (joined if more.isEmpty() else components(links.union(more))).withColumnRenamed("node", "id")
     by_class = classes.join(roots, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"))
     found = signed.select("id", "n", "k1", "k2").join(by_class, same, "left")
     component = F.coalesce("component", "id")

@@ -178,8 +178,9 @@ def sources(texts: DataFrame) -> DataFrame:
     links = materialise(pairs.where(F.expr(f"{both} >= {NEAR}D * (size(h) + size(g) - {both})")).groupBy("__key").agg(F.min("lead").alias("source")))
     for _ in range(3):  # a lead may be near a lesser one itself
         up = links.select(F.col("__key").alias("source"), F.col("source").alias("up"))
-        links = links.join(up, "source", "left").select("__key", F.coalesce("up", "source").alias("source"))
-    return materialise(links)
+        # written each time, else the last plan reads the table eight times
+        links = materialise(links.join(up, "source", "left").select("__key", F.coalesce("up", "source").alias("source")))
+    return links
 
 
 def revealing_terms(docs: DataFrame, min_support: int = 2, generalise_from: float = 0.8, remove_from: float = 0.95, least: float = 0.5, z: float = 1.64) -> DataFrame:
